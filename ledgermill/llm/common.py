@@ -80,3 +80,10 @@ def text_bytes(column) -> list[bytes]:
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches in smaller ones, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 #: Kinds in the order in which spans of the same start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "github", "npm", "pem")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -75,7 +77,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t or "")] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
@@ -106,7 +108,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     and the text has changed, the new length. Null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             i, texts = batch.schema.get_field_index("text"), batch.column("text").to_pylist()
             new = [t if t is None else masked(t, mask) for t in texts]
             batch = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
