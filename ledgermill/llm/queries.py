@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from .brown_lm import score_documents
 from .common import held_out, table
+from .jaccard_join import join_similar
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .token_count import count_tokens
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -33,5 +38,5 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op7_secret_scans, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
