@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .brown_lm import score_documents
 from .common import held_out, table
 from .jaccard_join import join_similar
+from .langid import identify_languages
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .token_count import count_tokens
@@ -30,6 +31,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(table(spark, sf_dir, "documents"), ~held_out(4))
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -38,5 +44,5 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op4_language_id, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
