@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,15 @@ from . import common
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in (x.split()[0] for x in SCHEMA.split(", "))])
 #: Words whose ids a Python worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 
 
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes. Ids of words between ASCII white space are kept, as the tokenizer
-    (which drops white space and splits at it) gives a text the ids of its words in a row."""
+    (which drops white space and splits at it) gives a text the ids of its words in a row.
+
+    A word of lower-case ASCII letters is one piece of the tokenizer's own splitting, and its byte-level form is itself, so the
+    merges are applied to it directly; a mark after it is a piece of its own."""
 
     def __init__(self, path: str):
         import json
@@ -44,22 +49,50 @@ class Encoder:
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         if pre[0].get("behavior") != "Removed" or "\\s" not in str(pre[0].get("pattern")) or spec["post_processor"]:
             raise ValueError("needs a tokenizer that drops white space and splits at it")
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.marks = {c: self._encoded([c])[0] for c in (b".", b",", b";", b":", b"!", b"?")}
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, older, tokenize, other = self.known, self.older.get, self.model.tokenize, []
+        for w in words:
+            if (x := older(w)) is not None:
+                known[w] = x
+                continue
+            mark = self.marks.get(w[-1:])
+            stem = w[:-1] if mark else w
+            if stem.isalpha() and stem.islower():
+                if (x := known.get(stem)) is None:
+                    known[stem] = x = struct.pack(f"<{len(t)}I", *[i.id for i in t]) if (t := tokenize(stem.decode())) else b""
+                known[w] = x + mark if mark else x
+            else:
+                other.append(w)
+        for at in range(0, len(other), 2000):
+            part = other[at : at + 2000]
+            known.update(zip(part, self._encoded(part), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # special strings are looked for before the tokenizer lowers case, so a text that may hold one keeps its case
-        words = [(x if b"<|" in x else x.lower()).split() for x in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        if new := sorted(set().union(*words).difference(self.known)):
-            for at in range(0, len(new), 5000):
-                part = new[at : at + 5000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        words = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        self._learn(set().union(*words).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which runs many tasks."""
+    return Encoder(path)
+
+
 def _fill(gap: int, pool: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Pieces (length, document, start) out of the sorted pool that fill the gap exactly, or all of the pool."""
     got = []
@@ -127,7 +160,7 @@ def step_groups(sizes: list[int], step_tokens: int) -> list[int]:
 
 def _task(path: str, end_id: int, sizes: list[int], step_tokens: int, buffer_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, large = Encoder(path), np.array([end_id], "<u4").tobytes(), sizes[0]
+        encode, end, large = encoder(path), np.array([end_id], "<u4").tobytes(), sizes[0]
         base = TaskContext.get().partitionId() << 40
         docs: dict[int, tuple] = {}
         waiting: list[tuple[int, int, int]] = []
