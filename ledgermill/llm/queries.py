@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .brown_lm import score_documents
 from .common import held_out, table
+from .decontam import find_leaks
 from .jaccard_join import join_similar
 from .langid import identify_languages
 from .packing import pack_documents
@@ -36,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -44,5 +49,5 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op4_language_id, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op4_language_id, op5_decontamination, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
