@@ -1,6 +1,65 @@
-STAGES = []
+"""The corpus pipeline: language ID, near duplicates, decontamination, secrets and packing, each over all that is left.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
+next one's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgermill.llm import common
+from ledgermill.llm.decontam import find_leaks
+from ledgermill.llm.jaccard_join import join_similar
+from ledgermill.llm.langid import identify_languages
+from ledgermill.llm.packing import pack_documents
+from ledgermill.llm.secrets import redact_secrets
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Documents whose doc_id isn't among the ids; these are written first, and broadcast only if there are few."""
+    gone = common.Work(docs.sparkSession, name).save(ids.filter("doc_id is not null").select("doc_id").distinct(), "ids")
+    return common.with_ids(docs, gone, ["doc_id"], "left_anti", gone.count())
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told (no text, or no letters) go."""
+    found = identify_languages(docs, ~common.held_out(4))
+    return _without(docs, found.filter("lang_pred = 'und'"), "language").filter(F.col("doc_id").isNotNull())
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more of five-word shingles, the one with the smallest id stays."""
+    found = join_similar(docs, size=5, percent=80)
+    return _without(docs, found.filter("component_id <> doc_id"), "duplicates")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, find_leaks(docs, common.table(spark, sf_dir, "benchmark")), "leaks")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in full windows."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan), ("packing", packing)]
+
+#: SQL can express neither the language nor the leak stage; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder before the next."""
+    work, docs = common.Work(spark, "pipeline"), common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = work.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
