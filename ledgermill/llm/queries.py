@@ -14,6 +14,8 @@ from .langid import identify_languages
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .token_count import count_tokens
+from .topk import top_k
+from .url_filter import filter_urls
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+#: The contract's rules.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(table(spark, sf_dir, "documents"), ~held_out(4))
     return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
@@ -41,6 +51,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(finite).select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -49,5 +65,5 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op4_language_id, op5_decontamination, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,8 +6,10 @@ broadcast, which also takes every hot key out of the join; the rest go by a shuf
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from . import common
 #: The most pre-tokens that are broadcast with their numbers of pieces.
 HEAD = 131_072
 #: Distinct pre-tokens that a task gathers before it passes them on.
-FLUSH = 300_000
+FLUSH = 50_000
 
 
 class Splitter:
@@ -28,9 +30,7 @@ class Splitter:
         import json
 
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -52,14 +52,25 @@ class Splitter:
         return 0, self.find(text)
 
 
+splitter = lru_cache(maxsize=1)(Splitter)  # one for each Python worker
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # else each worker keeps threads and their caches
+    return Tokenizer.from_file(path)
+
+
 def _frequencies(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(path), Counter()
+        split, seen = splitter(path), Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "n"])
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for text in batch.column("text").to_pylist():
                 seen.update(split(text or "")[1])
                 if len(seen) > FLUSH:
@@ -72,7 +83,7 @@ def _frequencies(path: str):
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Splitter(path).tokenizer
+        tokenizer = _tokenizer(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -88,11 +99,11 @@ def _documents(path: str, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        split, known = Splitter(path), head.value.get
-        for batch in batches:
+        split, known = splitter(path), head.value.get
+        for batch in common.slices(batches):
             cols: list[list] = [[] for _ in schema]
-            ids, size, texts = batch.column("doc_id").to_pylist(), 0, batch.column("text")
-            for doc_id, text in zip(ids, texts.to_pylist(), strict=True):
+            size = 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 key = common.signed(xxhash.xxh3_64_intdigest(raw))
                 n, found = split(text or "")
@@ -108,7 +119,7 @@ def _documents(path: str, head):
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 size += 1 + len(tail)
-                if size > 50_000:
+                if size > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                     cols, size = [[] for _ in schema], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
