@@ -12,6 +12,7 @@ from .decontam import find_leaks
 from .jaccard_join import join_similar
 from .langid import identify_languages
 from .packing import pack_documents
+from .revisits import recrawled, resolve_revisits
 from .secrets import scan_secrets
 from .token_count import count_tokens
 from .topk import top_k
@@ -65,5 +66,46 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(recrawled(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url_key", "outcome", "original_id", F.array_join(lines, "; ").alias("headers"))
+
+
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits)}
+
+#: The other methods (models, tokenizers, scanners) are beyond SQL, or too slow there on whole tables; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_revisits": r"""
+WITH bare AS (
+  SELECT page_id, md5(page_id::VARCHAR) AS digest, '"' || md5(coalesce(html, '')) || '"' AS tag,
+    regexp_replace(split_part(url, '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages),
+cut AS (SELECT *, regexp_extract(bare, '^[^/?]*', 0) AS host FROM bare),
+halves AS (SELECT *, split_part(substr(bare, length(host) + 1), '?', 1) AS path, substr(bare, length(host) + 1) AS rest FROM cut),
+keyed AS (
+  SELECT *, ltrim(regexp_replace('&' || substr(rest, length(path) + 2), '&utm_[^&]*', '', 'g'), '&') AS query FROM halves),
+urls AS (
+  SELECT page_id, digest, tag, regexp_replace(lower(host), ':(80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key
+  FROM keyed),
+caps AS (
+  SELECT 2 * page_id AS record_id, url_key, 2 * page_id AS ts, TRUE AS "full", tag AS etag, page_id AS d, page_id - 1 AS modified FROM urls
+  UNION ALL
+  SELECT 2 * page_id + 1, url_key, 2 * (page_id + 10000) + 1, FALSE,
+    CASE WHEN digest < '3' THEN '"changed"' WHEN digest < '6' THEN NULL ELSE 'W/' || tag END, page_id + 10000, page_id - 1 FROM urls),
+ranked AS (
+  SELECT r.*, o.record_id AS o_id, o.etag AS o_etag, o.modified AS o_modified,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY o.ts DESC NULLS LAST, o.record_id DESC NULLS LAST) AS place
+  FROM caps r LEFT JOIN caps o ON NOT r."full" AND o."full" AND o.url_key = r.url_key AND o.ts < r.ts),
+judged AS (
+  SELECT *, CASE WHEN "full" THEN 'response' WHEN o_id IS NULL THEN 'no_original'
+    WHEN coalesce(regexp_replace(etag, '^W/', '') = o_etag, modified = o_modified) THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM ranked WHERE place = 1)
+SELECT record_id, url_key, outcome, o_id AS original_id,
+  CASE outcome
+    WHEN 'response' THEN 'content-type: text/html; date: day ' || d || '; etag: ' || etag || '; last-modified: day ' || modified
+    WHEN 'resolved' THEN 'content-type: text/html; date: day ' || d || '; etag: ' || coalesce(etag, o_etag) || '; last-modified: day ' || modified
+    ELSE 'content-length: 0; date: day ' || d || coalesce('; etag: ' || etag, '') || '; last-modified: day ' || modified END AS headers
+FROM judged""",
+}
