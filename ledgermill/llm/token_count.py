@@ -52,7 +52,9 @@ class Splitter:
         return 0, self.find(text)
 
 
-splitter = lru_cache(maxsize=1)(Splitter)  # one for each Python worker
+@lru_cache(maxsize=1)  # one for each Python worker
+def splitter(path: str) -> Splitter:
+    return Splitter(path)
 
 
 @lru_cache(maxsize=1)
