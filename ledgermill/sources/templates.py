@@ -10,7 +10,7 @@ def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
     """All cells as strings, empty ones null. ``header_row``: lines before the header, of a file read by one task."""
     if not header_row:
         return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", "\r?\n"), F.lit(header_row + 1), F.lit(2**31 - 1))).alias("value"))
+    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.split("value", "\r?\n"), F.lit(header_row + 1), F.lit(1 << 30))).alias("value"))
     return spark.read.option("header", True).option("escape", '"').csv(lines.filter("value <> ''").rdd.map(lambda r: r.value))
 
 
