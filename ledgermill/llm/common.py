@@ -71,6 +71,14 @@ def rare_below(counts: DataFrame, most: int, n: str = "n") -> int:
     return c
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of this session have at most so many rows; a smaller setting stays. The buffers in which texts
+    go to Python stay with the executor and its workers, so whole batches of long texts are what an operator's memory depends on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; a null counts as empty."""
     import pyarrow as pa

@@ -190,6 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
     itself, and equal items match alike; with an empty table on either side the result is empty."""
     s = settings or Settings()
     spark = docs.sparkSession
+    common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

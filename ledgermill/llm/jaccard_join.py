@@ -166,6 +166,7 @@ def join_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and up to 100")
     spark = docs.sparkSession
+    common.small_batches(spark)
     work = common.Work(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     base = work.save(rows.select("doc_id", "h"), "base")

@@ -167,6 +167,7 @@ def identify_languages(docs: DataFrame, learn: Column) -> DataFrame:
     Whole texts of any length are parsed. lang_pred is ``und`` with score 0 for a null text, one without letters, and where
     nothing could be learnt; ties go to the language that sorts first, with score 0; rows that repeat an id give a row each; an empty table
     gives an empty result."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learnt = docs.sparkSession.sparkContext.broadcast(samples(rows, learn))
     return rows.select("doc_id", "text").mapInArrow(_judged(learnt), "doc_id long, lang_pred string, score double")

@@ -222,5 +222,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, sizes: tuple[i
     of any length is cut into windows; an empty table gives no rows. ``buffer_tokens`` bounds what a task holds."""
     if any(s & (s - 1) for s in sizes) or list(sizes) != sorted(set(sizes), reverse=True):
         raise ValueError("sizes are descending powers of two")
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_task(vocabulary, end_id, list(sizes), step_tokens, buffer_tokens), SCHEMA)

@@ -87,6 +87,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Whole texts are scanned, of any length; a null text counts as empty and has no spans; rows that repeat an id give a row
     each; an empty table gives an empty result. Nothing is shuffled."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)]))
 
@@ -117,4 +118,5 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(n, batch.schema.field(k).type))
             yield batch
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
