@@ -12,7 +12,7 @@ def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
     """All cells as strings, empty ones null. ``header_row``: lines before the header, of a file read by one task, whose cells hold no line breaks."""
     if not header_row:
         return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     names = next(csv.reader([lines.filter(F.col("pos") == header_row).first()["line"]]))
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = lines.filter((F.col("pos") > header_row) & (F.col("line") != "")).select(F.from_csv("line", F.lit(schema), {"escape": '"'}).alias("row"))
