@@ -1,15 +1,13 @@
-"""Benchmark decontamination: CGK random walks turn the edit distance of word sequences into a Hamming distance, repeated
-bit-sampling LSH over item-sized windows finds candidates, and an exact edit distance decides.
+"""Benchmark decontamination: an exact test of shared word triples finds the stretches of a text that can hold an item, and an exact
+edit distance decides about each of them.
 
-A window is as long as an item and may start at every word. Before windows are embedded, an exact test thins them: an item within
-its edit limit leaves so many of its word triples intact, and windows with fewer of them can't match. The number of walks
-follows from the target recall. Benchmark items are broadcast in blocks of bounded size, one pass for each block; documents are
-never shuffled.
+An item within its edit limit leaves so many of its word triples intact, and stretches with fewer of them can't match. All others are
+verified, so no match is lost, whatever the item's length and the kind of edits. Benchmark items are broadcast in blocks of bounded size,
+one pass for each block; documents are never shuffled.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,15 +29,7 @@ SCHEMA = "doc_id long, item_id long, start_word long, end_word long, edits int,
 class Settings:
     edits: float = 0.2  #: of an item's words, at most, may be changed, added or missing
     least_words: int = 8  #: shorter items are not looked for
-    recall: float = 0.99  #: aimed at
-    sampled: int = 2  #: positions of an embedding in one hash
-    same: float = 0.55  #: share of equal positions expected of embeddings at the edit limit
     block_chars: int = 16_000_000  #: of items that are broadcast at once
-    seed: int = 7
-
-    @property
-    def walks(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.same**self.sampled))
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -65,6 +55,23 @@ def edit_match(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return row[end][0], row[end][1], end
 
 
+def nearest(bits: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
+    """Least edits between an item of n words and any stretch of the text, and the first end of such a stretch: the last row of
+    ``edit_match``, whose columns are held as bits of two numbers (Myers). ``bits``: the places of each of the item's words."""
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, now, best = full, 0, n, (n, 0)
+    for end, x in enumerate(text, 1):
+        at = bits.get(x, 0)
+        same = ((((at & up) + up) ^ up) | at | down) & full
+        more, less = down | (full & ~(same | up)), same & up
+        now += bool(more & last) - bool(less & last)
+        if now < best[0]:
+            best = (now, end)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (full & ~(same | more)), more & same
+    return best
+
+
 class Finder:
     """Looks for a block of items in documents."""
 
@@ -75,47 +82,21 @@ class Finder:
         self.vocabulary: dict[bytes, int] = {}
         self.items = [(i, [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]) for i, w in found]
         self.limit = [int(s.edits * len(w)) for _, w in self.items]
-        self.by_length: dict[int, list[int]] = defaultdict(list)
+        self.bits: list[dict[int, int]] = [defaultdict(int) for _ in self.items]
         self.maybe = np.zeros(1 << 22, bool)
         self.triples: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
-            self.by_length[len(w)].append(k)
+            for i, x in enumerate(w):
+                self.bits[k][x] |= 1 << i
             self.maybe[self._code(np.array(w))] = True
             for t in set(zip(w, w[1:], w[2:], strict=False)):
                 self.triples[t].append(k)
-        rng = np.random.default_rng(s.seed)
-        longest = max(self.by_length, default=0)
-        #: For each walk, step and word whether the walk goes on by a word.
-        self.steps = rng.integers(0, 2, (s.walks, 3 * longest, len(self.vocabulary) + 2), np.uint8) if self.items else None
-        self.at = {n: rng.integers(0, 2 * n, (s.walks, s.sampled)) for n in sorted(self.by_length)}
-        self.buckets: dict[int, list[dict[bytes, list[int]]]] = {}
-        for n, ks in self.by_length.items():
-            seq = np.array([self.items[k][1] for k in ks])
-            tables: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in range(s.walks)]
-            for walk, keys in enumerate(self.hashes(seq, n)):
-                for k, key in zip(ks, keys, strict=True):
-                    tables[walk][key.tobytes()].append(k)
-            self.buckets[n] = tables
 
     @staticmethod
     def _code(x: np.ndarray) -> np.ndarray:
         """Of every three words in a row, a place in the bit map."""
         return ((x[:-2] * 0x9E3779B1 + x[1:-1] * 0x85EBCA77 + x[2:] * 0xC2B2AE3D) >> 7) & ((1 << 22) - 1)
 
-    def hashes(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """By walk and window the sampled words of its CGK embedding, whose first two thirds the walk mostly needs to pass the window."""
-        walks = np.arange(self.s.walks)[:, None]
-        rows = np.arange(len(windows))[None, :]
-        past = len(self.vocabulary) + 1  # beyond a window's end
-        padded = np.concatenate([windows, np.full((len(windows), 1), past)], axis=1)
-        sampled = self.at[n]
-        i = np.zeros((self.s.walks, len(windows)), np.int64)
-        embedded = np.empty((int(sampled.max()) + 1, self.s.walks, len(windows)), np.int32)
-        for j in range(len(embedded)):
-            embedded[j] = x = padded[rows, i]
-            i = np.minimum(i + self.steps[walks, j, x], n)
-        return np.stack([embedded[sampled[:, c], walks[:, 0]] for c in range(self.s.sampled)], axis=2)
-
     def find(self, raw: bytes) -> list[tuple[int, int, int, int, int]]:
         """item_id, start and end word, edits and item words of the best match of every item that is in the text."""
         get = self.vocabulary.get
@@ -127,44 +108,31 @@ class Finder:
         for p in at.tolist():
             for k in self.triples.get(tuple(text[p : p + 3].tolist()), ()):
                 hits[k].append(p)
-        starts: dict[int, set[int]] = defaultdict(set)
-        for k, places in hits.items():
-            n, limit = len(self.items[k][1]), self.limit[k]
-            must = max(1, n - 2 - 3 * limit)
-            for a, b in zip(places, places[must - 1 :], strict=False):
-                if b + 3 - a <= n + limit:
-                    starts[n].update(range(max(0, b + 3 - n - limit), min(a + limit, len(text) - 1) + 1))
-        wanted: dict[int, set[int]] = defaultdict(set)
-        for n, all_starts in starts.items():
-            for s in np.array_split(np.array(sorted(all_starts)), -(-len(all_starts) // 4096)):
-                where = s[:, None] + np.arange(n)[None, :]
-                windows = np.where(where < len(text), text[np.minimum(where, len(text) - 1)], len(self.vocabulary) + 1)
-                for table, keys in zip(self.buckets[n], self.hashes(windows, n), strict=True):
-                    for start, key in zip(s.tolist(), keys, strict=True):
-                        for k in table.get(key.tobytes(), ()):
-                            wanted[k].add(start)
         out = []
-        for k, starts in wanted.items():
+        for k, places in hits.items():
             item, limit = self.items[k][1], self.limit[k]
-            best = next(((x, x + len(item), 0) for x in sorted(starts) if text[x : x + len(item)].tolist() == item), None)
-            for begin, end in _stretches(sorted(starts), len(item) + 2 * limit, limit, len(text)) if not best else ():
-                edits, s, e = edit_match(item, text[begin:end].tolist())
+            n, best = len(item), None
+            for begin, end in _stretches(places, max(1, n - 2 - 3 * limit), n + limit, len(text)):
+                edits, e = nearest(self.bits[k], n, text[begin:end].tolist())
                 if edits <= limit and (best is None or edits < best[2]):
-                    best = (begin + s, begin + e, edits)
+                    stop = begin + e
+                    begin = max(begin, stop - n - limit)  # no match is longer
+                    best = (begin + edit_match(item, text[begin:stop].tolist())[1] if edits else stop - n, stop, edits)
             if best:
-                out.append((self.items[k][0], *best, len(item)))
+                out.append((self.items[k][0], *best, n))
         return sorted(out)
 
 
-def _stretches(starts: list[int], width: int, before: int, end: int) -> list[tuple[int, int]]:
-    """Stretches of the text about the starts, joined where they overlap."""
+def _stretches(places: list[int], must: int, width: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of a text that hold every stretch of at most ``width`` words with ``must`` of the triples at these places, joined where they overlap."""
     out: list[tuple[int, int]] = []
-    for s in starts:
-        a, b = max(0, s - before), min(end, s - before + width)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
+    for a, b in zip(places, places[must - 1 :], strict=False):
+        if b + 3 - a <= width:
+            begin, stop = max(0, b + 3 - width), min(end, a + width)
+            if out and begin <= out[-1][1]:
+                out[-1] = (out[-1][0], max(stop, out[-1][1]))
+            else:
+                out.append((begin, stop))
     return out
 
 

@@ -135,6 +135,32 @@ def test_decontamination(spark, docs, none):
     assert find_leaks(none, items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_long_items(spark):
+    rng, limit = random.Random(12), 0.2
+    rows, items, want = [], [], set()
+    for n in (9, 15, 50, 80, 150):
+        for kinds in ("s", "i", "d", "sid"):
+            for more in (0, 0, 0, 2):  # edits over the limit
+                k, item = len(items), [f"w{rng.randrange(3000)}" for _ in range(n)]
+                text = list(item)
+                for at in sorted(rng.sample(range(1, n - 1), int(limit * n) + more), reverse=True):
+                    kind = rng.choice(kinds)
+                    text[at : at + (kind != "i")] = [] if kind == "d" else [f"x{rng.randrange(3000)}"]
+                text = [*(f"v{rng.randrange(500)}" for _ in range(30)), *text, *(f"v{rng.randrange(500)}" for _ in range(30))]
+                row = [0] * (len(text) + 1)
+                for i, w in enumerate(item, 1):
+                    new = [i]
+                    for j, x in enumerate(text, 1):
+                        new.append(min(row[j - 1] + (w != x), row[j] + 1, new[-1] + 1))
+                    row = new
+                items.append((k, " ".join(item)))
+                rows.append((k, " ".join(text)))
+                if min(row) <= limit * n:
+                    want.add((k, k, min(row), row.index(min(row))))
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) >= 60 and {(r.doc_id, r.item_id, r.edits, r.end_word) for r in found.collect()} == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-40, 40, (400, 6))
