@@ -1,13 +1,14 @@
 """Class-based bigram language model: exchange clustering, class transitions, word emissions, smoothed perplexity.
 
-Words are grouped into units before classes are learnt: each of the most frequent words is a unit, and the others share units
-by their ending, so that every word, an unseen one too, has a unit and with it a class. The probability of a word after another is
+Every word of at least ``Settings.own`` occurrences is a unit and exchanged between classes, however many there are. Rarer and unseen words
+share units by their ending, so that they have a class too. The probability of a word after another is
 
     P(class | class before) * P(unit | class) * P(word | unit)
 
-where the last factor is 1 for a frequent word and (count + 1) / (tokens + words + 1) of its unit for another. All counts
-cover the whole training corpus. Only tables that the parameters bound (units, classes) are broadcast; word counts beyond
-them go by a shuffled join.
+where the last factor is 1 for a word that is a unit and (count + 1) / (tokens + words + 1) of its unit for another. All counts
+cover the whole training corpus. The most frequent words and the endings have numbers from 0; the other units have keys below 0, and
+their counts by neighbouring class are shuffled by unit. Classes are broadcast while they are few and else joined by a shuffle; only the class
+bigram counts come to the driver.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ FLUSH = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 1023  #: most frequent words with a unit of their own, at most
-    endings: int = 256  #: units of the other words, by the CRC-32 of their last three bytes
+    words: int = 1023  #: most frequent words whose units have numbers and are clustered first, at most
+    own: int = 3  #: occurrences from which a word is a unit
+    endings: int = 256  #: units of the rarer words, by the CRC-32 of their last three bytes
     classes: int = 64
     rounds: int = 12  #: of the exchange, at most
-    known: int = 131_072  #: most frequent words whose counts are broadcast, at most
+    known: int = 131_072  #: most frequent words whose counts and classes are broadcast for the scores, at most
+    broadcast: int = 500_000  #: units whose classes are broadcast to joins, at most
     prior: float = 8.0  #: weight of the class frequencies in a transition
     add: float = 0.5  #: added to a unit's count in an emission
 
@@ -61,34 +64,55 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Units(dict):
-    """Word to unit: 0 is the end of a text, then the frequent words, then endings. Keeps a bounded number of others."""
+    """Word to unit: 0 is the end of a text, then the frequent words; from ``extra`` on the known ones. A key below 0, from which ``ending``
+    tells the ending, is any other word's. Keeps a bounded number of others."""
 
-    def __init__(self, words: list[bytes], endings: int):
+    def __init__(self, words: list[bytes], endings: int, known: list[bytes] = ()):
         super().__init__((w, i + 1) for i, w in enumerate(words))
-        self.first, self.endings = len(words) + 1, endings
+        self.first, self.endings, self.extra = len(words) + 1, endings, len(words) + 1 + endings
+        self.update((w, self.extra + i) for i, w in enumerate(known))
+        self.most = len(self) + 400_000
 
     def __missing__(self, word: bytes) -> int:
-        u = self.first + zlib.crc32(word[-3:]) % self.endings
-        if len(self) < 400_000:
+        u = tail_key(word, self.endings)
+        if len(self) < self.most:
             self[word] = u
         return u
 
 
+def tail_key(word: bytes, endings: int) -> int:
+    import xxhash
+
+    return -1 - (xxhash.xxh3_64_intdigest(word) % ((1 << 62) // endings) * endings + zlib.crc32(word[-3:]) % endings)
+
+
+def ending(unit, endings: int):
+    """Of a key below 0, as a column or an array."""
+    return (-1 - unit) % endings
+
+
+def _keys(endings: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [tail_key(w, endings) for w in common.text_bytes(batch.column("word"))]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(keys, pa.int64())], ["word", "n", "unit"])
+
+    return run
+
+
 def _pair_counts(words, endings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(words.value, endings)
-        n = units.first + endings
-        total = np.zeros(n * n, np.int64)
         for batch in common.slices(batches):
             row = [0]
             for raw in common.text_bytes(batch.column("text")):
                 row += map(units.__getitem__, tokens(raw))
                 row.append(0)
-            u = np.array(row, np.int64)
-            np.add.at(total, u[:-1] * n + u[1:], 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["pair", "n"])
+            seen, at = np.unique(np.array(row, np.int64), return_inverse=True)
+            pair, n = np.unique(at[:-1] * len(seen) + at[1:], return_counts=True)
+            for i in range(0, len(pair), 100_000):
+                part = pair[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(seen[part // len(seen)]), pa.array(seen[part % len(seen)]), pa.array(n[i : i + 100_000])], ["u", "v", "n"])
 
     return run
 
@@ -126,8 +150,9 @@ def best_moves(cells: np.ndarray, own: np.ndarray, after: np.ndarray, before: np
         out_b[a] -= loop
         inn_b[a] -= loop
         # with it in class b: row b and column b change
-        rows_gain = _xlogx(base + out_b[None, :]).sum(1) - _xlogx(base).sum(1)
-        cols_gain = (_xlogx(base + inn_b[:, None]) - _xlogx(base)).sum(0)
+        x, y = np.flatnonzero(out_b), np.flatnonzero(inn_b)
+        rows_gain = (_xlogx(base[:, x] + out_b[x]) - _xlogx(base[:, x])).sum(1)
+        cols_gain = (_xlogx(base[y] + inn_b[y, None]) - _xlogx(base[y])).sum(0)
         d = np.arange(n)
         diag = base[d, d]
         cross = _xlogx(diag + out_b + inn_b + loop) - _xlogx(diag + out_b) - _xlogx(diag + inn_b) + _xlogx(diag)
@@ -137,98 +162,114 @@ def best_moves(cells: np.ndarray, own: np.ndarray, after: np.ndarray, before: np
     return to, gain
 
 
-def _moves(own: np.ndarray, cells: np.ndarray):
+def _moves(cells: np.ndarray):
     def moves(part: pd.DataFrame) -> pd.DataFrame:
         units, at = np.unique(part["unit"], return_inverse=True)
-        after = part["after"].to_numpy(bool)
+        after, own = part["after"].to_numpy(bool), np.zeros(len(units), np.int64)
+        own[at] = part["own"].to_numpy()
         x, loops = np.zeros((2, len(units), len(cells))), np.zeros(len(units))
         np.add.at(x, (after.astype(int), at, part["c"].to_numpy()), part["n"].to_numpy())
         np.add.at(loops, at[after], part["loop"].to_numpy()[after])
-        to, gain = best_moves(cells, own[units], x[1], x[0], loops)
+        to, gain = best_moves(cells, own, x[1], x[0], loops)
         return pd.DataFrame({"unit": units, "to": to, "gain": gain})
 
     return moves
 
 
-def exchange(pairs: DataFrame, n_units: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the units, and the class bigram counts. ``pairs``: u, v, n, of which there are at most n_units ** 2.
+def with_class(df: DataFrame, unit: str, labels: DataFrame, c: str, n_units: int, most: int) -> DataFrame:
+    """With the class (null where there is none) of a column's units. Beyond ``most`` units, keys below 0 are joined by a shuffle."""
+    named = labels.select(F.col("unit").alias(unit), F.col("c").alias(c))
+    if n_units <= most:
+        return df.join(F.broadcast(named), unit, "left")
+    tail = df.filter(F.col(unit) < 0).join(named.filter(F.col(unit) < 0).hint("merge"), unit, "left")
+    return tail.unionByName(df.filter(F.col(unit) >= 0).join(F.broadcast(named.filter(F.col(unit) >= 0)), unit, "left"))
+
+
+def exchange(pairs: DataFrame, labels: DataFrame, n_units: int, classes: int, rounds: int, most: int) -> tuple[DataFrame, np.ndarray]:
+    """Classes of the units (unit, c), and the class bigram counts. ``pairs``: u, v, n; ``labels``: the n_units units' first classes.
 
     Every round Spark sums the pairs by unit and neighbouring class and finds each unit's best class in parallel, against the
     counts at the round's start; half of the units may move in a round, and a round that loses likelihood is undone and tried
-    with fewer moves. Only the classes and the class bigram counts come to the driver; the parameters bound both."""
-    spark = pairs.sparkSession
-    own = np.arange(n_units) % classes
+    with fewer moves. Only the class bigram counts come to the driver."""
+    work = common.Work(pairs.sparkSession, "exchange")
 
-    def counted(classes_of: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        labels = spark.createDataFrame(pd.DataFrame({"unit": np.arange(n_units), "c": classes_of}))
-        with_classes = pairs.join(F.broadcast(labels.toDF("u", "cu")), "u").join(F.broadcast(labels.toDF("v", "cv")), "v")
-        cells = np.zeros((classes, classes))
-        for r in with_classes.groupBy("cu", "cv").agg(F.sum("n").alias("n")).collect():
-            cells[r.cu, r.cv] = r.n
-        return with_classes, cells
-
-    with_classes, cells = counted(own)
-    value, share = likelihood(cells), 0.5
-    for round_ in range(rounds):
-        both = with_classes.select(
+    def counted(labels: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
+        both = with_class(with_class(pairs, "u", labels, "cu", n_units, most), "v", labels, "cv", n_units, most)
+        sides = both.select(
             F.explode(F.array(
-                F.struct(F.col("u").alias("unit"), F.col("cv").alias("c"), F.lit(True).alias("after"), "n", (F.col("u") == F.col("v")).alias("loop")),
-                F.struct(F.col("v").alias("unit"), F.col("cu").alias("c"), F.lit(False).alias("after"), "n", (F.col("u") == F.col("v")).alias("loop")),
+                F.struct(F.col("u").alias("unit"), F.col("cu").alias("own"), F.col("cv").alias("c"), F.lit(True).alias("after"), "n", (F.col("u") == F.col("v")).alias("loop")),
+                F.struct(F.col("v").alias("unit"), F.col("cv").alias("own"), F.col("cu").alias("c"), F.lit(False).alias("after"), "n", (F.col("u") == F.col("v")).alias("loop")),
             )).alias("x")
         ).select("x.*")
-        mine = both.filter(F.pmod(F.hash("unit", F.lit(round_)), F.lit(100)) < int(100 * share))
-        sums = mine.groupBy("unit", "c", "after").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("loop"), F.col("n")).otherwise(0)).alias("loop"))
+        sums = work.save(sides.groupBy("unit", "own", "c", "after").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("loop"), F.col("n")).otherwise(0)).alias("loop")), name)
+        cells = np.zeros((classes, classes))
+        for r in sums.filter("after").groupBy("own", "c").agg(F.sum("n").alias("n")).collect():
+            cells[r.own, r.c] = r.n
+        return sums, cells
 
-        found = sums.groupBy((F.col("unit") % 32).alias("part")).applyInPandas(_moves(own, cells), "unit long, to long, gain double").filter("gain > 1e-6").collect()
-        if not found:
+    sums, cells = counted(labels, "sums")
+    value, share, parts, old = likelihood(cells), 0.5, max(32, n_units // 5000), "sums"
+    for round_ in range(rounds):
+        mine = sums.filter(F.pmod(F.hash("unit", F.lit(round_)), F.lit(100)) < int(100 * share))
+        found = mine.groupBy(F.pmod(F.hash("unit"), F.lit(parts)).alias("part")).applyInPandas(_moves(cells), "unit long, to long, gain double").filter("gain > 1e-6")
+        found = work.save(found, f"moves{round_}")
+        n_found = found.count()
+        if not n_found:
             if share >= 1:
                 break
             share = 1.0
             continue
-        new = own.copy()
-        for r in found:
-            new[r.unit] = r.to
-        new_classes, new_cells = counted(new)
+        found = F.broadcast(found) if n_found <= most else found.hint("merge")
+        new = work.save(labels.join(found, "unit", "left").select("unit", F.coalesce("to", "c").alias("c")), f"labels{round_}")
+        new_sums, new_cells = counted(new, f"sums{round_}")
         if (new_value := likelihood(new_cells)) <= value:
+            work.drop(f"sums{round_}")
             share /= 2
             continue
+        work.drop(old)
         done = new_value - value < 1e-4 * abs(value) and share >= 0.5
-        own, with_classes, cells, value = new, new_classes, new_cells, new_value
+        labels, sums, cells, value, old = new, new_sums, new_cells, new_value, f"sums{round_}"
         if done:
             break
-    return own, cells
+    work.drop(old)
+    return labels, cells
 
 
 def _scores(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("word", pa.string()), ("f", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("word", pa.string()), ("f", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("steps", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         m = shared.value
-        units, n_classes, of, step, emit, head_log, known = Units(m["words"], m["endings"]), m["classes"], m["of"], m["step"], m["emit"], m["head_log"], m["known"]
+        units, n_classes, of, step, emit, head_log = Units(m["words"], m["endings"], m["known"]), m["classes"], m["of"], m["step"], m["emit"], m["head_log"]
         first, norm = units.first, m["norm"]
         for batch in common.slices(batches):
             cols: list[list] = [[] for _ in schema]
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), common.text_bytes(batch.column("text")), strict=True):
                 words = tokens(raw)
                 u = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-                c = of[np.concatenate(([0], u, [0]))]
-                score = float(step[c[:-1] * n_classes + c[1:]].sum() + emit[u].sum() + emit[0])
-                is_head = u < first
-                seen, base = int(is_head.sum()) + m["ends"], float(head_log[u].sum() + head_log[0])
-                rest, plus = [], 0.0
-                for i, f in Counter([words[j] for j in np.flatnonzero(~is_head)]).items():
-                    x = known.get(i)
-                    if x is None:
-                        rest.append((i, f))
-                    else:
-                        plus += f * x
-                        seen += f
+                other = u < 0  # neither numbered nor known
+                at = np.where(other, first + ending(u, units.endings), u)
+                c = of[np.concatenate(([0], at, [0]))]
+                steps = step[c[:-1] * n_classes + c[1:]]
+                open_ = np.concatenate(([False], other, [False])) & (not m["all_known"])
+                later = open_[:-1] | open_[1:]
+                score = float(steps[~later].sum() + emit[at].sum() + emit[0])
+                seen, base = int((~other).sum()) + m["ends"], float(head_log[u[~other]].sum() + head_log[0])
+                rest = Counter([words[j] for j in np.flatnonzero(other)])
                 key = common.signed(xxhash.xxh3_64_intdigest(raw))
                 n = len(words) + 1
                 # no word starts with a blank, so the first row's key matches nothing, and it spreads the rows
-                for row in ((doc_id, key, f" {key % 10**9}", 0, 1, n, seen, base + plus - n * norm, score + plus), *((doc_id, key, w.decode(), f, 0, 0, 0, 0.0, 0.0) for w, f in rest)):
+                blank, spread = f" {key % 10**9}", key % 10**9 * n_classes
+                # units whose class is known are given as it, beyond all units and spread too
+                ends = np.where(open_, np.concatenate(([0], u, [0])), c + m["beyond"] + spread)
+                moves = Counter(zip(ends[:-1][later].tolist(), ends[1:][later].tolist(), strict=True))
+                away = m["beyond"] + spread
+                rows = [(doc_id, key, blank, 0, 1, n, seen, base - n * norm, score, away, away, 0)]
+                rows += [(doc_id, key, w.decode(), f, 0, 0, 0, 0.0, 0.0, away, away, 0) for w, f in rest.items()]
+                rows += [(doc_id, key, blank, 0, 0, 0, 0, 0.0, 0.0, a, b, f) for (a, b), f in moves.items()]
+                for row in rows:
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 if len(cols[0]) > 50_000:
@@ -239,6 +280,11 @@ def _scores(shared):
     return run
 
 
+def _tail_class(df: DataFrame, unit: str, labels: DataFrame, n_tail: int, most: int) -> DataFrame:
+    named = labels.select(F.col("unit").alias(unit), "c")
+    return df.join(F.broadcast(named) if n_tail <= most else named.hint("merge"), unit, "left")
+
+
 def score_documents(docs: DataFrame, held_out, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of ``docs`` (doc_id, text;
     other columns are ignored). ``held_out``: a boolean column of doc_id; the model learns from the rows where it is false.
@@ -250,7 +296,7 @@ def score_documents(docs: DataFrame, held_out, settings: Settings | None = None)
     common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     training = docs.filter(~F.col("held_out")).select("text")
-    counts = work.save(training.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = work.save(training.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_keys(s.endings), "word string, n long, unit long"), "counts")
     texts = training.count()
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = size.n + texts, size.v + (texts > 0)
@@ -259,19 +305,39 @@ def score_documents(docs: DataFrame, held_out, settings: Settings | None = None)
     head = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))
     words = [r.word.encode() for r in head]
     first = len(words) + 1
-    pairs = training.mapInArrow(_pair_counts(spark.sparkContext.broadcast(words), s.endings), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     n_units = first + s.endings
-    pairs = work.save(pairs.select(F.expr(f"pair div {n_units}").alias("u"), (F.col("pair") % n_units).alias("v"), "n"), "pairs")
-    of, cells = exchange(pairs, n_units, s.classes, s.rounds if texts else 0)
+    pairs = training.mapInArrow(_pair_counts(spark.sparkContext.broadcast(words), s.endings), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    middle = counts.filter((F.col("n") >= s.own) & (F.col("n") < least))
+    # a key that two words share stands for both
+    tail = work.save(middle.groupBy("unit").agg(F.sum("n").alias("n")), "tail")
+    n_tail = tail.count()
+    marks = tail.select("unit", F.lit(1).alias("c"))
+    rough = lambda x: F.when(F.col(x) < 0, first + ending(F.col(x), s.endings)).otherwise(F.col(x)).alias(x)
+    for x in ("u", "v"):  # rare words become their endings
+        pairs = with_class(pairs, x, marks, "is", n_tail, s.broadcast).select(*[F.when((F.col(x) < 0) & F.col("is").isNull(), rough(x)).otherwise(F.col(x)).alias(x) if y == x else y for y in ("u", "v")], "n")
+    pairs = work.save(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")), "pairs")
+    # numbered units first, with all other words as their endings; then all units
+    few = work.save(pairs.select(rough("u"), rough("v"), "n").groupBy("u", "v").agg(F.sum("n").alias("n")), "few")
+    numbered = spark.createDataFrame(pd.DataFrame({"unit": np.arange(n_units), "c": np.arange(n_units) % s.classes}))
+    labels, cells = exchange(few, numbered, n_units, s.classes, s.rounds if texts else 0, s.broadcast)
+    if n_tail:
+        endings = labels.filter(F.col("unit") >= first).select((F.col("unit") - first).alias("ending"), "c")
+        starts = tail.select("unit", ending(F.col("unit"), s.endings).alias("ending")).join(F.broadcast(endings), "ending").select("unit", "c")
+        labels, cells = exchange(pairs, work.save(labels.unionByName(starts), "starts"), n_units + n_tail, s.classes, s.rounds, s.broadcast)
+    of = np.zeros(n_units, np.int64)
+    for r in labels.filter(F.col("unit") >= 0).collect():
+        of[r.unit] = r.c
 
     unit_n = np.zeros(n_units)
-    for r in pairs.groupBy("v").agg(F.sum("n").alias("n")).collect():
+    for r in pairs.filter(F.col("v") >= 0).groupBy("v").agg(F.sum("n").alias("n")).collect():
         unit_n[r.v] = r.n
-    ending = (first + F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % s.endings).alias("unit")
     unit_v = np.zeros(n_units)
-    for r in counts.filter(F.col("n") < least).groupBy(ending).agg(F.count("*").alias("k")).collect():
+    rare = counts.filter(F.col("n") < min(s.own, least))
+    for r in rare.groupBy((first + ending(F.col("unit"), s.endings)).alias("unit")).agg(F.count("*").alias("k")).collect():
         unit_v[r.unit] = r.k
-    class_n, members = np.bincount(of, unit_n, s.classes), np.bincount(of, minlength=s.classes)
+    class_n, members = cells.sum(0), np.zeros(s.classes)
+    for r in labels.groupBy("c").count().collect():
+        members[r.c] = r["count"]
     share = (class_n + 1) / (n + s.classes)
     step = np.log10((cells + s.prior * share[None, :]) / (cells.sum(1, keepdims=True) + s.prior))
     emit = np.log10((unit_n + s.add) / (class_n + s.add * members)[of])
@@ -280,18 +346,34 @@ def score_documents(docs: DataFrame, held_out, settings: Settings | None = None)
     head_log[:first] = np.log10(np.array([texts, *(r.n for r in head)]) + 1.0)
 
     most = common.rare_below(counts, s.known)
-    known = {r.word.encode(): float(np.log10(r.n + 1)) for r in counts.filter((F.col("n") >= most) & (F.col("n") < least)).collect()}
-    model = {"words": words, "endings": s.endings, "classes": s.classes, "of": of, "step": step.ravel(), "emit": emit, "head_log": head_log, "known": known, "norm": float(np.log10(n + v + 1)), "ends": int(texts > 0)}
+    # of every word that isn't numbered: its class, its count's logarithm, and what its emission has beyond its ending's
+    per_class = spark.createDataFrame(pd.DataFrame({"c": np.arange(s.classes), "all": class_n + s.add * members}))
+    per_ending = spark.createDataFrame(pd.DataFrame({"ending": np.arange(s.endings), "of_ending": of[first:], "emit": emit[first:]}))
+    others = with_class(counts.filter(F.col("n") < least), "unit", labels, "c", n_units + n_tail, s.broadcast).withColumn("ending", ending(F.col("unit"), s.endings))
+    others = others.join(F.broadcast(per_ending), "ending").join(F.broadcast(per_class), "c", "left")
+    log = F.log10(F.col("n") + 1.0)
+    extra = F.when(F.col("n") >= s.own, F.log10((F.col("n") + s.add) / F.col("all")) - F.col("emit")).otherwise(log)
+    others = work.save(others.select("word", "n", F.coalesce(F.when(F.col("n") >= s.own, F.col("c")), "of_ending").alias("c"), log.alias("log"), extra.alias("extra"), (F.col("emit") + extra).alias("term")), "others")
+    top = others.filter(F.col("n") >= most).collect()
+    of, emit, head_log = np.concatenate([of, np.array([r.c for r in top], np.int64)]), np.concatenate([emit, [r.term for r in top]]), np.concatenate([head_log, [r.log for r in top]])
+    beyond = s.classes * (1 + (n_units + len(top)) // s.classes)
+    model = {"words": words, "endings": s.endings, "classes": s.classes, "of": of, "step": step.ravel(), "emit": emit, "head_log": head_log, "known": [r.word.encode() for r in top], "norm": float(np.log10(n + v + 1)), "ends": int(texts > 0), "all_known": most <= s.own, "beyond": beyond}
     rows = docs.select("doc_id", "text").mapInArrow(
         _scores(spark.sparkContext.broadcast(model)),
-        "doc_id long, text_hash long, word string, f long, copies long, n_tokens long, n_known long, base double, score double",
+        "doc_id long, text_hash long, word string, f long, copies long, n_tokens long, n_known long, base double, score double, a long, b long, steps long",
     )
-    rare = counts.filter(F.col("n") < min(most, least)).withColumnRenamed("n", "c").hint("merge")
-    joined = rows.join(rare, "word", "left")
-    plus = F.sum(F.col("f") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))
+    joined = rows.join(others.filter(F.col("n") < most).select("word", "n", "log", "extra").hint("merge"), "word", "left").withColumn("more", F.coalesce(F.col("f") * F.col("extra"), F.lit(0.0)))
+    if not model["all_known"]:
+        ends = spark.createDataFrame(pd.DataFrame({"ending": np.arange(s.endings), "of_ending": of[first:n_units]}))
+        for x in ("a", "b"):
+            looked = _tail_class(joined, x, labels.filter(F.col("unit") < 0), n_tail, s.broadcast).withColumn("ending", ending(F.col(x), s.endings))
+            looked = looked.join(F.broadcast(ends), F.when(F.col(x) < 0, looked.ending) == ends.ending, "left").drop("ending")
+            joined = looked.withColumn(x, F.when(F.col(x) >= 0, F.col(x) % s.classes).otherwise(F.coalesce("c", "of_ending"))).drop("c", "of_ending")
+        steps = spark.createDataFrame(pd.DataFrame({"a": np.repeat(np.arange(s.classes), s.classes), "b": np.tile(np.arange(s.classes), s.classes), "step": step.ravel()}))
+        joined = joined.join(F.broadcast(steps), ["a", "b"], "left").withColumn("more", F.col("more") + F.col("steps") * F.col("step"))
     found = joined.groupBy("doc_id", "text_hash").agg(
-        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("f")).otherwise(0)).alias("n_known"),
-        (F.sum("base") + plus).alias("base_score"), (F.sum("score") + plus).alias("score"),
+        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("f")).otherwise(0)).alias("n_known"),
+        (F.sum("base") + F.sum(F.coalesce(F.col("f") * F.col("log"), F.lit(0.0)))).alias("base_score"), (F.sum("score") + F.sum("more")).alias("score"),
     )
     # equal rows have added up: each has an equal share
     each = found.select("doc_id", "copies", *(F.expr(f"{x} div copies").alias(x) for x in ("n_tokens", "n_known")), *((F.col(x) / F.col("copies")).alias(x) for x in ("base_score", "score")))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.llm import common, langid, packing, secrets, url_filter
-from ledgermill.llm.brown_lm import score_documents
+from ledgermill.llm.brown_lm import Settings, score_documents
 from ledgermill.llm.decontam import find_leaks
 from ledgermill.llm.jaccard_join import join_similar
 from ledgermill.llm.queries import RULES
@@ -59,6 +59,22 @@ def test_class_lm(docs, none):
     assert len(got) == len(texts()) and score_documents(none, common.held_out(7)).count() == 0
 
 
+def test_class_lm_rarer_words(spark):
+    rng, rows = random.Random(4), []
+    # two kinds of words with the same endings, in turn; more of them than are numbered
+    kinds = [[f"{k}{i}end" for i in range(40)] for k in "ab"]
+    for i in range(400):
+        rows.append((i, " ".join(rng.choice(kinds[j % 2]) for j in range(20))))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for more in ({}, {"known": 30}, {"known": 30, "broadcast": 0}):
+        got = score_documents(table, common.held_out(7), Settings(words=8, classes=4, **more)).collect()
+        found.append({r.doc_id: r for r in got})
+        assert len(got) == len(rows) and sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out) + 0.2 * 20 * sum(r.held_out for r in got)
+    for other in found[1:]:
+        assert all(other[i].score == pytest.approx(r.score, rel=1e-9) and other[i].n_known == r.n_known for i, r in found[0].items())
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
