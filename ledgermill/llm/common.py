@@ -35,11 +35,18 @@ class Work:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}" if name else self.at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        path, files = self._path()
+        self.drop(*(f.getPath().getName() for f in files.listStatus(path) if f.getPath().getName() not in names))
 
 
 def with_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str, n_ids: int, most: int = MAX_BROADCAST_IDS) -> DataFrame:
@@ -47,6 +54,21 @@ def with_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str, n_ids: int,
     return df.join(F.broadcast(ids) if n_ids <= most else ids.hint("merge"), on, how)
 
 
+def with_groups(df: DataFrame, groups: DataFrame, key: str, large: int) -> DataFrame:
+    """``df`` with the columns of its key's row in ``groups`` (one row a key, with k, the key's number of rows in ``df``), or nulls.
+
+    Keys of more than ``large`` rows, of which there are few, are broadcast (100,000 at most, the largest), so that no task gets all rows of
+    one; the others are joined by a shuffle. ``df`` and ``groups`` are read twice, so they should be written tables."""
+    top = groups.filter(F.col("k") > large).orderBy(F.desc("k"), key).limit(100_000)
+    n = top.count()
+    if not n:
+        return df.join(groups.hint("merge"), key, "left")
+    names = top.select(key)
+    hot = df.join(F.broadcast(top), key)
+    rest = df.filter(F.col(key).isNull()).unionByName(df.join(F.broadcast(names), key, "left_anti").filter(F.col(key).isNotNull()))
+    return hot.unionByName(rest.join(groups.join(F.broadcast(names), key, "left_anti").hint("merge"), key, "left"))
+
+
 def held_out(modulus: int, doc_id=None):
     """True where crc32 of the id as text leaves remainder 2; a null id is never held out."""
     key = F.col("doc_id") if doc_id is None else doc_id

@@ -10,10 +10,12 @@ documents share makes hardly any. Documents with too few segments in common with
 *Overlaps.* The sets of the remaining documents are cut into a few fragments, each pair's partial overlaps are counted
 fragment by fragment, joined on (document, fragment), and summed per pair.
 
-Links are wanted as components, so a group of documents with an equal segment is first joined as a star around the member
-with the fewest n-grams of its own; then the pairs between different components of a group that can still link are joined
-too. n-grams that no other candidate has bound the similarity of a pair beforehand, exactly, which keeps groups of near copies that don't
-link from making all their pairs. Equal texts are one node throughout.
+*Groups.* Links are wanted as components, so a group of documents with an equal segment is first joined as a star around its hub,
+the member with the fewest n-grams of its own. Let D(x) be the n-grams in which x and the hub differ. Two members x and y differ in
+|D(x)| + |D(y)| - 2 * |D(x) and D(y)| n-grams, and at least one of two members in different components differs from the hub in more than
+a link allows. So the two must share n-grams of D, and with them one of the rarest few (prefix filter): the n-grams shared there make the
+next, smaller groups, and so on. Edits of a document's own make no pair, so groups of near copies that don't link end without one.
+When the pairs left are fewer than the rows that make them, they are compared outright. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from . import common
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
+#: Members of a group from which on it is dealt over several tasks.
+LARGE = 1000
+#: Rounds of stars, at most, before the pairs left are compared outright.
+ROUNDS = 8
 _U = np.uint64
 _SIGNATURES = "sig long, node long, n long, need0 int, need1 int"
 
@@ -92,9 +98,8 @@ def signatures(s: np.ndarray, ladder: Ladder) -> tuple[list[np.ndarray], list[in
         full = cut[1:] > cut[:-1]
         x = _mixed(sums[cut[1:]] - sums[cut[:-1]] + _U((j + 1) * 0x9E3779B97F4A7C15 % 2**64) + np.arange(m, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
         must = m - k - int((~full).sum())
-        # if all equal segments may be empty ones, empty ones count
-        x, must = (x[full], must) if must >= 1 else (x, m - k)
-        out[j & 1], need[j & 1] = (x & ~_U(1)) | _U(j & 1), must
+        # only if all equal segments may be empty ones, empty ones are given; a set that gives none shares a full one with all it links with
+        out[j & 1], need[j & 1] = ((x[full] if must >= 1 else x) & ~_U(1)) | _U(j & 1), max(1, must)
     return out, need
 
 
@@ -129,7 +134,7 @@ def _segment_rows(size: int):
             for node, raw in zip(batch.column("doc_id").to_pylist(), common.text_bytes(batch.column("text")), strict=True):
                 s = shingles(raw, size, hashes)
                 cut = np.searchsorted(((s >> _U(32)) * _U(FRAGMENTS)) >> _U(32), np.arange(FRAGMENTS + 1, dtype=_U))
-                rows += [(node, f, s[cut[f] : cut[f + 1]].view(np.int64)) for f in range(FRAGMENTS) if cut[f + 1] > cut[f]]
+                rows += [(node, f, s[cut[f] : cut[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
             node, f, grams = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "fragment", "grams"])
 
@@ -155,6 +160,31 @@ def components(work: common.Work, edges: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("no end of the components")
 
 
+class Links:
+    """Candidates' n-grams, and the components of the links found so far."""
+
+    def __init__(self, work: common.Work, sets: DataFrame, percent: int):
+        self.work, self.sets, self.percent, self.labels, self.n = work, sets, percent, None, 0
+
+    def pairs(self, pairs: DataFrame, columns: list[str], joined) -> DataFrame:
+        """``columns`` of the pairs (a, b, salt) and ``joined`` of both sides' n-grams (ga, gb), fragment by fragment. The b side's n-grams come
+        first; a is a key that many pairs may have, so its n-grams are copied for each of its salts."""
+        copies = pairs.groupBy("a").agg(F.max("salt").alias("most"))
+        left = self.sets.select(F.col("node").alias("a"), F.col("fragment").alias("f"), F.col("grams").alias("ga")).join(copies, "a")
+        left = left.withColumn("salt", F.explode(F.expr("sequence(0, most)"))).drop("most")
+        right = pairs.join(self.sets.select(F.col("node").alias("b"), F.col("fragment").alias("f"), F.col("grams").alias("gb")), "b")
+        return right.join(left, ["a", "salt", "f"]).select(*columns, joined)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Those of the pairs (a, b, na, nb, salt) that link are added: partial overlaps by fragment, summed per pair."""
+        self.n += 1
+        part = self.pairs(pairs, ["a", "b", "na", "nb"], F.size(F.array_intersect("ga", "gb")).alias("part"))
+        total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+        links = total.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent).select("a", "b")
+        links = self.work.save(links if self.labels is None else links.union(self.labels.select("component", "node")), f"links{self.n}")
+        self.labels = components(self.work, links, f"components{self.n}")
+
+
 def join_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -170,68 +200,121 @@ def join_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     work = common.Work(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     base = work.save(rows.select("doc_id", "h"), "base")
-    chosen = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
-    nodes = chosen.groupBy("h").agg(F.min("doc_id").alias("node"))
-    members = work.save(chosen.join(nodes, "h").select("doc_id", "h", "node", "rows"), "members")
+    chosen = work.save(base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("rows")), "chosen")
+    copies = work.save(chosen.groupBy("h").agg(F.min("doc_id").alias("node"), F.count("*").alias("k")).filter("k > 1"), "copies")
+    members = common.with_groups(chosen, copies, "h", LARGE).select("doc_id", "h", F.coalesce("node", "doc_id").alias("node"), "rows")
+    members = work.save(members, "members")
     left_out = base.join(members.filter("doc_id = node").select("doc_id", "h"), ["doc_id", "h"], "left_anti").filter("doc_id is not null").distinct()
     facts = members.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
     texts = common.with_ids(rows.filter("doc_id is not null"), left_out, ["doc_id", "h"], "left_anti", left_out.count())
 
     found = work.save(texts.select("doc_id", "text").mapInArrow(_signature_rows(size, percent), _SIGNATURES), "signatures")
     sizes = work.save(found.filter("sig is null").select("node", "n", "need0", "need1").distinct(), "sizes")
-    by_sig = Window.partitionBy("sig")
     # rows that repeat a text repeat its segments
     segments = found.filter("sig is not null").select("sig", "node")
     segments = segments.distinct() if facts.most > 1 else segments
-    groups = work.save(segments.withColumn("k", F.count("*").over(by_sig)).filter("k > 1").select("sig", "node"), "groups")
-    work.drop("signatures")
+    groups = work.save(_shared(segments, work), "groups")
+    work.drop("signatures", "chosen", "copies")
     needs = sizes.select("node", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("need0").alias("need")), F.struct(F.lit(1).alias("side"), F.col("need1").alias("need")))).alias("x")).select("node", "n", "x.*")
     side = F.col("sig").bitwiseAND(F.lit(1)).cast("int").alias("side")
     enough = groups.groupBy("node", side).agg(F.count("*").alias("k")).join(needs, ["node", "side"]).filter("k >= need").select("node", "side", "n")
-    groups = work.save(groups.select("sig", "node", side).join(enough, ["node", "side"]).withColumn("k", F.count("*").over(by_sig)).filter("k > 1").select("sig", "node", "n"), "candidates")
+    groups = work.save(groups.select("sig", "node", side).join(enough, ["node", "side"]).select("sig", "node", "n"), "enough")
     work.drop("groups")
     cand = work.save(groups.select(F.col("node").alias("doc_id")).distinct().join(members.select("doc_id", "h"), "doc_id"), "nodes")
     sets = common.with_ids(rows, cand, ["doc_id", "h"], "left_semi", cand.count()).select("doc_id", "text").mapInArrow(_segment_rows(size), "node long, fragment int, grams array<long>")
     sets = work.save(sets.dropDuplicates(["node", "fragment"]) if facts.most > 1 else sets, "sets")
-
     grams = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     own = grams.filter("node = other").groupBy("node").agg(F.count("*").alias("own"))
     groups = groups.join(own, "node", "left").select("sig", "node", "n", F.coalesce("own", F.lit(0)).alias("own")).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    groups = work.save(groups, "groups-own")
-
-    def can_link(a: str, b: str) -> Column:
-        most = F.least(*(F.col(f"{x}.n") - F.col(f"{x}.own") for x in (a, b)))
-        return most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """Of the pairs (a, b, with sizes na, nb) those that link: partial overlaps by fragment, summed per pair."""
-        left = pairs.join(sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
-        part = left.join(sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
-        part = part.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
-        total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-        return work.save(total.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), name)
-
-    member = F.struct("node", "n", "own")
-    hub = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")).over(by_sig)
-    stars = groups.select(member.alias("x"), hub.alias("y")).filter("x.node <> y.node").filter(can_link("x", "y"))
-    pair = [f"{f}(x.node, y.node) as {name}" for f, name in (("least", "a"), ("greatest", "b"))]
-    sized = [F.when(F.col("x.node") == F.least("x.node", "y.node"), F.col(f"{p}.n")).otherwise(F.col(f"{q}.n")).alias(name) for p, q, name in (("x", "y", "na"), ("y", "x", "nb"))]
-    tried = work.save(stars.select(*map(F.expr, pair), *sized).distinct(), "stars")
-    first = components(work, links(tried, "star-links"), "first")
-
-    labelled = groups.join(first, "node", "left").select("sig", member.alias("x"), F.coalesce("component", "node").alias("c"))
-    mixed = labelled.withColumn("lo", F.min("c").over(by_sig)).withColumn("hi", F.max("c").over(by_sig)).filter("lo < hi").select("sig", "x", "c")
-    mixed = work.save(mixed, "mixed")
-    others = mixed.select("sig", F.col("x").alias("y"), F.col("c").alias("d"))
-    pairs = mixed.join(others, (mixed.sig == others.sig) & (F.col("c") < F.col("d")) & can_link("x", "y"))
-    pairs = pairs.select(*map(F.expr, pair), *sized).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = links(pairs, "more-links")
-    label = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
-    second = components(work, joined, "second")
-    work.drop("sets", "groups-own", "candidates", "stars", "mixed")
-
-    second = second.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    top = members.select("doc_id", "node").join(sizes.select("node", "n"), "node", "left").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).join(second, "component", "left")
-    top = top.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("top", "component")).alias("component_id"))
-    return base.select("doc_id").join(top, "doc_id", "left")
+    groups = work.save(groups, "groups0")
+
+    links = Links(work, sets, percent)
+    for round_ in range(ROUNDS):
+        groups = _star_round(groups, links, round_)
+        if groups is None:
+            break
+    else:
+        _compare(groups, links)
+    labels = links.labels
+    top = members.select("doc_id", "node").join(sizes.select("node", "n"), "node", "left").join(labels, "node", "left")
+    top = top.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
+    result = work.save(base.select("doc_id").join(top, "doc_id", "left"), "result")
+    work.drop_all_but("result")
+    return result
+
+
+def _shared(segments: DataFrame, work: common.Work) -> DataFrame:
+    """Segments (sig, node) that several nodes have. Those that many have, found in a sample of the nodes, are known to be shared and
+    aren't shuffled at all; the sample decides about the way only."""
+    often = segments.filter(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("sig").agg(F.count("*").alias("k")).filter(F.col("k") >= LARGE // 64)
+    often = work.save(often.orderBy(F.desc("k"), "sig").limit(common.MAX_BROADCAST_IDS // 2).select("sig"), "often")
+    counted = segments.join(F.broadcast(often), "sig", "left_anti").withColumn("k", F.count("*").over(Window.partitionBy("sig")))
+    return counted.filter("k > 1").select("sig", "node").union(segments.join(F.broadcast(often), "sig", "left_semi").select("sig", "node"))
+
+
+def _can_link(percent: int, n: str, own: str, m: str, other: str) -> Column:
+    """By the sizes of two sets and the n-grams that only they have."""
+    most = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
+    return most * 100 >= (F.col(n) + F.col(m) - most) * percent
+
+
+def _star_round(groups: DataFrame, links: Links, round_: int) -> DataFrame | None:
+    """Joins every group (sig; node, n, own) with its hub, and gives the groups in which pairs that can link are left, if any."""
+    work, p = links.work, links.percent
+    name = lambda x: f"{x}{round_}"
+    hub = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own"))
+    hubs = work.save(groups.groupBy("sig").agg(hub.alias("hub"), F.count("*").alias("k")).filter("k > 1"), name("hubs"))
+    stars = common.with_groups(groups, hubs, "sig", LARGE).filter("node <> hub.node")
+    stars = stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.own").alias("oa"), F.col("own").alias("ob"), (F.col("k") / LARGE).cast("int").alias("parts"))
+    stars = stars.groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.max("parts").alias("parts")).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts") + 1).cast("int")).drop("parts")
+    stars = work.save(stars, name("stars"))
+    links.add(stars.filter(_can_link(p, "na", "oa", "nb", "ob")))
+
+    # hubs whose members are in different components
+    named = work.save(stars.join(links.labels.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component"), name("named"))
+    mixed = work.save(named.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("a", "k"), name("mixed"))
+    open_ = common.with_groups(named, mixed, "a", LARGE).filter("k is not null").drop("k")
+    # an n-gram of D(b) by the hash of the hub and it
+    differ = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga")).alias("d")
+    d = work.save(links.pairs(open_, ["a", "b", "na", "nb", "ob", "c"], differ), name("differ"))
+    size = d.groupBy("a", "b", "na", "nb", "ob", "c").agg(F.sum(F.size("d")).alias("d"))
+    keys = work.save(d.select("a", "b", F.explode("d").alias("gram")).select("a", "b", F.xxhash64("a", "gram").alias("sig")), name("keys"))
+    often = work.save(keys.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1"), name("often"))
+    shared = common.with_groups(keys, often, "sig", LARGE).filter("k is not null")
+    shared = shared.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("k", "sig"))).alias("shared"))
+    both = shared.join(size, ["a", "b"])
+    # n-grams in which two linked sets may differ at most, for the hub and b, and for b and the largest that can link with it
+    limit = lambda n, m: F.floor((n + m) * (100 - p) / (100 + p))
+    most = limit(F.col("nb"), F.floor(F.col("nb") * 100 / p))
+    linked = F.col("d") <= limit(F.col("na"), F.col("nb"))
+    # the least that D(b) shares with that of a link in another component: if b is one of a link's two with the smaller D, with the larger
+    half = F.ceil((F.col("d") + 1 - F.ceil(F.greatest(F.col("nb") - F.col("na"), F.lit(0)) * (100 - p) / (100 + p))) / 2)
+    small = F.greatest(F.lit(1), F.col("d") - F.floor(most / 2), F.when(linked, half).otherwise(1))
+    large = F.greatest(F.lit(1), F.when(linked, half).otherwise(F.col("d") - most))
+    # n-grams that no other member has come first in the order
+    rest = lambda least: F.col("d") - least + 1 - (F.col("d") - F.size("shared"))
+    both = both.withColumn("short", rest(small)).withColumn("long", F.greatest(rest(large), rest(small))).filter("long > 0")
+    taken = both.select("b", "nb", "ob", "c", "d", "short", F.posexplode(F.slice("shared", F.lit(1), F.col("long").cast("int"))).alias("i", "x"))
+    taken = taken.select(F.col("x.sig").alias("sig"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("ob").alias("own"), "c", "d", (F.col("i") < F.col("short")).alias("small"))
+    taken = work.save(taken, name("taken"))
+    useful = taken.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.col("small").cast("long")).alias("small")).filter("lo < hi and small > 0")
+    useful = work.save(useful.select("sig", "k", (F.col("small") * F.col("k")).cast("double").alias("pairs")), name("useful"))
+    sums = useful.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("rows"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()
+    work.drop(*map(name, ("groups", "hubs", "stars", "named", "mixed", "differ", "keys", "often")))
+    if not sums.rows:
+        return None
+    left = common.with_groups(taken, useful, "sig", LARGE).filter("k is not null").select("sig", "node", "n", "own", "c", "d", "small")
+    left = work.save(left, f"groups{round_ + 1}")
+    if sums.pairs <= 4 * sums.rows:
+        _compare(left, links)
+        return None
+    return left
+
+
+def _compare(groups: DataFrame, links: Links) -> None:
+    """All pairs of the groups (sig; node, n, own, component c, and the size d of the difference from the hub) that can link and don't yet."""
+    x = groups.filter("small").select("sig", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "own", "c", "d")))
+    y = groups.select("sig", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "own", "c", "d")))
+    pairs = x.join(y, "sig").filter("xc <> yc and struct(xd, xnode) < struct(yd, ynode)").filter(_can_link(links.percent, "xn", "xown", "yn", "yown"))
+    pairs = pairs.select(F.col("xnode").alias("a"), F.col("ynode").alias("b"), F.col("xn").alias("na"), F.col("yn").alias("nb"), F.lit(0).alias("salt")).distinct()
+    links.add(links.work.save(pairs, "pairs"))

@@ -242,6 +242,52 @@ def test_jaccard_join(spark, none, size, percent):
     assert join_similar(none, size, percent).count() == 0
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join_large_group(spark, size, percent):
+    """Hundreds of near copies of one text about the limit, some of them copies of copies, and words of their own or from a short list."""
+    rng, rows = random.Random(size), []
+    first = [f"w{rng.randrange(2000)}" for _ in range(150)]
+    second = [*first[:60], *(f"s{i}" for i in range(12)), *first[72:]]
+    for i in range(400):
+        text = list(first if i % 4 else second)
+        for at in rng.sample(range(150), rng.choice([0, 2, 3, 4, 5, 6, 9])):
+            text[at] = rng.choice([f"u{len(rows)}-{at}", "alpha", "beta"])
+        if i % 7 == 0:
+            del text[40 : 40 + rng.randrange(20)]
+        rows.append((len(rows) + 1, " ".join(text)))
+    for i in range(0, 400, 9):
+        text = rows[i][1].split()
+        text[rng.randrange(len(text))] = "again"
+        rows.append((len(rows) + 1, " ".join(text)))
+
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in join_similar(table, size, percent).collect()}
+    assert found == {i: (len(a), top(i)) for i, a in sets.items()} and len({top(i) for i in sets}) > 20
+
+
+def test_jaccard_join_repeats(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z w v u"), (2, "x y z w v u"), (3, "A B c d e f"), (None, "a b c"), (4, None)]
+    table = spark.createDataFrame([(i, t, 5, "s") for i, t in rows], "doc_id long, text string, h long, sig string")
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in join_similar(table, 3, 90).collect()), key=str)
+    assert found == sorted([(1, 4, 1), (1, 4, 1), (2, 4, 2), (2, 4, 2), (3, 4, 1), (None, None, None), (4, 0, 4)], key=str)
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
