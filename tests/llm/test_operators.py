@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.llm import common, langid, packing, secrets, url_filter
+from ledgermill.llm import common, decontam, langid, packing, secrets, url_filter
 from ledgermill.llm.brown_lm import Settings, score_documents
 from ledgermill.llm.decontam import find_leaks
 from ledgermill.llm.jaccard_join import join_similar
@@ -177,6 +177,36 @@ def test_decontamination_long_items(spark):
     assert len(want) >= 60 and {(r.doc_id, r.item_id, r.edits, r.end_word) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("n", [8, 59, 150, 300, 500])
+def test_decontamination_recall_at_the_limit(n):
+    rng, settings, found, tried = random.Random(n), decontam.Settings(), 0, 0
+    walks = {m: decontam.Walks(m, settings).measured(settings) for m in set(decontam.lengths(n, settings))}
+    for kinds in ("s", "i", "d", "sid"):
+        for _ in range(10):
+            item = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            text = list(item)
+            for at in sorted(rng.sample(range(n), int(0.2 * n)), reverse=True):
+                kind = rng.choice(kinds)
+                text[at : at + (kind != "i")] = [] if kind == "d" else [f"x{rng.randrange(3000)}"]
+            fill = [f"v{rng.randrange(500)}" for _ in range(30)]
+            finder = decontam.Finder([(1, " ".join(item)), (2, "absent " * n)], walks, settings)
+            tried += 1
+            found += [m[0] for m in finder.find(" ".join([*fill, *text, *fill]).encode())] == [1]
+    assert found >= 0.95 * tried
+
+
+def test_decontamination_short_repeated_and_unspaced(spark):
+    items = [(1, "two words"), (2, "Two, words!"), (3, "日本語の文章を読む"), (4, "...")]
+    rows = [(1, "these two words here"), (1, "these two words here"), (2, "two other words"), (3, "前に日本語の文章を読む人"), (None, "two words"), (5, "a " * 50_000 + "two words")]
+    found = find_leaks(spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(((r.doc_id, r.item_id, r.start_word, r.end_word, r.edits) for r in found.collect()), key=str)
+    want = [(i, k, a, a + 2, 0) for i, a in ((1, 1), (1, 1), (None, 0), (5, 50_000)) for k in (1, 2)] + [(3, 3, 2, 11, 0)]
+    assert got == sorted(want, key=str)
+    blocks = decontam.Settings(block_chars=10)
+    again = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), blocks)
+    assert sorted(((r.doc_id, r.item_id, r.start_word, r.end_word, r.edits) for r in again.collect()), key=str) == got
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-40, 40, (400, 6))
