@@ -1,44 +1,47 @@
 """Class-based bigram language model: exchange clustering, class transitions, word emissions, smoothed perplexity.
 
-Every word of at least ``Settings.own`` occurrences is a unit and exchanged between classes, however many there are. Rarer and unseen words
-share units by their ending, so that they have a class too. The probability of a word after another is
+Every word of at least ``Settings.own`` occurrences in training is a unit (the ``Settings.exchanged`` most frequent ones, two millions, are what
+the arrays of labels and counts are bounded by). Rarer and unseen words share sixteen units by their shape (digits, letters beyond ASCII, marks at the
+end, length). The end of a text is a unit too. Units are exchanged between classes: first the most frequent ones among themselves, then the
+others join the classes that their contexts fit best, then all are exchanged. The probability of a word after another is
 
     P(class | class before) * P(unit | class) * P(word | unit)
 
-where the last factor is 1 for a word that is a unit and (count + 1) / (tokens + words + 1) of its unit for another. All counts
-cover the whole training corpus. The most frequent words and the endings have numbers from 0; the other units have keys below 0, and
-their counts by neighbouring class are shuffled by unit. Classes are broadcast while they are few and else joined by a shuffle; only the class
-bigram counts come to the driver.
+where the last factor is 1 for a word that is a unit and (count + 1) / (tokens + words + 1) of its shape for another. All counts
+cover the whole training corpus. Words are told apart by 64-bit hashes.
+
+Each unit's neighbours lie in one row of a written table, so that a round of the exchange is one pass over it without a shuffle: labels
+are broadcast, each task counts its units' neighbours by class and finds the best moves, and the class bigram counts are summed.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct words that a task gathers before it passes them on.
-FLUSH = 100_000
+#: Distinct words, or tokens, that a task gathers before it passes them on.
+FLUSH = 300_000
+SHAPES = 16
+#: Counts up to which gains of moves are looked up in tables.
+SMALL = 24
 
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 1023  #: most frequent words whose units have numbers and are clustered first, at most
     own: int = 3  #: occurrences from which a word is a unit
-    endings: int = 256  #: units of the rarer words, by the CRC-32 of their last three bytes
+    exchanged: int = 2_000_000  #: units at most, the most frequent words
+    first: int = 16_384  #: most frequent units, which are clustered first
     classes: int = 64
-    rounds: int = 12  #: of the exchange, at most
-    known: int = 131_072  #: most frequent words whose counts and classes are broadcast for the scores, at most
-    broadcast: int = 500_000  #: units whose classes are broadcast to joins, at most
+    first_rounds: int = 10
+    rounds: int = 6
     prior: float = 8.0  #: weight of the class frequencies in a transition
     add: float = 0.5  #: added to a unit's count in an emission
 
@@ -48,11 +51,22 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def word_hash(word: bytes) -> int:
+    import xxhash
+
+    return common.signed(xxhash.xxh3_64_intdigest(word))
+
+
+def shape(word: bytes) -> int:
+    digits = any(48 <= x <= 57 for x in word)
+    return digits + 2 * (not word.isascii()) + 4 * (not (word[-1:].isalnum() or word[-1] >= 128)) + 8 * (len(word) > 8)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([shape(w) for w in seen], pa.int32())], ["h", "n", "shape"])
 
     for batch in common.slices(batches):
         for raw in common.text_bytes(batch.column("text")):
@@ -64,211 +78,258 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Units(dict):
-    """Word to unit: 0 is the end of a text, then the frequent words; from ``extra`` on the known ones. A key below 0, from which ``ending``
-    tells the ending, is any other word's. Keeps a bounded number of others."""
+    """Word to unit: 0 is the end of a text, then the words of ``hashes`` (sorted, with their units), then the shapes. Keeps a bounded number."""
 
-    def __init__(self, words: list[bytes], endings: int, known: list[bytes] = ()):
-        super().__init__((w, i + 1) for i, w in enumerate(words))
-        self.first, self.endings, self.extra = len(words) + 1, endings, len(words) + 1 + endings
-        self.update((w, self.extra + i) for i, w in enumerate(known))
-        self.most = len(self) + 400_000
+    def __init__(self, hashes: np.ndarray, units: np.ndarray):
+        super().__init__()
+        self.hashes, self.units, self.shapes = hashes, units, len(hashes) + 1
 
     def __missing__(self, word: bytes) -> int:
-        u = tail_key(word, self.endings)
-        if len(self) < self.most:
-            self[word] = u
-        return u
-
-
-def tail_key(word: bytes, endings: int) -> int:
-    import xxhash
-
-    return -1 - (xxhash.xxh3_64_intdigest(word) % ((1 << 62) // endings) * endings + zlib.crc32(word[-3:]) % endings)
-
-
-def ending(unit, endings: int):
-    """Of a key below 0, as a column or an array."""
-    return (-1 - unit) % endings
+        h = word_hash(word)
+        at = int(self.hashes.searchsorted(h))
+        unit = int(self.units[at]) if at < len(self.hashes) and self.hashes[at] == h else self.shapes + shape(word)
+        if len(self) < 400_000:
+            self[word] = unit
+        return unit
 
 
-def _keys(endings: int):
+def _pair_counts(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [tail_key(w, endings) for w in common.text_bytes(batch.column("word"))]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(keys, pa.int64())], ["word", "n", "unit"])
-
-    return run
+        units, row = Units(*words.value), [0]
 
+        def out():
+            x = np.array(row, np.int64)
+            pair, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
+            for i in range(0, len(pair), 100_000):
+                p = pair[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array((p >> 32).astype(np.int32)), pa.array((p & 0xFFFFFFFF).astype(np.int32)), pa.array(n[i : i + 100_000])], ["u", "v", "n"])
 
-def _pair_counts(words, endings: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(words.value, endings)
         for batch in common.slices(batches):
-            row = [0]
             for raw in common.text_bytes(batch.column("text")):
                 row += map(units.__getitem__, tokens(raw))
                 row.append(0)
-            seen, at = np.unique(np.array(row, np.int64), return_inverse=True)
-            pair, n = np.unique(at[:-1] * len(seen) + at[1:], return_counts=True)
-            for i in range(0, len(pair), 100_000):
-                part = pair[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(seen[part // len(seen)]), pa.array(seen[part % len(seen)]), pa.array(n[i : i + 100_000])], ["u", "v", "n"])
+                if len(row) > 4 * FLUSH:
+                    yield from out()
+                    row = [0]
+        yield from out()
 
     return run
 
 
-def _xlogx(x):
+def _f(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
 def likelihood(cells: np.ndarray) -> float:
     """Of the class bigrams, without the part that no clustering changes."""
-    return float(_xlogx(cells).sum() - _xlogx(cells.sum(0)).sum() - _xlogx(cells.sum(1)).sum())
-
-
-def best_moves(cells: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit the class to which its move gains most, and the gain in likelihood.
-
-    ``cells``: class bigram counts; ``own``: the units' classes; ``after[i, c]`` and ``before[i, c]``: counts of unit i with a
-    following and preceding unit of class c; ``loops``: counts of unit i after itself."""
-    n = len(cells)
-    to, gain = own.copy(), np.zeros(len(own))
-    row, col = cells.sum(1), cells.sum(0)
-    for i, a in enumerate(own):
-        out, inn, loop = after[i].copy(), before[i].copy(), loops[i]
-        out[a] -= loop
-        inn[a] -= loop
-        # the matrix without the unit
-        base = cells.copy()
-        base[a] -= out
-        base[:, a] -= inn
-        base[a, a] -= loop
-        r, c = row.copy(), col.copy()
-        r[a] -= after[i].sum()
-        c[a] -= before[i].sum()
-        out_b, inn_b = after[i].copy(), before[i].copy()
-        out_b[a] -= loop
-        inn_b[a] -= loop
-        # with it in class b: row b and column b change
-        x, y = np.flatnonzero(out_b), np.flatnonzero(inn_b)
-        rows_gain = (_xlogx(base[:, x] + out_b[x]) - _xlogx(base[:, x])).sum(1)
-        cols_gain = (_xlogx(base[y] + inn_b[y, None]) - _xlogx(base[y])).sum(0)
-        d = np.arange(n)
-        diag = base[d, d]
-        cross = _xlogx(diag + out_b + inn_b + loop) - _xlogx(diag + out_b) - _xlogx(diag + inn_b) + _xlogx(diag)
-        total = rows_gain + cols_gain + cross - (_xlogx(r + after[i].sum()) - _xlogx(r)) - (_xlogx(c + before[i].sum()) - _xlogx(c))
-        b = int(total.argmax())
-        to[i], gain[i] = b, total[b] - total[a]
-    return to, gain
-
-
-def _moves(cells: np.ndarray):
-    def moves(part: pd.DataFrame) -> pd.DataFrame:
-        units, at = np.unique(part["unit"], return_inverse=True)
-        after, own = part["after"].to_numpy(bool), np.zeros(len(units), np.int64)
-        own[at] = part["own"].to_numpy()
-        x, loops = np.zeros((2, len(units), len(cells))), np.zeros(len(units))
-        np.add.at(x, (after.astype(int), at, part["c"].to_numpy()), part["n"].to_numpy())
-        np.add.at(loops, at[after], part["loop"].to_numpy()[after])
-        to, gain = best_moves(cells, own, x[1], x[0], loops)
-        return pd.DataFrame({"unit": units, "to": to, "gain": gain})
-
-    return moves
-
-
-def with_class(df: DataFrame, unit: str, labels: DataFrame, c: str, n_units: int, most: int) -> DataFrame:
-    """With the class (null where there is none) of a column's units. Beyond ``most`` units, keys below 0 are joined by a shuffle."""
-    named = labels.select(F.col("unit").alias(unit), F.col("c").alias(c))
-    if n_units <= most:
-        return df.join(F.broadcast(named), unit, "left")
-    tail = df.filter(F.col(unit) < 0).join(named.filter(F.col(unit) < 0).hint("merge"), unit, "left")
-    return tail.unionByName(df.filter(F.col(unit) >= 0).join(F.broadcast(named.filter(F.col(unit) >= 0)), unit, "left"))
-
-
-def exchange(pairs: DataFrame, labels: DataFrame, n_units: int, classes: int, rounds: int, most: int) -> tuple[DataFrame, np.ndarray]:
-    """Classes of the units (unit, c), and the class bigram counts. ``pairs``: u, v, n; ``labels``: the n_units units' first classes.
-
-    Every round Spark sums the pairs by unit and neighbouring class and finds each unit's best class in parallel, against the
-    counts at the round's start; half of the units may move in a round, and a round that loses likelihood is undone and tried
-    with fewer moves. Only the class bigram counts come to the driver."""
-    work = common.Work(pairs.sparkSession, "exchange")
-
-    def counted(labels: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
-        both = with_class(with_class(pairs, "u", labels, "cu", n_units, most), "v", labels, "cv", n_units, most)
-        sides = both.select(
-            F.explode(F.array(
-                F.struct(F.col("u").alias("unit"), F.col("cu").alias("own"), F.col("cv").alias("c"), F.lit(True).alias("after"), "n", (F.col("u") == F.col("v")).alias("loop")),
-                F.struct(F.col("v").alias("unit"), F.col("cv").alias("own"), F.col("cu").alias("c"), F.lit(False).alias("after"), "n", (F.col("u") == F.col("v")).alias("loop")),
-            )).alias("x")
-        ).select("x.*")
-        sums = work.save(sides.groupBy("unit", "own", "c", "after").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("loop"), F.col("n")).otherwise(0)).alias("loop")), name)
+    return float(_f(cells).sum() - _f(cells.sum(0)).sum() - _f(cells.sum(1)).sum())
+
+
+class Gains:
+    """Gains in likelihood of moves, by the class bigram counts ``cells``."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells, self.sums = cells, (cells.sum(1), cells.sum(0))
+        n = np.arange(SMALL + 1)
+        base = _f(cells)
+        #: By count, class of the neighbour and class moved to.
+        self.tables = [_f(m.T[None] + n[:, None, None]) - f.T[None] for m, f in ((cells, base), (cells.T, base.T))]
+        self.margins = [_f(s[None] + n[:, None]) - _f(s)[None] for s in self.sums]
+
+    def _margin(self, side: int, n: np.ndarray) -> np.ndarray:
+        small = self.margins[side][np.minimum(n, SMALL).astype(np.int64)]
+        big = np.flatnonzero(n > SMALL)
+        s = self.sums[side][None]
+        small[big] = _f(s + n[big, None]) - _f(s)
+        return small
+
+    def of(self, own: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray) -> np.ndarray:
+        """By unit and class the gain of putting the unit, taken out of its own class (below 0: none), into the class; only
+        differences within a row have a meaning. ``after[i, c]`` and ``before[i, c]``: counts of unit i with a following and preceding
+        unit of class c, itself included; ``loops``: counts of unit i after itself."""
+        k, n_classes = after.shape
+        rows, there = np.arange(k), own >= 0
+        a = np.where(there, own, 0)
+        o, p = after.copy(), before.copy()
+        o[rows, a] -= np.where(there, loops, 0)
+        p[rows, a] -= np.where(there, loops, 0)
+        total = np.zeros((k, n_classes))
+        m = self.cells
+        for side, (x, y, cells) in enumerate(((o, p, m), (p, o, m.T))):
+            i, c = np.nonzero(x)
+            if not len(i):
+                continue
+            n = x[i, c]
+            gain = self.tables[side][np.minimum(n, SMALL).astype(np.int64), c]
+            mine, inside = there[i], there[i] & (c == a[i])
+            hard = np.flatnonzero((n > SMALL) | inside)
+            col = cells.T[c[hard]] - np.where(inside[hard, None], y[i[hard]], 0.0)
+            gain[hard] = _f(col + n[hard, None]) - _f(col)
+            # in its own class the cell lacks the unit's counts
+            e = np.flatnonzero(mine)
+            cell = cells[a[i[e]], c[e]] - n[e] - np.where(inside[e], y[i[e], a[i[e]]] + loops[i[e]], 0.0)
+            gain[e, a[i[e]]] = _f(cell + n[e]) - _f(cell)
+            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            total[i[starts]] += np.add.reduceat(gain, starts, axis=0)
+        # the cell of a class with itself gets both sides
+        i, c = np.nonzero(((o > 0) & (p > 0)) | (loops[:, None] > 0))
+        d = m[c, c] - np.where(there[i] & (c == a[i]), o[i, c] + p[i, c] + loops[i], 0.0)
+        x, y, both = o[i, c], p[i, c], o[i, c] + p[i, c] + loops[i]
+        total[i, c] += _f(d + both) - _f(d + x) - _f(d + y) + _f(d)
+        for side, n in enumerate((after.sum(1), before.sum(1))):
+            part = self._margin(side, n)
+            s = self.sums[side][a[there]]
+            part[rows[there], a[there]] = _f(s) - _f(s - n[there])
+            total -= part
+        return total
+
+
+def _counted(batch: pa.RecordBatch, labels: np.ndarray, classes: int):
+    """Units of a batch, their neighbours by class after and before (those without a class are left out), and loops."""
+    unit = batch.column("unit").to_numpy().astype(np.int64)
+    found, loops = [], np.zeros(len(unit))
+    for name in ("after", "before"):
+        column = batch.column(name)
+        offsets = column.offsets.to_numpy()
+        values = column.values
+        other, n = (values.field(x).to_numpy()[offsets[0] : offsets[-1]] for x in ("v", "n"))
+        row = np.repeat(np.arange(len(unit)), np.diff(offsets))
+        c = labels[other].astype(np.int64)
+        keep = c < classes
+        found.append(np.bincount(row[keep] * classes + c[keep], n[keep], len(unit) * classes).reshape(len(unit), classes))
+        if name == "after":
+            own = other == unit[row]
+            loops = np.bincount(row[own], n[own], len(unit)) * (labels[unit] < classes)
+    return unit, found[0], found[1], loops
+
+
+def _cells(labels, classes: int):
+    """Class bigram counts, as rows (i, n) of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((classes, classes))
-        for r in sums.filter("after").groupBy("own", "c").agg(F.sum("n").alias("n")).collect():
-            cells[r.own, r.c] = r.n
-        return sums, cells
-
-    sums, cells = counted(labels, "sums")
-    value, share, parts, old = likelihood(cells), 0.5, max(32, n_units // 5000), "sums"
-    for round_ in range(rounds):
-        mine = sums.filter(F.pmod(F.hash("unit", F.lit(round_)), F.lit(100)) < int(100 * share))
-        found = mine.groupBy(F.pmod(F.hash("unit"), F.lit(parts)).alias("part")).applyInPandas(_moves(cells), "unit long, to long, gain double").filter("gain > 1e-6")
-        found = work.save(found, f"moves{round_}")
-        n_found = found.count()
-        if not n_found:
-            if share >= 1:
+        for batch in batches:
+            unit, after, _, _ = _counted(batch, labels.value, classes)
+            own = labels.value[unit]
+            there = own < classes
+            for c in range(classes):
+                cells[c] += after[there & (own == c)].sum(0)
+        i = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(cells.ravel()[i].astype(np.int64))], ["i", "n"])
+
+    return run
+
+
+def _moves(labels, cells: np.ndarray, fit: bool, turn: int, share: float):
+    """Units whose best class is another than theirs (``fit``: of those without a class, all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains, classes = Gains(cells), len(cells)
+        for batch in batches:
+            unit, after, before, loops = _counted(batch, labels.value, classes)
+            own = labels.value[unit].astype(np.int64)
+            if fit:
+                pick = np.flatnonzero(own >= classes)
+            else:
+                dice = ((unit + 1) * 0x9E3779B1 + turn * 0x85EBCA77) * 0xC2B2AE35 >> 16 & 1023
+                pick = np.flatnonzero((own < classes) & (dice < 1024 * share))
+            for at in range(0, len(pick), 512):
+                x = pick[at : at + 512]
+                old = np.full(len(x), -1) if fit else own[x]
+                total = gains.of(old, after[x], before[x], loops[x])
+                to = np.where((after[x].sum(1) + before[x].sum(1)) > 0, total.argmax(1), unit[x] % classes)
+                better = np.ones(len(x), bool) if fit else total[np.arange(len(x)), to] > total[np.arange(len(x)), old] + 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array(unit[x][better].astype(np.int32)), pa.array(to[better].astype(np.int32))], ["unit", "to"])
+
+    return run
+
+
+class Exchange:
+    """Classes of units. ``near``: unit, after and before (arrays of v, n), a written table."""
+
+    def __init__(self, near: DataFrame, n_units: int, s: Settings):
+        self.near, self.s, self.spark = near, s, near.sparkSession
+        self.labels = np.full(n_units, 255 if s.classes < 256 else 65535, np.uint8 if s.classes < 256 else np.uint16)
+        self.cells = np.zeros((s.classes, s.classes))
+
+    def _run(self, rows: DataFrame, make, schema: str) -> pa.Table:
+        shared = self.spark.sparkContext.broadcast(self.labels)
+        found = rows.mapInArrow(make(shared), schema)
+        found = (found.groupBy("i").agg(F.sum("n").alias("n")) if "i int" in schema else found).toArrow()
+        shared.destroy()
+        return found
+
+    def count(self, rows: DataFrame) -> np.ndarray:
+        found = self._run(rows, lambda x: _cells(x, self.s.classes), "i int, n long")
+        cells = np.zeros(self.s.classes**2)
+        cells[found["i"].to_numpy()] = found["n"].to_numpy()
+        return cells.reshape(self.s.classes, -1)
+
+    def _moved(self, rows: DataFrame, fit: bool, turn: int = 0, share: float = 1.0) -> np.ndarray:
+        found = self._run(rows, lambda x: _moves(x, self.cells, fit, turn, share), "unit int, to int")
+        new = self.labels.copy()
+        new[found["unit"].to_numpy()] = found["to"].to_numpy()
+        return new
+
+    def rounds(self, rows: DataFrame, most: int) -> None:
+        """Half of the units may move in a round, each to the class that gains most against the counts at its start; a round that loses
+        likelihood is undone and tried with fewer moves."""
+        self.cells, share = self.count(rows), 0.5
+        value = likelihood(self.cells)
+        for turn in range(most):
+            old, self.labels = self.labels, self._moved(rows, False, turn, share)
+            if not (self.labels != old).any():
+                break
+            cells = self.count(rows)
+            if (new := likelihood(cells)) <= value:
+                self.labels, share = old, share / 2
+                continue
+            done, value, self.cells = new - value < 5e-5 * abs(value), new, cells
+            if done:
                 break
-            share = 1.0
-            continue
-        found = F.broadcast(found) if n_found <= most else found.hint("merge")
-        new = work.save(labels.join(found, "unit", "left").select("unit", F.coalesce("to", "c").alias("c")), f"labels{round_}")
-        new_sums, new_cells = counted(new, f"sums{round_}")
-        if (new_value := likelihood(new_cells)) <= value:
-            work.drop(f"sums{round_}")
-            share /= 2
-            continue
-        work.drop(old)
-        done = new_value - value < 1e-4 * abs(value) and share >= 0.5
-        labels, sums, cells, value, old = new, new_sums, new_cells, new_value, f"sums{round_}"
-        if done:
-            break
-    work.drop(old)
-    return labels, cells
+
+    def run(self) -> None:
+        s, n = self.s, len(self.labels)
+        first = min(n, s.first)
+        self.labels[:first] = np.arange(first) % s.classes
+        self.rounds(self.near.filter(F.col("unit") < first), s.first_rounds)
+        if first < n:
+            self.labels = self._moved(self.near, True)
+            absent = self.labels >= s.classes
+            self.labels[absent] = np.arange(n)[absent] % s.classes
+            self.rounds(self.near, s.rounds)
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """unit, after and before (arrays of v, n) of the pairs u, v, n."""
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("u").alias("unit"), F.lit(True).alias("a"), F.struct("v", "n").alias("x")),
+        F.struct(F.col("v").alias("unit"), F.lit(False).alias("a"), F.struct(F.col("u").alias("v"), "n").alias("x")),
+    )).alias("r")).select("r.*")
+    return sides.groupBy("unit").agg(F.collect_list(F.when(F.col("a"), F.col("x"))).alias("after"), F.collect_list(F.when(~F.col("a"), F.col("x"))).alias("before"))
 
 
 def _scores(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("word", pa.string()), ("f", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("steps", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         m = shared.value
-        units, n_classes, of, step, emit, head_log = Units(m["words"], m["endings"], m["known"]), m["classes"], m["of"], m["step"], m["emit"], m["head_log"]
-        first, norm = units.first, m["norm"]
+        units, n_classes, of, step, emit, log = Units(*m["words"]), m["classes"], m["of"], m["step"], m["emit"], m["log"]
         for batch in common.slices(batches):
             cols: list[list] = [[] for _ in schema]
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), common.text_bytes(batch.column("text")), strict=True):
                 words = tokens(raw)
-                u = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-                other = u < 0  # neither numbered nor known
-                at = np.where(other, first + ending(u, units.endings), u)
-                c = of[np.concatenate(([0], at, [0]))]
-                steps = step[c[:-1] * n_classes + c[1:]]
-                open_ = np.concatenate(([False], other, [False])) & (not m["all_known"])
-                later = open_[:-1] | open_[1:]
-                score = float(steps[~later].sum() + emit[at].sum() + emit[0])
-                seen, base = int((~other).sum()) + m["ends"], float(head_log[u[~other]].sum() + head_log[0])
-                rest = Counter([words[j] for j in np.flatnonzero(other)])
-                key = common.signed(xxhash.xxh3_64_intdigest(raw))
-                n = len(words) + 1
-                # no word starts with a blank, so the first row's key matches nothing, and it spreads the rows
-                blank, spread = f" {key % 10**9}", key % 10**9 * n_classes
-                # units whose class is known are given as it, beyond all units and spread too
-                ends = np.where(open_, np.concatenate(([0], u, [0])), c + m["beyond"] + spread)
-                moves = Counter(zip(ends[:-1][later].tolist(), ends[1:][later].tolist(), strict=True))
-                away = m["beyond"] + spread
-                rows = [(doc_id, key, blank, 0, 1, n, seen, base - n * norm, score, away, away, 0)]
-                rows += [(doc_id, key, w.decode(), f, 0, 0, 0, 0.0, 0.0, away, away, 0) for w, f in rest.items()]
-                rows += [(doc_id, key, blank, 0, 0, 0, 0, 0.0, 0.0, a, b, f) for (a, b), f in moves.items()]
+                u = np.zeros(len(words) + 2, np.int64)
+                u[1:-1] = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
+                c, mine = of[u], u[1:]
+                other = np.flatnonzero(mine >= units.shapes)
+                score = float(step[c[:-1] * n_classes + c[1:]].sum() + emit[mine].sum())
+                n = len(mine)
+                key = word_hash(raw)
+                # the first row's key is no word's and spreads the rows; it counts for nothing
+                rows = [(doc_id, key, key, 0, 1, n, n - len(other) - 1 + m["ends"], float(log[mine].sum()) - n * m["norm"], score)]
+                rest = Counter([words[j] for j in other.tolist()])
+                rows += [(doc_id, key, word_hash(w), f, 0, 0, 0, 0.0, 0.0) for w, f in rest.items()]
                 for row in rows:
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
@@ -280,9 +341,44 @@ def _scores(shared):
     return run
 
 
-def _tail_class(df: DataFrame, unit: str, labels: DataFrame, n_tail: int, most: int) -> DataFrame:
-    named = labels.select(F.col("unit").alias(unit), "c")
-    return df.join(F.broadcast(named) if n_tail <= most else named.hint("merge"), unit, "left")
+def train(training: DataFrame, work: common.Work, s: Settings) -> dict:
+    """The model of the texts: arrays by unit (class, logarithms of emission and count), class transitions, the units' words, and the table
+    of the rarer words' counts."""
+    spark = training.sparkSession
+    counts = training.mapInArrow(_word_counts, "h long, n long, shape int").groupBy("h").agg(F.sum("n").alias("n"), F.min("shape").alias("shape"))
+    counts = work.save(counts, "counts")
+    texts = training.count()
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n, v = size.n + texts, size.v + (texts > 0)
+    least = max(s.own, common.rare_below(counts, s.exchanged))
+    head = counts.filter(F.col("n") >= least).select("h", "n").toArrow()
+    h, k = head["h"].to_numpy(), head["n"].to_numpy()
+    order = np.lexsort((h, -k))
+    h, k = h[order], k[order]
+    by_hash = np.argsort(h)
+    words = (h[by_hash], (by_hash + 1).astype(np.int32))
+    shapes, n_units = len(h) + 1, len(h) + 1 + SHAPES
+    rare = work.save(counts.filter(F.col("n") < least), "rare")
+
+    shared = spark.sparkContext.broadcast(words)
+    pairs = training.mapInArrow(_pair_counts(shared), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    near = work.save(neighbours(pairs), "near")
+    exchange = Exchange(near, n_units, s)
+    exchange.run()
+    labels, cells = exchange.labels.astype(np.int64), exchange.cells
+
+    unit_n, unit_v = np.concatenate([[texts], k, np.zeros(SHAPES)]).astype(float), np.zeros(n_units)
+    for r in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        unit_n[shapes + r["shape"]], unit_v[shapes + r["shape"]] = r.n, r.v
+    class_n, members = np.bincount(labels, unit_n, s.classes), np.bincount(labels, minlength=s.classes)
+    share = (class_n + 1) / (n + s.classes)
+    step = np.log10((cells + s.prior * share[None, :]) / (cells.sum(1, keepdims=True) + s.prior))
+    emit = np.log10((unit_n + s.add) / (class_n + s.add * members)[labels])
+    emit[shapes:] -= np.log10(unit_n + unit_v + 1)[shapes:]
+    log = np.zeros(n_units)
+    log[:shapes] = np.log10(unit_n[:shapes] + 1)
+    work.drop("counts", "near")
+    return {"words": words, "classes": s.classes, "of": labels, "step": step.ravel(), "emit": emit, "log": log, "norm": float(np.log10(n + v + 1)), "ends": int(texts > 0), "tokens": n, "rare": rare, "texts": texts}
 
 
 def score_documents(docs: DataFrame, held_out, settings: Settings | None = None) -> DataFrame:
@@ -295,88 +391,17 @@ def score_documents(docs: DataFrame, held_out, settings: Settings | None = None)
     s, spark, work = settings or Settings(), docs.sparkSession, common.Work(docs.sparkSession, "brown")
     common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    training = docs.filter(~F.col("held_out")).select("text")
-    counts = work.save(training.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_keys(s.endings), "word string, n long, unit long"), "counts")
-    texts = training.count()
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = size.n + texts, size.v + (texts > 0)
-
-    least = common.rare_below(counts, s.words)
-    head = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))
-    words = [r.word.encode() for r in head]
-    first = len(words) + 1
-    n_units = first + s.endings
-    pairs = training.mapInArrow(_pair_counts(spark.sparkContext.broadcast(words), s.endings), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
-    middle = counts.filter((F.col("n") >= s.own) & (F.col("n") < least))
-    # a key that two words share stands for both
-    tail = work.save(middle.groupBy("unit").agg(F.sum("n").alias("n")), "tail")
-    n_tail = tail.count()
-    marks = tail.select("unit", F.lit(1).alias("c"))
-    rough = lambda x: F.when(F.col(x) < 0, first + ending(F.col(x), s.endings)).otherwise(F.col(x)).alias(x)
-    for x in ("u", "v"):  # rare words become their endings
-        pairs = with_class(pairs, x, marks, "is", n_tail, s.broadcast).select(*[F.when((F.col(x) < 0) & F.col("is").isNull(), rough(x)).otherwise(F.col(x)).alias(x) if y == x else y for y in ("u", "v")], "n")
-    pairs = work.save(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")), "pairs")
-    # numbered units first, with all other words as their endings; then all units
-    few = work.save(pairs.select(rough("u"), rough("v"), "n").groupBy("u", "v").agg(F.sum("n").alias("n")), "few")
-    numbered = spark.createDataFrame(pd.DataFrame({"unit": np.arange(n_units), "c": np.arange(n_units) % s.classes}))
-    labels, cells = exchange(few, numbered, n_units, s.classes, s.rounds if texts else 0, s.broadcast)
-    if n_tail:
-        endings = labels.filter(F.col("unit") >= first).select((F.col("unit") - first).alias("ending"), "c")
-        starts = tail.select("unit", ending(F.col("unit"), s.endings).alias("ending")).join(F.broadcast(endings), "ending").select("unit", "c")
-        labels, cells = exchange(pairs, work.save(labels.unionByName(starts), "starts"), n_units + n_tail, s.classes, s.rounds, s.broadcast)
-    of = np.zeros(n_units, np.int64)
-    for r in labels.filter(F.col("unit") >= 0).collect():
-        of[r.unit] = r.c
-
-    unit_n = np.zeros(n_units)
-    for r in pairs.filter(F.col("v") >= 0).groupBy("v").agg(F.sum("n").alias("n")).collect():
-        unit_n[r.v] = r.n
-    unit_v = np.zeros(n_units)
-    rare = counts.filter(F.col("n") < min(s.own, least))
-    for r in rare.groupBy((first + ending(F.col("unit"), s.endings)).alias("unit")).agg(F.count("*").alias("k")).collect():
-        unit_v[r.unit] = r.k
-    class_n, members = cells.sum(0), np.zeros(s.classes)
-    for r in labels.groupBy("c").count().collect():
-        members[r.c] = r["count"]
-    share = (class_n + 1) / (n + s.classes)
-    step = np.log10((cells + s.prior * share[None, :]) / (cells.sum(1, keepdims=True) + s.prior))
-    emit = np.log10((unit_n + s.add) / (class_n + s.add * members)[of])
-    emit[first:] -= np.log10(unit_n + unit_v + 1)[first:]
-    head_log = np.zeros(n_units)
-    head_log[:first] = np.log10(np.array([texts, *(r.n for r in head)]) + 1.0)
-
-    most = common.rare_below(counts, s.known)
-    # of every word that isn't numbered: its class, its count's logarithm, and what its emission has beyond its ending's
-    per_class = spark.createDataFrame(pd.DataFrame({"c": np.arange(s.classes), "all": class_n + s.add * members}))
-    per_ending = spark.createDataFrame(pd.DataFrame({"ending": np.arange(s.endings), "of_ending": of[first:], "emit": emit[first:]}))
-    others = with_class(counts.filter(F.col("n") < least), "unit", labels, "c", n_units + n_tail, s.broadcast).withColumn("ending", ending(F.col("unit"), s.endings))
-    others = others.join(F.broadcast(per_ending), "ending").join(F.broadcast(per_class), "c", "left")
-    log = F.log10(F.col("n") + 1.0)
-    extra = F.when(F.col("n") >= s.own, F.log10((F.col("n") + s.add) / F.col("all")) - F.col("emit")).otherwise(log)
-    others = work.save(others.select("word", "n", F.coalesce(F.when(F.col("n") >= s.own, F.col("c")), "of_ending").alias("c"), log.alias("log"), extra.alias("extra"), (F.col("emit") + extra).alias("term")), "others")
-    top = others.filter(F.col("n") >= most).collect()
-    of, emit, head_log = np.concatenate([of, np.array([r.c for r in top], np.int64)]), np.concatenate([emit, [r.term for r in top]]), np.concatenate([head_log, [r.log for r in top]])
-    beyond = s.classes * (1 + (n_units + len(top)) // s.classes)
-    model = {"words": words, "endings": s.endings, "classes": s.classes, "of": of, "step": step.ravel(), "emit": emit, "head_log": head_log, "known": [r.word.encode() for r in top], "norm": float(np.log10(n + v + 1)), "ends": int(texts > 0), "all_known": most <= s.own, "beyond": beyond}
+    model = train(docs.filter(~F.col("held_out")).select("text"), work, s)
+    rare, texts = model.pop("rare"), model.pop("texts")
     rows = docs.select("doc_id", "text").mapInArrow(
-        _scores(spark.sparkContext.broadcast(model)),
-        "doc_id long, text_hash long, word string, f long, copies long, n_tokens long, n_known long, base double, score double, a long, b long, steps long",
+        _scores(spark.sparkContext.broadcast(model)), "doc_id long, text_hash long, h long, f long, copies long, n_tokens long, n_known long, base double, score double"
     )
-    joined = rows.join(others.filter(F.col("n") < most).select("word", "n", "log", "extra").hint("merge"), "word", "left").withColumn("more", F.coalesce(F.col("f") * F.col("extra"), F.lit(0.0)))
-    if not model["all_known"]:
-        ends = spark.createDataFrame(pd.DataFrame({"ending": np.arange(s.endings), "of_ending": of[first:n_units]}))
-        for x in ("a", "b"):
-            looked = _tail_class(joined, x, labels.filter(F.col("unit") < 0), n_tail, s.broadcast).withColumn("ending", ending(F.col(x), s.endings))
-            looked = looked.join(F.broadcast(ends), F.when(F.col(x) < 0, looked.ending) == ends.ending, "left").drop("ending")
-            joined = looked.withColumn(x, F.when(F.col(x) >= 0, F.col(x) % s.classes).otherwise(F.coalesce("c", "of_ending"))).drop("c", "of_ending")
-        steps = spark.createDataFrame(pd.DataFrame({"a": np.repeat(np.arange(s.classes), s.classes), "b": np.tile(np.arange(s.classes), s.classes), "step": step.ravel()}))
-        joined = joined.join(F.broadcast(steps), ["a", "b"], "left").withColumn("more", F.col("more") + F.col("steps") * F.col("step"))
+    joined = rows.join(rare.select("h", "n").hint("merge"), "h", "left").withColumn("more", F.coalesce(F.col("f") * F.log10(F.col("n") + 1.0), F.lit(0.0)))
     found = joined.groupBy("doc_id", "text_hash").agg(
         F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("f")).otherwise(0)).alias("n_known"),
-        (F.sum("base") + F.sum(F.coalesce(F.col("f") * F.col("log"), F.lit(0.0)))).alias("base_score"), (F.sum("score") + F.sum("more")).alias("score"),
+        (F.sum("base") + F.sum("more")).alias("base_score"), (F.sum("score") + F.sum("more")).alias("score"),
     )
     # equal rows have added up: each has an equal share
     each = found.select("doc_id", "copies", *(F.expr(f"{x} div copies").alias(x) for x in ("n_tokens", "n_known")), *((F.col(x) / F.col("copies")).alias(x) for x in ("base_score", "score")))
     each = each.withColumn("score", F.col("score") if texts else F.col("base_score")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
-
+    return each.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.llm import common, decontam, langid, packing, secrets, url_filter
+from ledgermill.llm import brown_lm, common, decontam, langid, packing, secrets, url_filter
 from ledgermill.llm.brown_lm import Settings, score_documents
 from ledgermill.llm.decontam import find_leaks
 from ledgermill.llm.jaccard_join import join_similar
@@ -61,18 +61,92 @@ def test_class_lm(docs, none):
 
 def test_class_lm_rarer_words(spark):
     rng, rows = random.Random(4), []
-    # two kinds of words with the same endings, in turn; more of them than are numbered
+    # two kinds of words with the same endings and shape, in turn
     kinds = [[f"{k}{i}end" for i in range(40)] for k in "ab"]
     for i in range(400):
         rows.append((i, " ".join(rng.choice(kinds[j % 2]) for j in range(20))))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    found = []
-    for more in ({}, {"known": 30}, {"known": 30, "broadcast": 0}):
-        got = score_documents(table, common.held_out(7), Settings(words=8, classes=4, **more)).collect()
-        found.append({r.doc_id: r for r in got})
-        assert len(got) == len(rows) and sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out) + 0.2 * 20 * sum(r.held_out for r in got)
-    for other in found[1:]:
-        assert all(other[i].score == pytest.approx(r.score, rel=1e-9) and other[i].n_known == r.n_known for i, r in found[0].items())
+    for more in ({}, {"first": 30}, {"exchanged": 70}):
+        got = score_documents(table, common.held_out(7), Settings(classes=4, **more)).collect()
+        assert len(got) == len(rows)
+        if "exchanged" not in more:
+            assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out) + 0.2 * 20 * sum(r.held_out for r in got)
+
+
+def test_class_lm_against_plain_model(spark, docs):
+    """The model's tables and scores from its classes, counted plainly."""
+    s, work = Settings(classes=6, first=10, own=3), common.Work(spark, "test")
+    training = [split(t) for i, t in texts() if zlib.crc32(str(i).encode()) % 7 != 2]
+    model = brown_lm.train(docs.filter(~common.held_out(7)).select("text"), work, s)
+    units = brown_lm.Units(*model["words"])
+    counts = Counter(w for t in training for w in t)
+    often = {w for w, n in counts.items() if n >= 3}
+    unit = lambda w: units[w.encode()]
+    assert {w for w in counts if unit(w) < units.shapes} == often and len({unit(w) for w in often}) == len(often)
+    of = model["of"]
+    cells, class_n, rare_n, rare_v = np.zeros((6, 6)), np.zeros(6), Counter(), Counter()
+    for t in training:
+        for a, b in zip([0, *map(unit, t)], [*map(unit, t), 0], strict=True):
+            cells[of[a], of[b]] += 1
+            class_n[of[b]] += 1
+    for w, n in counts.items():
+        if n < 3:
+            rare_n[unit(w)] += n
+            rare_v[unit(w)] += 1
+    members, total = Counter(of.tolist()), class_n.sum()
+    assert model["tokens"] == total
+
+    def score(text):
+        out, before = 0.0, 0
+        for u, w in [*((unit(w), w) for w in text), (0, None)]:
+            c, b = of[u], of[before]
+            n_unit = len(training) if u == 0 else rare_n[u] if u >= units.shapes else counts[w]
+            out += np.log10((cells[b, c] + 8 * (class_n[c] + 1) / (total + 6)) / (cells[b].sum() + 8))
+            out += np.log10((n_unit + 0.5) / (class_n[c] + 0.5 * members[c]))
+            if u >= units.shapes:
+                out += np.log10((counts[w] + 1) / (rare_n[u] + rare_v[u] + 1))
+            before = u
+        return out
+
+    got = {r.doc_id: r.score for r in score_documents(docs, common.held_out(7), s).collect()}
+    # the exchange is deterministic, so both runs have the same classes
+    assert all(got[i] == pytest.approx(score(split(t)), rel=1e-9) for i, t in texts())
+
+
+def test_class_lm_gains():
+    rng = np.random.default_rng(1)
+    seq, labels = rng.integers(0, 40, 3000), rng.integers(0, 5, 40)
+    seq[rng.random(3000) < 0.3] = 7
+    pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+
+    def cells(of):
+        m = np.zeros((5, 5))
+        for (u, v), n in pairs.items():
+            m[of[u], of[v]] += n
+        return m
+
+    after, before, loops = np.zeros((40, 5)), np.zeros((40, 5)), np.zeros(40)
+    for (u, v), n in pairs.items():
+        after[u, labels[v]] += n
+        before[v, labels[u]] += n
+        loops[u] += n * (u == v)
+    total = brown_lm.Gains(cells(labels)).of(labels, after, before, loops)
+    for i in range(40):
+        for c in range(5):
+            moved = labels.copy()
+            moved[i] = c
+            assert total[i, c] - total[i, labels[i]] == pytest.approx(brown_lm.likelihood(cells(moved)) - brown_lm.likelihood(cells(labels)), abs=1e-6)
+
+
+def test_class_lm_repeats_and_no_training(spark):
+    rows = [(1, "a b a b a"), (1, "a b a b a"), (2, None), (3, "b a b"), (None, "a"), (None, "a")]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n long, h string")
+    got = score_documents(table, common.held_out(7)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in got) == sorted((str(i), len(split(t)) + 1, len(split(t)) + 1) for i, t in rows)
+    same = [r.score for r in got if r.doc_id == 1]
+    assert len(same) == 2 and same[0] == same[1]
+    untaught = score_documents(table, F.lit(True)).collect()
+    assert len(untaught) == len(rows) and all(r.score == r.base_score and r.n_known == 0 and r.train_tokens == 0 for r in untaught)
 
 
 def test_packing(docs, none):
