@@ -10,12 +10,15 @@ others join the classes that their contexts fit best, then all are exchanged. Th
 where the last factor is 1 for a word that is a unit and (count + 1) / (tokens + words + 1) of its shape for another. All counts
 cover the whole training corpus. Words are told apart by 64-bit hashes.
 
-Each unit's neighbours lie in one row of a written table, so that a round of the exchange is one pass over it without a shuffle: labels
-are broadcast, each task counts its units' neighbours by class and finds the best moves, and the class bigram counts are summed.
+Tasks gather the tokens after and before each unit in runs of text; these lists are shuffled by unit and written, one row a unit (the most
+frequent units have several, so that no task gets all of one). A round of the exchange is a pass over that table without a shuffle: labels
+are broadcast, each task counts its units' neighbours by class and finds the best moves, and the class bigram counts are summed. Only those, the
+labels, and the neighbours by class of the units with several rows come to the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +35,10 @@ FLUSH = 300_000
 SHAPES = 16
 #: Counts up to which gains of moves are looked up in tables.
 SMALL = 24
+#: The most frequent units have ``PARTS`` rows of neighbours.
+SPLIT, PARTS = 256, 16
+#: Neighbours of a row that are held before equal ones are added up.
+HELD = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -93,29 +100,119 @@ class Units(dict):
         return unit
 
 
-def _pair_counts(words):
+def _near_lists(words):
+    """unit, part, and what comes after and before it in a run of texts, as bytes of 32-bit units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, row = Units(*words.value), [0]
+        units, row, part = Units(*words.value), [0], 0
 
         def out():
-            x = np.array(row, np.int64)
-            pair, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
-            for i in range(0, len(pair), 100_000):
-                p = pair[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((p >> 32).astype(np.int32)), pa.array((p & 0xFFFFFFFF).astype(np.int32)), pa.array(n[i : i + 100_000])], ["u", "v", "n"])
+            # every unit of a run is followed and preceded equally often, as it begins and ends with an end
+            x = np.array(row, np.int32)
+            by_first, by_second = np.argsort(x[:-1], kind="stable"), np.argsort(x[1:], kind="stable")
+            first = x[:-1][by_first]
+            starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, np.int64)
+            offsets = pa.py_buffer(np.r_[starts * 4, len(first) * 4].astype(np.int32))
+            lists = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(np.ascontiguousarray(v))]) for v in (x[1:][by_first], x[:-1][by_second])]
+            unit = first[starts]
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.where(unit < SPLIT, part % PARTS, 0).astype(np.int32)), *lists], ["unit", "part", "after", "before"])
 
         for batch in common.slices(batches):
             for raw in common.text_bytes(batch.column("text")):
+                part = part or zlib.crc32(raw)
                 row += map(units.__getitem__, tokens(raw))
                 row.append(0)
                 if len(row) > 4 * FLUSH:
                     yield from out()
-                    row = [0]
+                    row, part = [0], part + 1
         yield from out()
 
     return run
 
 
+NEAR = pa.schema([("unit", pa.int32()), ("after", pa.binary()), ("after_n", pa.binary()), ("before", pa.binary()), ("before_n", pa.binary())])
+NEAR_SCHEMA = "unit int, after binary, after_n binary, before binary, before_n binary"
+
+
+class Neighbours:
+    """Of one row: 32-bit units, and their numbers if not all are 1. Equal ones are added up when there are many."""
+
+    def __init__(self):
+        self.lists, self.held, self.v, self.n = [], 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def add(self, raw: bytes) -> None:
+        self.lists.append(raw)
+        self.held += len(raw) // 4
+        if self.held > HELD:
+            self._add_up()
+
+    def _add_up(self) -> None:
+        new = np.frombuffer(b"".join(self.lists), np.int32)
+        v, at = np.unique(np.concatenate([self.v, new]), return_inverse=True)
+        self.v, self.n = v, np.bincount(at, np.concatenate([self.n, np.ones(len(new), np.int64)])).astype(np.int64)
+        self.lists, self.held = [], 0
+
+    def row(self) -> tuple[bytes, bytes]:
+        if not len(self.v):
+            return b"".join(self.lists), b""
+        self._add_up()
+        return self.v.astype(np.int32).tobytes(), self.n.tobytes()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each unit and part, which follow each other."""
+    key, sides, rows, size = None, None, [], 0
+
+    def close():
+        nonlocal size
+        row = (key[0], *sides[0].row(), *sides[1].row())
+        rows.append(row)
+        size += sum(len(x) for x in row[1:])
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NEAR, strict=True)], schema=NEAR)
+
+    for batch in batches:
+        for unit, part, after, before in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "after", "before")), strict=True):
+            if (unit, part) != key:
+                if key:
+                    close()
+                    if size > 8_000_000:
+                        yield out()
+                        rows, size = [], 0
+                key, sides = (unit, part), (Neighbours(), Neighbours())
+            sides[0].add(after)
+            sides[1].add(before)
+    if key:
+        close()
+        yield out()
+
+
+def _among(first: int):
+    """Rows and neighbours of the first units only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for unit, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = [unit]
+                for raw, raw_n in (lists[:2], lists[2:]):
+                    v = np.frombuffer(raw, np.int32)
+                    keep = v < first
+                    row += [v[keep].tobytes(), np.frombuffer(raw_n, np.int64)[keep].tobytes() if raw_n else b""]
+                rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NEAR, strict=True)], schema=NEAR)
+
+    return run
+
+
+def near_units(training: DataFrame, words, work: common.Work) -> DataFrame:
+    """unit, after and before with their numbers, written."""
+    lists = training.mapInArrow(_near_lists(words), "unit int, part int, after binary, before binary")
+    return work.save(lists.repartition("unit", "part").sortWithinPartitions("unit", "part").mapInArrow(_merged, NEAR_SCHEMA), "near")
+
+
 def _f(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
@@ -184,91 +281,121 @@ class Gains:
         return total
 
 
-def _counted(batch: pa.RecordBatch, labels: np.ndarray, classes: int):
-    """Units of a batch, their neighbours by class after and before (those without a class are left out), and loops."""
-    unit = batch.column("unit").to_numpy().astype(np.int64)
-    found, loops = [], np.zeros(len(unit))
-    for name in ("after", "before"):
-        column = batch.column(name)
-        offsets = column.offsets.to_numpy()
-        values = column.values
-        other, n = (values.field(x).to_numpy()[offsets[0] : offsets[-1]] for x in ("v", "n"))
-        row = np.repeat(np.arange(len(unit)), np.diff(offsets))
-        c = labels[other].astype(np.int64)
-        keep = c < classes
-        found.append(np.bincount(row[keep] * classes + c[keep], n[keep], len(unit) * classes).reshape(len(unit), classes))
-        if name == "after":
-            own = other == unit[row]
-            loops = np.bincount(row[own], n[own], len(unit)) * (labels[unit] < classes)
-    return unit, found[0], found[1], loops
+def _side(batch: pa.RecordBatch, name: str, unit: np.ndarray, labels: np.ndarray, classes: int, with_loops: bool = False):
+    """Of a batch's rows the neighbours of one side by class (those without one are left out), and those that are the unit itself."""
+
+    def joined(column, kind):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None and len(offsets) and offsets[-1] > offsets[0] else np.zeros(0, kind)), np.diff(offsets) // kind().itemsize
+
+    v, sizes = joined(batch.column(name), np.int32)
+    numbers, some = joined(batch.column(f"{name}_n"), np.int64)
+    row = np.repeat(np.arange(len(unit), dtype=np.int32), sizes)
+    n = None
+    if len(numbers):
+        n = np.ones(len(v))
+        n[np.repeat(some > 0, sizes)] = numbers
+    c = labels[v]
+    at = row.astype(np.int64) * (classes + 1) + np.minimum(c, classes)
+    found = np.bincount(at, n, len(unit) * (classes + 1)).reshape(len(unit), classes + 1)[:, :classes].astype(float)
+    loops = np.zeros(len(unit))
+    if with_loops:
+        own = np.flatnonzero(v == unit[row])
+        loops = np.bincount(row[own], None if n is None else n[own], len(unit)) * (labels[unit] < classes)
+    return found, loops
 
 
 def _cells(labels, classes: int):
     """Class bigram counts, as rows (i, n) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((classes, classes))
+        cells = np.zeros((classes + 1, classes))
         for batch in batches:
-            unit, after, _, _ = _counted(batch, labels.value, classes)
-            own = labels.value[unit]
-            there = own < classes
-            for c in range(classes):
-                cells[c] += after[there & (own == c)].sum(0)
+            unit = batch.column("unit").to_numpy()
+            after, _ = _side(batch, "after", unit, labels.value, classes)
+            np.add.at(cells, np.minimum(labels.value[unit], classes), after)
+        cells = cells[:classes]
         i = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(cells.ravel()[i].astype(np.int64))], ["i", "n"])
 
     return run
 
 
+class Mover:
+    """Best moves by the class bigram counts: of units without a class (``fit``) to any, of a share of the others to a better one."""
+
+    def __init__(self, labels: np.ndarray, cells: np.ndarray, fit: bool, turn: int, share: float):
+        self.labels, self.classes, self.gains, self.fit, self.turn, self.share = labels, len(cells), Gains(cells), fit, turn, share
+
+    def wanted(self, unit: np.ndarray) -> np.ndarray:
+        own = self.labels[unit]
+        dice = ((unit.astype(np.int64) + 1) * 0x9E3779B1 + self.turn * 0x85EBCA77) * 0xC2B2AE35 >> 16 & 1023
+        return np.flatnonzero(own >= self.classes if self.fit else (own < self.classes) & (dice < 1024 * self.share))
+
+    def best(self, unit: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units that move, and their new classes."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(unit), 512):
+            x = slice(at, at + 512)
+            u, rows = unit[x].astype(np.int64), np.arange(len(unit[x]))
+            old = np.full(len(u), -1) if self.fit else self.labels[u].astype(np.int64)
+            total = self.gains.of(old, after[x], before[x], loops[x])
+            to = np.where((after[x].sum(1) + before[x].sum(1)) > 0, total.argmax(1), u % self.classes)
+            better = np.ones(len(u), bool) if self.fit else total[rows, to] > total[rows, old] + 1e-6
+            out.append((u[better], to[better]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _moves(labels, cells: np.ndarray, fit: bool, turn: int, share: float):
-    """Units whose best class is another than theirs (``fit``: of those without a class, all)."""
+    """unit and the class that it moves to; of the units with several rows, instead, the neighbours by class of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains, classes = Gains(cells), len(cells)
+        mover = Mover(labels.value, cells, fit, turn, share)
         for batch in batches:
-            unit, after, before, loops = _counted(batch, labels.value, classes)
-            own = labels.value[unit].astype(np.int64)
-            if fit:
-                pick = np.flatnonzero(own >= classes)
-            else:
-                dice = ((unit + 1) * 0x9E3779B1 + turn * 0x85EBCA77) * 0xC2B2AE35 >> 16 & 1023
-                pick = np.flatnonzero((own < classes) & (dice < 1024 * share))
-            for at in range(0, len(pick), 512):
-                x = pick[at : at + 512]
-                old = np.full(len(x), -1) if fit else own[x]
-                total = gains.of(old, after[x], before[x], loops[x])
-                to = np.where((after[x].sum(1) + before[x].sum(1)) > 0, total.argmax(1), unit[x] % classes)
-                better = np.ones(len(x), bool) if fit else total[np.arange(len(x)), to] > total[np.arange(len(x)), old] + 1e-6
-                yield pa.RecordBatch.from_arrays([pa.array(unit[x][better].astype(np.int32)), pa.array(to[better].astype(np.int32))], ["unit", "to"])
+            batch = batch.take(pa.array(mover.wanted(batch.column("unit").to_numpy())))
+            unit = batch.column("unit").to_numpy()
+            if not len(unit):
+                continue
+            (after, loops), (before, _) = _side(batch, "after", unit, mover.labels, mover.classes, True), _side(batch, "before", unit, mover.labels, mover.classes)
+            whole = unit >= SPLIT
+            moved, to = mover.best(unit[whole], after[whole], before[whole], loops[whole])
+            part = np.flatnonzero(~whole)
+            counts = [np.concatenate([after[i], before[i], loops[i : i + 1]]).tobytes() for i in part]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([moved, unit[part]]).astype(np.int32)), pa.array(np.concatenate([to, np.full(len(part), -1)]).astype(np.int32)), pa.array([None] * len(moved) + counts, pa.binary())], ["unit", "to", "counts"])
 
     return run
 
 
 class Exchange:
-    """Classes of units. ``near``: unit, after and before (arrays of v, n), a written table."""
+    """Classes of units. ``near``: their neighbours, a written table."""
 
-    def __init__(self, near: DataFrame, n_units: int, s: Settings):
-        self.near, self.s, self.spark = near, s, near.sparkSession
+    def __init__(self, near: DataFrame, n_units: int, s: Settings, work: common.Work):
+        self.near, self.s, self.spark, self.work = near, s, near.sparkSession, work
         self.labels = np.full(n_units, 255 if s.classes < 256 else 65535, np.uint8 if s.classes < 256 else np.uint16)
         self.cells = np.zeros((s.classes, s.classes))
 
-    def _run(self, rows: DataFrame, make, schema: str) -> pa.Table:
+    def count(self, rows: DataFrame) -> np.ndarray:
         shared = self.spark.sparkContext.broadcast(self.labels)
-        found = rows.mapInArrow(make(shared), schema)
-        found = (found.groupBy("i").agg(F.sum("n").alias("n")) if "i int" in schema else found).toArrow()
+        found = rows.select("unit", "after", "after_n").mapInArrow(_cells(shared, self.s.classes), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         shared.destroy()
-        return found
-
-    def count(self, rows: DataFrame) -> np.ndarray:
-        found = self._run(rows, lambda x: _cells(x, self.s.classes), "i int, n long")
         cells = np.zeros(self.s.classes**2)
         cells[found["i"].to_numpy()] = found["n"].to_numpy()
         return cells.reshape(self.s.classes, -1)
 
     def _moved(self, rows: DataFrame, fit: bool, turn: int = 0, share: float = 1.0) -> np.ndarray:
-        found = self._run(rows, lambda x: _moves(x, self.cells, fit, turn, share), "unit int, to int")
-        new = self.labels.copy()
-        new[found["unit"].to_numpy()] = found["to"].to_numpy()
+        shared = self.spark.sparkContext.broadcast(self.labels)
+        found = rows.mapInArrow(_moves(shared, self.cells, fit, turn, share), "unit int, to int, counts binary").toArrow()
+        shared.destroy()
+        unit, to, new = found["unit"].to_numpy(), found["to"].to_numpy(), self.labels.copy()
+        new[unit[to >= 0]] = to[to >= 0]
+        parts: dict[int, np.ndarray] = {}
+        for u, raw in zip(unit[to < 0].tolist(), found["counts"].filter(pa.array(to < 0)).to_pylist(), strict=True):
+            parts[u] = parts.get(u, 0) + np.frombuffer(raw)
+        if parts:
+            c, x = self.s.classes, np.stack([parts[u] for u in sorted(parts)])
+            moved, to = Mover(self.labels, self.cells, fit, turn, share).best(np.array(sorted(parts)), x[:, :c], x[:, c : 2 * c], x[:, -1])
+            new[moved] = to
         return new
 
     def rounds(self, rows: DataFrame, most: int) -> None:
@@ -292,7 +419,8 @@ class Exchange:
         s, n = self.s, len(self.labels)
         first = min(n, s.first)
         self.labels[:first] = np.arange(first) % s.classes
-        self.rounds(self.near.filter(F.col("unit") < first), s.first_rounds)
+        among = self.near.filter(F.col("unit") < first)
+        self.rounds(self.work.save(among.mapInArrow(_among(first), NEAR_SCHEMA), "near-first") if first < n else among, s.first_rounds)
         if first < n:
             self.labels = self._moved(self.near, True)
             absent = self.labels >= s.classes
@@ -300,15 +428,6 @@ class Exchange:
             self.rounds(self.near, s.rounds)
 
 
-def neighbours(pairs: DataFrame) -> DataFrame:
-    """unit, after and before (arrays of v, n) of the pairs u, v, n."""
-    sides = pairs.select(F.explode(F.array(
-        F.struct(F.col("u").alias("unit"), F.lit(True).alias("a"), F.struct("v", "n").alias("x")),
-        F.struct(F.col("v").alias("unit"), F.lit(False).alias("a"), F.struct(F.col("u").alias("v"), "n").alias("x")),
-    )).alias("r")).select("r.*")
-    return sides.groupBy("unit").agg(F.collect_list(F.when(F.col("a"), F.col("x"))).alias("after"), F.collect_list(F.when(~F.col("a"), F.col("x"))).alias("before"))
-
-
 def _scores(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
@@ -361,9 +480,7 @@ def train(training: DataFrame, work: common.Work, s: Settings) -> dict:
     rare = work.save(counts.filter(F.col("n") < least), "rare")
 
     shared = spark.sparkContext.broadcast(words)
-    pairs = training.mapInArrow(_pair_counts(shared), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
-    near = work.save(neighbours(pairs), "near")
-    exchange = Exchange(near, n_units, s)
+    exchange = Exchange(near_units(training, shared, work), n_units, s, work)
     exchange.run()
     labels, cells = exchange.labels.astype(np.int64), exchange.cells
 
@@ -377,7 +494,7 @@ def train(training: DataFrame, work: common.Work, s: Settings) -> dict:
     emit[shapes:] -= np.log10(unit_n + unit_v + 1)[shapes:]
     log = np.zeros(n_units)
     log[:shapes] = np.log10(unit_n[:shapes] + 1)
-    work.drop("counts", "near")
+    work.drop("counts", "near", "near-first")
     return {"words": words, "classes": s.classes, "of": labels, "step": step.ravel(), "emit": emit, "log": log, "norm": float(np.log10(n + v + 1)), "ends": int(texts > 0), "tokens": n, "rare": rare, "texts": texts}
 
 
