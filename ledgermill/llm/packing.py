@@ -110,31 +110,18 @@ def _fill(gap: int, pool: list[tuple[int, int, int]]) -> list[tuple[int, int, in
 
 
 def pack(pieces: list[tuple[int, int, int]], sizes: list[int]) -> tuple[list[tuple[int, list]], list[tuple[int, int, int]]]:
-    """Full sequences (size, pieces) of the given descending sizes, and the pieces that are left; each piece, given and
-    left, is at most the largest size."""
-    tiers: list[list] = [[] for _ in sizes]
-    for piece in pieces:
-        tiers[max(i for i, size in enumerate(sizes) if piece[0] <= size)].append(piece)
-    out = []
-    for i, size in enumerate(sizes):
-        opening, shorter = sorted(tiers[i], reverse=True), sorted(x for t in tiers[i + 1 :] for x in t)
-        if i + 1 == len(sizes):
-            opening, shorter = [], sorted(opening)
-        total = sum(x[0] for x in shorter)
-        while opening or total >= size and i + 1 == len(sizes):
-            first = [opening.pop(0)] if opening else []
-            n = sum(x[0] for x in first)
-            if size - n > total:
-                return out, [*first, *opening, *shorter]
-            out.append((size, [*first, *_fill(size - n, shorter)]))
-            total -= size - n
-        for t in tiers[i + 1 :]:
-            t.clear()
-        for piece in shorter:
-            tiers[max(j for j, s in enumerate(sizes) if piece[0] <= s)].append(piece)
-        if i + 1 == len(sizes):
-            return out, shorter
-    return out, []
+    """Full sequences (size, pieces) of the given descending sizes, and the pieces that are left, fewer tokens than the largest size; each
+    piece, given and left, is at most the largest size."""
+    pool, total, out = sorted(pieces), sum(x[0] for x in pieces), []
+    for size, below in zip(sizes, [*sizes[1:], 0], strict=True):
+        # pieces of this tier are longer than the next size
+        while pool and (pool[-1][0] > below if below else total >= size):
+            if total < size:
+                return out, pool
+            first = pool.pop()
+            out.append((size, [first, *_fill(size - first[0], pool)]))
+            total -= size
+    return out, pool
 
 
 def _rest(pieces: list[tuple[int, int, int]], largest: int) -> list[tuple[int, list]]:

@@ -175,6 +175,24 @@ def test_packing(docs, none):
     assert len(pieces) == len(texts()) and full >= len(sequences) - 1 and packing.pack_documents(none, path, end_id=2).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [(3000, 3500), (2049, 4096), (1, 4096), (4000, 4096), (1, 50)])
+def test_packing_leaves_less_than_a_window(lengths):
+    rng = random.Random(sum(lengths))
+    pieces = [(rng.randint(*lengths), i, 0) for i in range(700)]
+    out, left = packing.pack(pieces, [4096, 2048, 1024, 512, 256])
+    assert sum(n for n, _, _ in left) < 4096 and all(sum(n for n, _, _ in found) == size for size, found in out)
+    at = defaultdict(list)
+    for _, found in [*out, (0, left)]:
+        for n, doc, start in found:
+            at[doc].append((start, n))
+    for n, doc, _ in pieces:
+        place = 0
+        for start, part in sorted(at[doc]):
+            assert start == place and part > 0
+            place += part
+        assert place == n
+
+
 def test_url_filters(spark):
     rows = [(0, "http://A.example.COM/en/x?y#z"), (1, None), (2, "no scheme"), (3, "https://www.example.com/en/"), (4, "http://x.net/es/redstone"), (5, "http://greenhouse.org/es/redstone"), (6, "http://a.net"), (6, "http://a.net"), (7, "http://example.com#/en/"), (8, "http://h/" + "ab" * 5000)]
     pages = spark.createDataFrame([(i, u, "<p>red stone green house</p>", "c", 1) for i, u in rows], "page_id long, url string, html string, host string, n int")
