@@ -44,6 +44,16 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, "".join(_ACCENTED), _PLAIN)
 
 
+def upper_text(c: Column) -> Column:
+    """Upper case, no accents, single spaces, also at the ends; null becomes empty."""
+    return F.regexp_replace(strip_accents(F.upper(F.coalesce(c, F.lit("")))), r"\s+", " ")
+
+
+def lower_text(c: Column) -> Column:
+    """Lower case, no accents, single spaces; null becomes empty."""
+    return clean(strip_accents(F.lower(F.coalesce(c, F.lit("")))))
+
+
 def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -67,14 +77,22 @@ def has(c: Column, pattern: str) -> Column:
     return c.rlike("(?iu)" + pattern)
 
 
-def safe_file_name(c: Column) -> Column:
-    """Forbidden marks become underscores; the name ends in .pdf."""
-    name = F.trim(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1F]', "_"), r"\s+", " "))
-    return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+def safe_file_name(c: Column, default: str = "arquivo.pdf") -> Column:
+    """Forbidden marks become underscores, white space single blanks; the name ends in .pdf; without a name the default one."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/:*?"<>|]', "_"), r"\s+", " "))
+    return F.when(name == "", default).when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+
 
+def storage_name(c: Column, at: Column | None = None) -> Column:
+    """Marks beyond letters, digits, dot, underscore and dash become underscores; with ``at``, after its milliseconds since 1970."""
+    name = F.regexp_replace(c, "[^a-zA-Z0-9._-]", "_")
+    return name if at is None else F.concat_ws("_", F.unix_millis(at.cast("timestamp")).cast("string"), name)
 
-def storage_name(c: Column) -> Column:
-    return F.regexp_replace(c, "[^a-zA-Z0-9._-]", "_")
+
+def activity_code(c: Column) -> Column:
+    """Digits, dots and dashes of an activity's code; the placeholder of noughts and a code without digits give null."""
+    code = F.regexp_replace(c, "[^0-9.-]", "")
+    return F.when(F.regexp_replace(code, "[.0-]", "") != "", code)
 
 
 def target_path(company: Column, year: Column, name: Column) -> Column:
@@ -93,19 +111,29 @@ def initials(c: Column) -> Column:
     return F.array_join(F.transform(F.slice(F.split(clean(c), " "), 1, 2), lambda x: F.upper(F.substring(x, 1, 1))), "")
 
 
+#: Words in the names of legal entities, upper case.
+LEGAL_WORDS = [
+    "LTDA", "S/A", "S.A.", "SA", "ME", "EPP", "EIRELI", "PME", "MICROEMPRESA", "SOCIEDADE", "ASSOCIACAO", "ASSOCIAÇÃO", "FUNDACAO", "FUNDAÇÃO",
+    "SERVICOS", "SERVIÇOS", "INDUSTRIA", "CONSTRUTORA", "HOLDING", "PARTICIPACOES", "PARTICIPAÇÕES",
+]
+
+
 def is_legal_entity(name: Column) -> Column:
-    """A suffix of companies as a word of its own."""
-    return F.coalesce(normal_text(name).rlike(r"(^|[^A-Z])(LTDA|S/?A|EIRELI|MEI?|EPP|HOLDING|GRUPO|CIA)($|[^A-Z])"), F.lit(False))
+    """One of the words as a word of its own, with or without accents; false for null."""
+    words = "|".join(w.replace(".", r"\.") for w in LEGAL_WORDS if w.isascii())
+    return F.coalesce(normal_text(name).rlike(rf"(^|[^A-Z])({words})($|[^A-Z])"), F.lit(False))
 
 
 def phones(c: Column) -> Column:
-    """Numbers of a text split at slashes: digits, kind, primary (the first part, if valid), without repeats."""
-    parts = F.transform(F.split(c, "/"), lambda x, i: F.struct(F.substring(only_digits(x), 1, 30).alias("number"), (i == 0).alias("is_primary")))
+    """Numbers of a text split at slashes: digits (30 at most), kind, primary (the first part that isn't blank, if it is a number), without
+    repeats; an empty array for null."""
+    there = F.filter(F.split(F.coalesce(c, F.lit("")), "/"), lambda x: F.trim(x) != "")
+    parts = F.transform(there, lambda x, i: F.struct(F.substring(only_digits(x), 1, 30).alias("number"), (i == 0).alias("is_primary")))
     valid = F.filter(parts, lambda p: F.length(p["number"]) >= 8)
     numbers = F.transform(valid, lambda p: p["number"])
     kept = F.filter(valid, lambda p, i: F.array_position(numbers, p["number"]) == i + 1)
     mobile = lambda n: (F.length(n) == 11) & (F.substring(n, 3, 1) == "9")
-    return F.transform(kept, lambda p: F.struct(p["number"].alias("number"), F.when(mobile(p["number"]), "MOBILE").otherwise("LANDLINE").alias("kind"), p["is_primary"].alias("is_primary")))
+    return F.transform(kept, lambda p: F.struct(p["number"].alias("number"), F.when(mobile(p["number"]), "CELULAR").otherwise("FIXO").alias("kind"), p["is_primary"].alias("is_primary")))
 
 
 def money_shown(c: Column) -> Column:
@@ -113,10 +141,23 @@ def money_shown(c: Column) -> Column:
     return F.concat(F.lit("R$ "), F.translate(F.format_number(c, 2), ",.", ".,"))
 
 
+def date_shown(c: Column) -> Column:
+    return F.date_format(c, "dd/MM/yyyy")
+
+
+def _br_number(c: Column) -> Column:
+    return F.translate(c, ",.", ".").try_cast(MONEY)
+
+
 def money_in_text(c: Column) -> Column:
-    """The first amount after R$; null if there is none."""
-    found = F.regexp_extract(c, r"R\$\s*([0-9.]+,[0-9]{2}|[0-9]+)", 1)
-    return F.translate(found, ",.", ".").try_cast(MONEY)
+    """The first amount after R$, points marking thousands; null if there is none or it isn't a number."""
+    return _br_number(F.regexp_extract(c, r"(?i)R\$\s*([0-9.,]+)", 1))
+
+
+def money_or_last_number(c: Column) -> Column:
+    """The first amount after R$, else the number at the end."""
+    marked = F.nullif(F.regexp_extract(c, r"(?i)R\$\s*([0-9.,]+)", 1), F.lit(""))
+    return _br_number(F.coalesce(marked, F.regexp_extract(c, "([0-9.,]+)$", 1)))
 
 
 def loose_money(c: Column) -> Column:
@@ -151,10 +192,35 @@ def br_date(c: Column) -> Column:
     return F.try_to_date(F.trim(c), "d/M/yyyy")
 
 
+def yes_no(c: Column) -> Column:
+    """By the beginning: true for SIM or a lone S, false for NAO or a lone N, else null."""
+    x = normal_text(c)
+    return F.when(x.startswith("SIM") | (x == "S"), True).when(x.startswith("NAO") | (x == "N"), False)
+
+
 def loose_date(c: Column) -> Column:
-    """Day/month/year, else ISO, else 1 January of a year 20yy in the text."""
-    year = F.regexp_extract(c, r"(20\d{2})", 1).try_cast("int")
-    return F.coalesce(F.try_to_date(F.trim(c), "d/M/yyyy"), F.try_to_date(F.substring(F.trim(c), 1, 10), "yyyy-MM-dd"), F.when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1))))
+    """Day, month and year at the beginning (slashes or dashes, whatever follows), else an ISO date, else 1 January of a year 20yy in the text."""
+    x = F.trim(c)
+    dmy = [F.regexp_extract(x, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})", i).try_cast("int") for i in (3, 2, 1)]
+    parts = F.concat_ws("-", *dmy)
+    iso = F.try_to_date(F.regexp_extract(x, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    year = F.regexp_extract(c, r"\b(20\d{2})\b", 1).try_cast("int")
+    return F.coalesce(F.try_to_date(F.when(dmy[0].isNotNull(), parts), "y-M-d"), iso, F.when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1))))
+
+
+def fiscal_year(text: Column, as_of_year: int) -> Column:
+    """The labelled year, else the greatest year from 2005 to the one after ``as_of_year`` in the text."""
+    said = F.regexp_extract(text, r"(?i)(?:ANO\s*BASE|ANO-?CALENDARIO)\s*[:\-]?\s*(20\d{2})", 1).try_cast("int")
+    return F.coalesce(said, greatest_year(text, 2005, as_of_year + 1))
+
+
+def year_or_last(year: Column, as_of: Column) -> Column:
+    """The year, or the one before ``as_of``."""
+    return F.coalesce(year, F.year(as_of) - 1)
+
+
+def date_folder(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd")
 
 
 def greatest_year(c: Column, low: int, high: int) -> Column:
@@ -167,19 +233,56 @@ def keywords(c: Column, most: int = 5) -> Column:
 
 
 def expense_class(c: Column) -> Column:
-    """Ordered keywords; another text is operational, null stays null."""
-    x = normal_text(c)
+    """Ordered keywords, without accents; another text is an operational expense, a blank one null."""
+    x = lower_text(c)
     return (
-        F.when(c.isNull(), None)
-        .when(x.rlike("TERCEIR|CONTRAT"), "third_party")
-        .when(x.rlike("MATERIA"), "material")
-        .when(x.rlike("VIAG|TRANSPORT"), "travel")
-        .when(x.rlike("TREINA|CAPACIT"), "training")
-        .otherwise("operational")
+        F.when(x == "", None)
+        .when(x.contains("material"), "MATERIAL_CONSUMO")
+        .when(x.contains("tecnologia industrial") | x.contains("tib"), "TIB")
+        .when(x.contains("pessoa jur") | x.contains("terceiros contratad"), "SERVICO_APOIO_PJ")
+        .when(x.contains("apoio tecnico") | x.contains("servico de apoio"), "SERVICO_APOIO_PF")
+        .otherwise("DESPESA_OPERACIONAL")
     )
 
 
+#: Research categories, their codes and their numbers.
+RESEARCH = [("PESQUISA_BASICA", "PB", 1), ("PESQUISA_APLICADA", "PA", 2), ("DESENVOLVIMENTO_EXPERIMENTAL", "DE", 3), ("INOVACAO_TECNOLOGICA", None, None)]
+
+
+def research_category(c: Column) -> Column:
+    """By name (spaces or underscores), or by a code that stands alone or in brackets; null for another text."""
+    x, out = F.translate(normal_text(c), "_", " "), F.lit(None).cast("string")
+    for name, code, _ in reversed(RESEARCH):
+        found = x.contains(name.replace("_", " "))
+        out = F.when(found if code is None else found | x.rlike(rf"^{code}$|\({code}\)|^{code}\s*-"), name).otherwise(out)
+    return out
+
+
 def research_class(c: Column) -> Column:
-    """1 basic, 2 applied, 3 experimental: by name, code or number."""
+    """The number of the category; a number from 1 to 3 is taken as it is."""
+    name, out = research_category(c), F.trim(c).try_cast("int")
+    out = F.when(out.between(1, 3), out)
+    for category, _, number in RESEARCH[:3]:
+        out = F.when(name == category, number).otherwise(out)
+    return out
+
+
+def nature(c: Column) -> Column:
+    """PRODUTO, PROCESSO or SERVICO, else the text's first 50 characters; null for a blank text."""
+    x = normal_text(c)
+    return F.when(x == "", None).when(x.contains("PRODUTO"), "PRODUTO").when(x.contains("PROCESSO"), "PROCESSO").when(x.contains("SERVI"), "SERVICO").otherwise(F.substring(F.trim(c), 1, 50))
+
+
+def equipment_origin(c: Column) -> Column:
     x = normal_text(c)
-    return F.when(x.rlike(r"BASICA|^PB$|\(PB\)|^1$"), 1).when(x.rlike(r"APLICADA|^PA$|\(PA\)|^2$"), 2).when(x.rlike(r"EXPERIMENTAL|^DE$|\(DE\)|^3$"), 3)
+    return F.when(x.contains("EQUIPAMENTOS NACIONAIS"), "NACIONAL").when(x.contains("EQUIPAMENTOS IMPORTADOS"), "IMPORTADO")
+
+
+def mapped(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a code, or the code."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), c), c)
+
+
+def record_label(*names: Column, payload: Column) -> Column:
+    """The first name there is, else the payload."""
+    return F.coalesce(*names, payload)
