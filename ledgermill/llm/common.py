@@ -108,6 +108,24 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def frugal(run):
+    """A function over Arrow batches that gives its memory back at the end of a task; Python workers are kept for later ones."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

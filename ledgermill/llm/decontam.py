@@ -263,7 +263,7 @@ def _found(items, walks: dict[int, int], settings: Settings):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return run
+    return common.frugal(run)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:

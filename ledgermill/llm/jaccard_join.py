@@ -123,7 +123,7 @@ def _signature_rows(size: int, percent: int):
             node, n, need0, need1 = zip(*one, strict=True) if one else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([none(pa.int64(), len(node)), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(need0, pa.int32()), pa.array(need1, pa.int32())], ["sig", "node", "n", "need0", "need1"])
 
-    return run
+    return common.frugal(run)
 
 
 def _segment_rows(size: int):
@@ -138,7 +138,7 @@ def _segment_rows(size: int):
             node, f, grams = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "fragment", "grams"])
 
-    return run
+    return common.frugal(run)
 
 
 def components(work: common.Work, edges: DataFrame, name: str) -> DataFrame:

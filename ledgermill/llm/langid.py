@@ -180,4 +180,4 @@ def _judged(learnt):
             lang, score = zip(*parser.judge([t or "" for t in batch.column("text").to_pylist()]), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return run
+    return common.frugal(run)
