@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Sampled texts per language, and code points of each: the bound of what a language is learnt from.
-SAMPLE_TEXTS, SAMPLE_LETTERS = 64, 400
-#: Letters after which the parse starts anew, so that pieces of a text advance together.
+#: Sampled texts per language, and the excerpts of each, spread evenly over it, and their code points: the bound of what a language is learnt from.
+SAMPLE_TEXTS, EXCERPTS, EXCERPT = 64, 5, 80
+#: Letters of the pieces of a text that advance together; the parse is carried from each into the next.
 PIECE = 512
 BLANK, STRANGE, BREAK, PAD = 0, 1, 2, 3
 
@@ -88,6 +88,8 @@ class Parser:
             table = np.where(table >= 0, table * 2, begin * 2 + 1)
             table[0] = begin * 2 + 1
             table[:, PAD] = root * 2
+            if (states + len(automaton)) * self.size >= 1 << 30:
+                raise ValueError("too many languages and letters for the tables")
             tables.append(table.astype(np.int32))
             self.roots.append(root)
             lengths.append(len(symbols))
@@ -127,9 +129,36 @@ class Parser:
                 np.right_shift(to, 1, out=state)
                 to &= 1
                 total += to
+            total += self._carried(root, steps, owner, state)
             out[:, i] = np.bincount(owner, total, len(texts))
         return out
 
+    def _carried(self, root: int, steps: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By piece how many phrases more it has (mostly fewer) if it goes on where the piece before it ended, instead of anew. Both
+        parses of a piece are followed until they meet; the few that don't within it change where the next piece begins."""
+        more, end = np.zeros(len(owner), np.int64), ends.copy()
+        later = np.concatenate([[False], owner[1:] == owner[:-1]])
+        pending = np.flatnonzero(later)
+        while len(pending):
+            a, b, d = np.full(len(pending), root, np.int32), end[pending - 1], np.zeros(len(pending), np.int64)
+            live = np.flatnonzero(a != b)
+            for step in steps:
+                if not len(live):
+                    break
+                s = step[pending[live]]
+                x, y = self.table[a[live] + s], self.table[b[live] + s]
+                d[live] += (y & 1) - (x & 1)
+                a[live], b[live] = x >> 1, y >> 1
+                live = live[a[live] != b[live]]
+            new = ends[pending]
+            new[live] = b[live]
+            more[pending] = d
+            changed = pending[new != end[pending]] + 1
+            end[pending] = new
+            changed = changed[changed < len(owner)]
+            pending = changed[later[changed]]
+        return more
+
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score of each text; the score is the share of phrases that the second language needs more."""
         symbols = [self.symbols(t) for t in texts]
@@ -147,16 +176,20 @@ class Parser:
 
 def samples(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
     """For each language at most SAMPLE_TEXTS labelled texts, those of the least hashes in as many parts of the ids, and of
-    each its first SAMPLE_LETTERS code points. Only ids are aggregated; the texts are fetched afterwards."""
+    each EXCERPTS excerpts spread evenly over it (a short text whole). Only ids are aggregated; the excerpts are fetched afterwards."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     part = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_TEXTS)).alias("part")
     ids = rows.groupBy("lang", part).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")).alias("x")).select("lang", "part", "x.doc_id")
     wanted = [r.doc_id for r in ids.select("doc_id").distinct().collect() if r.doc_id is not None]
     out: dict[str, list[str]] = {}
     if wanted:
-        found = rows.filter(F.col("doc_id").isin(wanted)).select("lang", "doc_id", F.substring("text", 1, SAMPLE_LETTERS).alias("text")).distinct()
-        for r in sorted(found.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
-            out.setdefault(r.lang, []).append(r.text)
+        size = F.length("text")
+        at = lambda i: (F.lit(1) + F.floor((size - EXCERPT) * i / (EXCERPTS - 1))).cast("int")
+        spread = F.array(*[F.substring(F.col("text"), at(i), F.lit(EXCERPT)) for i in range(EXCERPTS)])
+        excerpts = F.when(size <= EXCERPT * EXCERPTS, F.array("text")).otherwise(spread)
+        found = rows.filter(F.col("doc_id").isin(wanted)).select("lang", "doc_id", excerpts.alias("excerpts")).distinct()
+        for r in sorted(found.collect(), key=lambda r: (r.lang, r.doc_id, r.excerpts)):
+            out.setdefault(r.lang, []).extend(r.excerpts)
     return out
 
 

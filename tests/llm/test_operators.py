@@ -218,6 +218,40 @@ def test_suffix_automaton():
         assert (at >= 0) == (word in inside)
 
 
+def test_cross_parsing_counts():
+    """Numbers of greedy phrases of texts of several pieces, against plain search for the longest match."""
+    rng = random.Random(11)
+    words = ["river", "stone", "strasse", "über", "haus", "the", "and", "und"]
+    sample = {x: [" ".join(rng.choice(words) for _ in range(60)) for _ in range(3)] for x in ("aa", "bb")}
+    sample["cc"] = ["aaaa aaaa aaaaaaaaaaaaaa"]
+    parser = langid.Parser(sample)
+    texts = [" ".join(rng.choice([*words, "zebra", "a"]) for _ in range(n)) for n in (1, 5, 300, 1500)] + ["a" * 3000, "ä", "aaaa " * 500]
+
+    def plain(text, language):
+        inside = langid.suffix_automaton([s for t in sample[language] for s in (*parser.symbols(t.lower()).tolist(), langid.BREAK)])
+        phrases, state, symbols = 0, 0, parser.symbols(text).tolist()
+        for s in symbols:
+            if state and s in inside[state]:
+                state = inside[state][s]
+            else:
+                phrases, state = phrases + 1, inside[0].get(s, 0)
+        return phrases
+
+    found = parser.phrases([parser.symbols(t) for t in texts])
+    for t, row in zip(texts, found.tolist(), strict=True):
+        assert row == [plain(t, x) for x in parser.languages]
+
+
+def test_language_id_repeats_and_ties(spark):
+    rows = [(1, "the river and the stone", "aa"), (1, "the river and the stone", "aa"), (3, "the river and the stone", "bb"), (None, "the river", "aa"), (4, "x" * 5000, None), (5, None, "aa")]
+    table = spark.createDataFrame([(i, t, x, 1.0, "s") for i, t, x in rows], "doc_id long, text string, lang string, score double, lang_pred string")
+    found = langid.identify_languages(table, F.lit(True)).collect()
+    assert len(found) == len(rows) and sum(r.doc_id == 1 for r in found) == 2
+    assert all(r.lang_pred == "aa" and r.score == 0 for r in found if r.doc_id in (1, 3))  # both languages know the text alike
+    untaught = langid.identify_languages(table, F.lit(False)).collect()
+    assert len(untaught) == len(rows) and all(r.lang_pred == "und" and r.score == 0 for r in untaught)
+
+
 def test_language_id(spark, none):
     said = {"aa": "the stone and the river went there with their mother ", "bb": "der stein und das wasser gehen nicht über die straße "}
     rng, rows = random.Random(3), []
