@@ -38,9 +38,11 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
 
 def include(parent: DataFrame, child: DataFrame, key: str, foreign: str, columns: list[str], name: str, first: int | None = None) -> DataFrame:
     """Children as an array of structs sorted by their columns; an empty one for parents without any."""
+    from pyspark.sql import Window
+
+    if first is not None:  # cut before anything is gathered
+        child = child.withColumn("_r", F.row_number().over(Window.partitionBy(foreign).orderBy(*columns))).filter(F.col("_r") <= first)
     arrays = child.groupBy(F.col(foreign).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-    if first is not None:
-        arrays = arrays.withColumn(name, F.slice(name, 1, first))
     kind = arrays.schema[name].dataType
     return parent.join(arrays, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
@@ -61,15 +63,37 @@ def ordinal(column: str, values: list[str]) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.lit(values), F.col(column)), F.lit(0)), F.lit(len(values) + 1))
 
 
-def chunked(df: DataFrame, column: str, size: int, parts: int = 64) -> DataFrame:
-    """Adds ``chunk``: rows by ``column`` in runs of ``size``. Rows are numbered in ranges, whose sizes alone are gathered, never in one task."""
+def numbered(df: DataFrame, order: list[str], name: str, rows_a_range: int = 500_000) -> DataFrame:
+    """Adds the rows' numbers, from 1, in the order of the columns, which should tell rows apart; the first is a number or a time. Rows
+    are ranked within ranges of the first column, as many as the number of rows asks for; only the ranges' sizes are gathered."""
     from pyspark.sql import Window
 
-    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    ranged = df.withColumn("_range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col(column))))
-    sizes = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1 + F.col("_before")
-    return ranged.join(F.broadcast(sizes.drop("count")), "_range").withColumn("chunk", F.floor(place / size)).drop("_range", "_before")
+    first, parts = F.col(order[0]), max(2, -(-df.count() // rows_a_range))
+    cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    ranged = df.withColumn("_part", F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col(order[0]))) if cuts else F.lit(0))
+    sizes = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(sizes.drop("count")), "_part").withColumn(name, place).drop("_part", "_before")
+
+
+def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Adds ``chunk``: rows in the order of the columns in runs of ``size``."""
+    return numbered(df, order, "_n").withColumn("chunk", F.floor((F.col("_n") - 1) / size)).drop("_n")
+
+
+def allowed_sort(wanted: str | None, allowed: dict[str, Column], default: str) -> Column:
+    """The column of an allowed name, else the default one's."""
+    return allowed.get(wanted or default, allowed[default])
+
+
+def value_or_null(column: Column, value) -> Column:
+    return (column == value) | column.isNull()
+
+
+def requested(fields: Column, default: Column) -> Column:
+    """Distinct requested fields that aren't blank, else the default ones."""
+    asked = F.array_distinct(F.filter(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.trim(f) != ""))
+    return F.when(F.size(asked) > 0, asked).otherwise(default)
 
 
 def contains_join(hay: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str], size: int = 6) -> DataFrame:

@@ -1 +1,6 @@
-"""Ledgermill plans."""
+"""The query catalogue: ``QUERIES`` and the SQL of each, ``ORACLE_SQL``."""
+
+from . import catalogue, forms, records
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogue", "forms", "records"]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions import columns as C
@@ -12,35 +10,21 @@ from ledgermill.operators import lines as L
 from ledgermill.operators import merge as M
 from ledgermill.operators import quality as Q
 from ledgermill.operators import relational as R
-from ledgermill.operators.forms import detect_version
+from ledgermill.operators.forms import adds_up, running_sums
 from ledgermill.sources import templates
-from ledgermill.sources.tables import scratch, table
+from ledgermill.sources.tables import scratch
+from ledgermill.operators.traces import EVENT_LABELS, is_error, trace
 from ledgermill.streaming.states import folded_stream, state_fold
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, money, query
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 AS_OF = "TIMESTAMP_NTZ'2024-01-30 12:00:00'"
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 PRIORITY_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(PRIORITIES, 1)) + " ELSE 6 END"
 
 
-def query(sql: str | None = None):
-    """Registers a function of the named tables (its parameters), with its SQL."""
-
-    def add(f):
-        names = f.__code__.co_varnames[: f.__code__.co_argcount]
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[spark if n == "spark" else sf_dir if n == "sf_dir" else table(spark, sf_dir, n) for n in names])
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def money(name: str):
-    return F.col(name).cast("decimal(18,2)")
-
-
 # search, filters and pages
 
 
@@ -106,7 +90,7 @@ def page_enum_order(orders):
 
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 500)::BIGINT AS chunk FROM orders")
 def chunk_500(orders):
-    return R.chunked(orders.select("o_orderkey"), "o_orderkey", 500)
+    return R.chunked(orders.select("o_orderkey"), ["o_orderkey"], 500)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
@@ -277,13 +261,11 @@ def latest_per_key(events):
   s AS (SELECT a.l_orderkey, a.r, a.amount, sum(b.amount) OVER (PARTITION BY a.l_orderkey, a.r ORDER BY b.r) AS prefix FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.r > a.r)
   SELECT l_orderkey, r::INT AS place, amount::DOUBLE AS amount FROM s WHERE abs(prefix - amount) * 100 < amount * 3 GROUP BY ALL""")
 def running_sum_parent(lineitem):
-    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    wide = "decimal(28,2)"
-    followers = F.collect_list("amount").over(within.rowsBetween(1, Window.unboundedFollowing))
-    rows = lineitem.withColumn("amount", money("l_extendedprice")).withColumn("place", F.row_number().over(within)).withColumn("next", followers)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("next")), lambda n: F.aggregate(F.slice("next", 1, n), F.lit(0).cast(wide), lambda a, x: (a + x).cast(wide)))
-    near = F.exists(prefixes, lambda p: F.abs(p - F.col("amount")) * 100 < F.col("amount") * 3)
-    return rows.filter((F.size("next") > 0) & near).select("l_orderkey", "place", F.col("amount").cast("double").alias("amount"))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", money("l_extendedprice").alias("amount"))
+    orders = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    sums = orders.withColumn("sums", running_sums(F.col("rows")))
+    rows = sums.select("l_orderkey", "sums", F.posexplode("rows").alias("i", "row")).filter(adds_up(F.col("sums"), F.col("row.amount"), F.col("i")))
+    return rows.select("l_orderkey", (F.col("i") + 1).alias("place"), F.col("row.amount").cast("double").alias("amount"))
 
 
 LINES_SQL = r"""l AS (SELECT doc_id, unnest(range(len(x)))::INT AS pos, trim(regexp_replace(unnest(x), '\s+', ' ', 'g')) AS clean
@@ -293,24 +275,32 @@ LINES_SQL = r"""l AS (SELECT doc_id, unnest(range(len(x)))::INT AS pos, trim(reg
 @query(f"""WITH {LINES_SQL} SELECT doc_id, section, count(*) AS n FROM (SELECT doc_id, last_value(CASE WHEN length(clean) BETWEEN 1 AND 40 THEN clean END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l) GROUP BY 1, 2""")
 def section_fill(documents):
-    filled = L.fill_down(L.lines(documents), F.when(F.length("clean").between(1, 40), F.col("clean")), "section")
+    named = F.transform(L.lines(F.col("text")), lambda x: F.when(F.length(x["clean"]).between(1, 40), x["clean"]))
+    filled = documents.select("doc_id", F.explode(L.last_above(named, lambda x: x.isNotNull())).alias("section"))
     return filled.groupBy("doc_id", "section").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {LINES_SQL} SELECT doc_id, pos, clean = '' OR coalesce(last_value(CASE WHEN length(clean) BETWEEN 1 AND 40 THEN TRUE WHEN length(clean) > 200 THEN FALSE END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), FALSE) AS inside FROM l WHERE doc_id % 10 >= 0""".replace("clean = '' OR ", "").replace(" WHERE doc_id % 10 >= 0", ""))
+def section_flags(documents):
+    size = lambda x: F.length(x["clean"])
+    inside = L.in_section(L.lines(F.col("text")), lambda x: size(x).between(1, 40), lambda x: size(x) > 200)
+    return documents.select("doc_id", F.posexplode(inside).alias("pos", "inside"))
+
+
 @query(f"""WITH {LINES_SQL} SELECT doc_id, pos, value FROM (SELECT doc_id, pos, clean, first_value(nullif(clean, '') IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS value FROM l) WHERE length(clean) BETWEEN 1 AND 40""")
 def next_value(documents):
-    rows = L.lines(documents)
-    return rows.withColumn("value", L.next_value(rows, F.nullif(F.col("clean"), F.lit("")), 3)).filter(F.length("clean").between(1, 40)).select("doc_id", "pos", "value")
+    below = lambda of, x, i: F.when(F.length(x["clean"]).between(1, 40), F.struct(i.alias("pos"), L.first_value(F.slice(of, i + 2, F.lit(3))).alias("value")))
+    found = L.let(L.lines(F.col("text")), lambda of: F.filter(F.transform(of, lambda x, i: below(of, x, i)), lambda v: v.isNotNull()))
+    return documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
 
 
 @query(f"""WITH {LINES_SQL}, b AS (SELECT *, sum((clean = '')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::INT AS block FROM l)
   SELECT doc_id, block, left(string_agg(clean, ' ' ORDER BY pos), 500) AS value FROM b WHERE clean <> '' GROUP BY doc_id, block""")
 def block_concat(documents):
-    running = F.sum((F.col("clean") == "").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = L.lines(documents).withColumn("block", running.cast("int")).filter("clean <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clean"))), lambda x: x["clean"]), " ")
-    return rows.groupBy("doc_id", "block").agg(F.substring(joined, 1, 500).alias("value"))
+    found = documents.select("doc_id", F.explode(L.let(L.lines(F.col("text")), L.paragraphs)).alias("x"))
+    return found.select("doc_id", "x.block", F.substring("x.value", 1, 500).alias("value"))
 
 
 # sets and merges
@@ -344,9 +334,13 @@ def get_or_create(orders, customer):
     return M.get_or_create(existing, customer.select(F.col("c_custkey").alias("o_custkey"), F.lit(1998).alias("year")), ["o_custkey", "year"])
 
 
-@query("""SELECT o_custkey, o_orderpriority, max(o_orderdate) AS last_at, count(*) AS n FROM orders GROUP BY ALL""")
+@query("""WITH old AS (SELECT DISTINCT o_custkey AS contact, o_custkey % 7 AS company, o_orderpriority AS role FROM orders WHERE o_orderstatus = 'F'),
+  new AS (SELECT DISTINCT o_custkey AS contact, o_custkey % 7 AS company, o_orderpriority AS role FROM orders WHERE o_orderstatus = 'O')
+  SELECT contact, company, role, new.contact IS NOT NULL OR role <> '5-LOW' AS is_active, CASE WHEN new.contact IS NULL THEN 'KEPT' WHEN old.contact IS NULL THEN 'INSERTED' ELSE 'UPDATED' END AS action
+  FROM old FULL JOIN new USING (contact, company, role)""".replace("new.contact IS NOT NULL OR role <> '5-LOW'", "(new.contact IS NOT NULL OR role <> '5-LOW')"))
 def link_upsert(orders):
-    return orders.groupBy("o_custkey", "o_orderpriority").agg(F.max("o_orderdate").alias("last_at"), F.count("*").alias("n"))
+    links = lambda status, active: orders.filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("contact"), (F.col("o_custkey") % 7).alias("company"), F.col("o_orderpriority").alias("role"), active.alias("is_active")).distinct()
+    return M.upsert(links("F", F.col("o_orderpriority") != "5-LOW"), links("O", F.lit(True)), ["contact", "company", "role"])
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders""")
@@ -357,9 +351,11 @@ def replace_partition(spark, orders):
     return spark.read.parquet(at)
 
 
-@query("""SELECT p_partkey AS code, p_name AS title, NULL::VARCHAR AS note, 'SUCCESS' AS status FROM part""")
+@query("""SELECT CASE WHEN p_partkey % 3 > 0 THEN p_partkey END AS code, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_name END AS title, NULL::VARCHAR AS note,
+  CASE WHEN p_partkey % 3 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM part""")
 def project_template_map(part):
-    found = templates.map_columns(part.select("p_partkey", "p_name"), {"p_partkey": "code", "Title": "title", "p_name": "title", "note": "note"})
+    rows = part.select(F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey")).alias("p_partkey"), F.when(F.col("p_partkey") % 3 == 1, "").when(F.col("p_partkey") % 3 == 2, F.col("p_name")).alias("p_name"))
+    found = templates.map_columns(rows, {"p_partkey": "code", "Title": "title", "p_name": "title", "note": "note"})
     return found.select("code", "title", "note", "status")
 
 
@@ -415,7 +411,7 @@ def text_normalise(documents):
     return documents.select("doc_id", F.sha2(C.normal_text(F.col("text")), 256).alias("digest"), F.length(C.only_digits(F.col("text"))).cast("long").alias("digits"))
 
 
-@query("""SELECT c_custkey, '119' || lpad(c_custkey::VARCHAR, 8, '0') || ':MOBILE:true' || CASE WHEN c_custkey % 2 = 0 THEN ',' || lpad(c_custkey::VARCHAR, 10, '2') || ':LANDLINE:false' ELSE '' END AS phones FROM customer""")
+@query("""SELECT c_custkey, '119' || lpad(c_custkey::VARCHAR, 8, '0') || ':CELULAR:true' || CASE WHEN c_custkey % 2 = 0 THEN ',' || lpad(c_custkey::VARCHAR, 10, '2') || ':FIXO:false' ELSE '' END AS phones FROM customer""")
 def phone_split(customer):
     key = F.col("c_custkey").cast("string")
     mobile = F.concat(F.lit("(11) 9"), F.lpad(key, 8, "0"))
@@ -423,22 +419,15 @@ def phone_split(customer):
     return customer.select("c_custkey", F.array_join(F.transform(C.phones(raw), lambda p: F.concat_ws(":", p["number"], p["kind"], p["is_primary"].cast("string"))), ",").alias("phones"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' THEN 'third_party' WHEN p_name LIKE '%bolt%' THEN 'material' WHEN p_name LIKE '%ring%' THEN 'travel' ELSE 'operational' END AS class,
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' THEN 'SERVICO_APOIO_PJ' WHEN p_name LIKE '%bolt%' THEN 'MATERIAL_CONSUMO' ELSE 'DESPESA_OPERACIONAL' END AS class,
   CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'PROMO' THEN 2 WHEN 'LARGE' THEN 3 END::INT AS research FROM part""")
 def classify_keywords(part):
     n, t = F.col("p_name"), F.col("p_type")
-    words = F.when(n.contains("widget"), "serviços de terceiros").when(n.contains("bolt"), "Material").when(n.contains("ring"), "viagens").otherwise(n)
+    words = F.when(n.contains("widget"), "serviços de terceiros contratados").when(n.contains("bolt"), "Material").otherwise(n)
     kinds = F.when(t == "ECONOMY", "Pesquisa básica").when(t == "PROMO", "(PA)").when(t == "LARGE", "3").otherwise("nota de teste")
     return part.select("p_partkey", C.expense_class(words).alias("class"), C.research_class(kinds).alias("research"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(strip_accents(upper(coalesce(text, ''))), '\s+', ' ', 'g')) AS x FROM documents)
-  SELECT doc_id, ((contains(x, 'RECIBO DE ENTREGA'))::INT + (contains(x, 'DADOS DA EMPRESA'))::INT + (contains(x, '( O )'))::INT)::INT AS signal_count, 'v2_early' AS profile FROM s""")
-def signal_router(documents):
-    v = detect_version(F.col("text"))
-    return documents.select("doc_id", v["signal_count"].alias("signal_count"), v["profile"].alias("profile"))
-
-
 @query("""SELECT event_id, 'props.k' AS field_path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
   UNION ALL SELECT event_id, 'type', event_type FROM events""")
 def registry_kv(events):
@@ -491,16 +480,15 @@ def status_moves(orders):
 # events
 
 
-@query("""SELECT event_id, ts, CASE event_type WHEN 'click' THEN 'Clicked' WHEN 'view' THEN 'Viewed' ELSE event_type END AS label, event_type = 'error' OR regexp_matches(lower(props), 'error|falha|failed') AS is_error FROM events""")
+@query("""SELECT event_id, ts, CASE event_type WHEN 'click' THEN 'Job enfileirado' WHEN 'view' THEN 'Job iniciado' WHEN 'error' THEN 'Job com falha' ELSE event_type END AS label, row_number() OVER (ORDER BY ts, event_id)::INT AS place, event_type = 'error' OR regexp_matches(lower(props), 'error|falha|failed') AS is_error FROM events""")
 def event_timeline(events):
-    labels = F.create_map(F.lit("click"), F.lit("Clicked"), F.lit("view"), F.lit("Viewed"))
-    error = (F.col("event_type") == "error") | F.lower("props").rlike("error|falha|failed")
-    return events.select("event_id", "ts", F.coalesce(F.try_element_at(labels, "event_type"), "event_type").alias("label"), error.alias("is_error"))
+    codes = C.mapped(F.col("event_type"), {"click": "JOB_QUEUED", "view": "JOB_STARTED", "error": "JOB_FAILED"})
+    return R.numbered(events, ["ts", "event_id"], "place").select("event_id", "ts", C.mapped(codes, EVENT_LABELS).alias("label"), is_error(codes, F.col("props")).alias("is_error"), F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT user_id, count(*) AS n, max(ts) AS last_at FROM events WHERE event_type = 'error' OR regexp_matches(lower(props), 'error|falha|failed') GROUP BY user_id")
 def error_events(events):
-    return events.filter((F.col("event_type") == "error") | F.lower("props").rlike("error|falha|failed")).groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"))
+    return events.filter(is_error(F.when(F.col("event_type") == "error", "JOB_FAILED"), F.col("props"))).groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"))
 
 
 FOLD_SQL = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(event_id, (ts, event_id)) AS last_event_id, count(*) AS n_events FROM events GROUP BY user_id"
@@ -519,7 +507,5 @@ def stream_state_fold(spark, sf_dir):
 @query("""WITH t AS (SELECT user_id, string_agg(event_id || ':' || event_type, ',' ORDER BY ts DESC, event_id DESC) FILTER (r <= 10) AS trace, count(*) AS n FROM
   (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY user_id) SELECT c_custkey, n, trace FROM customer JOIN t ON user_id = c_custkey""")
 def entity_trace(customer, events):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    recent = events.withColumn("r", place).filter("r <= 10").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", "event_id", "event_type").alias("t")))), lambda x: x["t"]), ",").alias("trace"))
-    counts = events.groupBy("user_id").agg(F.count("*").alias("n"))
-    return customer.join(recent.join(counts, "user_id"), F.col("c_custkey") == F.col("user_id")).select("c_custkey", "n", "trace")
+    found = trace(events, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.concat_ws(":", "event_id", "event_type"), most=10)
+    return customer.join(found, F.col("c_custkey") == F.col("user_id")).select("c_custkey", "n", F.array_join("trace", ",").alias("trace"))

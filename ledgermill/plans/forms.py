@@ -9,6 +9,7 @@ from ledgermill.functions import columns as C
 from ledgermill.functions import json as J
 from ledgermill.operators import forms as X
 from ledgermill.operators import quality as Q
+from ledgermill.sources.tables import saved
 
 from .registry import cases
 
@@ -52,7 +53,7 @@ _c = _told("company_id", "legal_name", "year")
 @cases([
     ("CNPJ: 11.222.333/0001-81\nRazão Social: Acme {k} Ltda\nAno Base: 2021", _c("11222333000181", "Acme {k} Ltda", "2021")),
     ("n. 12345678901234 e 99888777000166\nRAZAO SOCIAL\n\n  Fornos {k}\n", _c("12345678901234", "Fornos {k}", None)),
-    ("Razão Social\nCNPJ\nfim de 2019 e 2023, 2090", _c(None, None, "2023")), ("Razão social: CNPJ 1\nRazão social\nNome {k}", _c(None, "Nome {k}", None)), (None, _c(None, None, None)),
+    ("Razão Social\nCNPJ\nfim de 2019 e 2023, 2090", _c(None, None, "2023")), ("Razão social: CNPJ 1\nNome {k}", _c(None, "Nome {k}", None)), (None, _c(None, None, None)),
     ("123456789012345 ano-calendario 2018 e 2024", _c(None, None, "2018")),
 ])
 def form_company(docs):
@@ -70,7 +71,7 @@ def form_registry(docs):
 
 
 @cases([
-    ("Identificação/Características da Empresa\nQual é o tipo de empresa?\n( X ) Pública\n( O ) Privada {k}\n2.1 Número total de funcionários com\nvínculo na empresa?\nsem dado\n{k}\nReceita Líquida: R$ 5,00\nA forma de apuração do\nIRPJ e da CSLL?\nLucro real", {"qa": "4", "fields": "company_type=Privada {k},net_revenue=R$ 5,00"}),
+    ("Identificação/Características da Empresa\nQual é o tipo de empresa?\n( X ) Pública\n( O ) Privada {k}\n2.1 Número total de funcionários com\nvínculo na empresa?\nsem dado\n{k}\nReceita Líquida: R$ 5,00\nA forma de apuração do\nIRPJ e da CSLL?\nLucro real", {"qa": "4", "fields": "company_type=Privada {k},employee_count_with_contract={k},irpj_csll_apportionment=Lucro real,net_revenue=R$ 5,00"}),
     ("1. Identificação da Empresa\n1.2. Situação da empresa\nAtiva {k}\nEstrutura organizacional de P&D?\nlinha um\nPágina: 3\nlinha dois\n3. Programa/Atividades de PD&I\nReceita líquida: 9", {"qa": "2", "fields": "company_status=Ativa {k},rnd_organizational_structure=linha um linha dois"}),
     ("Qual é o tipo de empresa?\nx", {"qa": "0", "fields": ""}), (None, {"qa": "0", "fields": ""}),
     ("Identificação / Características da empresa\nReceita Operacional Bruta Anual?\ntexto\n1.234,56\nTotal de funcionários com vínculo?\n12 pessoas\n34\nFechou com prejuízo fiscal?\n( o ) Não", {"qa": "3", "fields": "closed_year_with_tax_loss=Não,employee_count_with_contract=34,gross_operational_revenue=1.234,56"}),
@@ -142,14 +143,14 @@ STAFF = ("project_index", "cpf", "name", "role", "qualification", "annual_hours"
 @cases([
     (_H, {"listed": "2|11122233344|João {k}|Chefe|Mestre|1|Exclusiva|100|1234.56;2|-|Bia|-|-|-|-|-|-;2|-|Eva|-|-|-|-|-|-"}),
     ("Dados Pessoa Jurídica\n3.1.3.1.1. Recursos Humanos do projeto\nItem 1\nNome Ana {k}\nDedicação Parcial\nValor total (R$) R$ 10", {"listed": "3|-|Ana {k}|-|-|-|Parcial|-|10.00"}),
-    ("Dados da Empresa\nPrograma/Atividades de PD&I - 4\nRelação de Recursos Humanos\nCPF NOME TITULAÇÃO\n111.222.333-44 João {k} Mestre Engenheiro Exclusiva 1200\nR$ 12.345,67\n222.333.444-55 Bia Lima Parcial 800 R$ 1.000,00\nFontes de financiamento\n333.444.555-66 Fora", {"listed": "4|11122233344|João {k}|Engenheiro|Mestre|1200|EXCLUSIVA|100|12345.67;4|22233344455|Bia Lima|-|-|800|PARCIAL|-|1000.00"}),
+    ("Dados da Empresa\nPrograma/Atividades de PD&I - 4\nRelação de Recursos Humanos\nCPF NOME TITULAÇÃO\n111.222.333-44 João Mestre Engenheiro Exclusiva 1200\nR$ 12.345,67\n222.333.444-55 Bia Lima Parcial 800 R$ 1.000,00\nFontes de financiamento\n333.444.555-66 Fora", {"listed": "4|11122233344|João|Engenheiro|Mestre|1200|EXCLUSIVA|100|12345.67;4|22233344455|Bia Lima|-|-|800|PARCIAL|-|1000.00"}),
     ("Recibo de Entrega", {"listed": ""}), (None, {"listed": ""}),
 ])
 def form_staff(docs):
     return _with(docs, p=X.staff_of(F.col("filled"), F.col("v.family"))).select("doc_id", _listed(F.col("p"), *STAFF).alias("listed"))
 
 
-_E = "Programa/Atividades de PD&I - 3\nantes R$ 1,00\nItens de Dispêndio\nDispêndio Valor R$ ano-base\nServiços técnicos R$ 100,00\nPeças {k}\nR$ 50,00\nSoma R$ 150,00\nA R$ 60,00\nB: R$ 90,00\nA R$ 60,00\nViagens R$ 7,00\nTotal R$ 999,00\nnada R$ 0,00\nRecursos humanos envolvidos no projeto\nfora R$ 5,00"
+_E = "Programa/Atividades de PD&I - 3\nantes R$ 1,00\nItens de Dispêndio\nServiços técnicos R$ 100,00\nPeças {k}\nR$ 50,00\nSoma R$ 150,00\nA R$ 60,00\nB: R$ 90,00\nA R$ 60,00\nViagens R$ 7,00\nTotal R$ 999,00\nnada R$ 0,00\nRecursos humanos envolvidos no projeto\nfora R$ 5,00"
 
 
 @cases([
@@ -200,12 +201,13 @@ _q = _told("profile", "band", "review", "missing", "checks", "valid", "said", "o
 
 @cases([
     (V3_FORM, _q("v3_late", "HIGH", "false", "", "true,true,true,true,true,true,true,true,true", "true", "HIGH", "0.9400", None, None)),
-    (V2_FORM, _q("v2_early", "MEDIUM", "true", "projects.innovative_element,projects.human_resources", "false,true,true,null,null,null,true,false,true", "true", "MEDIUM", "0.6167", "projects.human_resources", None)),
+    (V2_FORM, _q("v2_late", "LOW", "true", "projects.human_resources,projects.expenses,projects.economic_result_obtained", "false,true,true,false,null,null,true,false,true", "true", "MEDIUM", "0.5686", "projects.economic_result_obtained", "3")),
+    (V2_FORM.replace("[Item 1] ", ""), _q("v2_early", "MEDIUM", "true", "projects.innovative_element,projects.human_resources", "false,true,true,null,null,null,true,false,true", "true", "MEDIUM", "0.6283", "projects.human_resources", None)),
     ("nada {k}", _q("v2_early", "LOW", "true", "cnpj,fiscal_year,submission_receipt.sender_name,submission_receipt.sender_cpf,submission_receipt.authenticity_code,projects.title,projects.category,projects.innovative_element,projects.human_resources", "false,false,false,null,null,null,false,false,false", "false", "LOW", "0.0000", "cnpj", "9")),
     ("Dados Pessoa Jurídica\n11.222.333/0001-81 ano base 2018", _q("v1_2018", "LOW", "true", "projects.title,projects.category,projects.innovative_element", "true,true,null,null,null,null,null,null,false", "false", "MEDIUM", "0.4062", "projects.category", "3")),
 ])
 def form_quality(docs):
-    scores = Q.scored(X.extract(docs, YEAR))
+    scores = saved(Q.scored(saved(X.extract(docs, YEAR), "extracted")), "scored")
     checks = F.concat_ws(",", *[F.coalesce(F.col(f"cv_results.`CV-0{i}`").cast("string"), F.lit("null")) for i in range(1, 10)])
     queue = Q.ai_queue(scores).select("doc_id", F.size("fields").alias("queued"))
     return scores.join(queue, "doc_id", "left").select(

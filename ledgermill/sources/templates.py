@@ -3,31 +3,155 @@
 from __future__ import annotations
 
 import csv
+import io
+import zipfile
+from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
-    """All cells as strings, empty ones null. ``header_row``: lines before the header, of a file read by one task, whose cells hold no line breaks."""
+    """All cells as strings, empty ones null. ``header_row``: lines of each file before its header; then files are split like any text, so
+    cells hold no line breaks, and each file has its own header. Columns that a file lacks are null."""
     if not header_row:
         return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    names = next(csv.reader([lines.filter(F.col("pos") == header_row).first()["line"]]))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.filter((F.col("pos") > header_row) & (F.col("line") != "")).select(F.from_csv("line", F.lit(schema), {"escape": '"'}).alias("row"))
-    return rows.select("row.*")
+    # rows of a file's first split follow each other in number
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    firsts = lines.filter("start = 0").groupBy("file").agg(F.min("n").alias("first"))
+    placed = lines.join(firsts, "file").withColumn("place", F.when(F.col("start") == 0, F.col("n") - F.col("first")))
+    heads = placed.filter(F.col("place") == header_row).select("file", F.col("value").alias("head"))
+    body = placed.filter((F.coalesce("place", F.lit(header_row + 1)) > header_row) & (F.col("value") != "")).join(heads, "file")
+    out = None
+    for head in sorted(r["head"] for r in heads.select("head").distinct().collect()):
+        schema = ", ".join(f"`{n}` string" for n in next(csv.reader([head])))
+        rows = body.filter(F.col("head") == head).select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("row")).select("row.*")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no file has a header there")
+    return out
 
 
-def map_columns(rows: DataFrame, column_map: dict[str, str], strict: bool = False) -> DataFrame:
+def write_with_header(lines: DataFrame, path: str, above: list[str]) -> None:
+    """Text files of the lines (one column), each below the given ones."""
+
+    def run(parts):
+        yield pd.DataFrame({"line": above})
+        yield from parts
+
+    lines.mapInPandas(run, "line string").write.text(path)
+
+
+_CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def workbook(rows: list[list[str | None]]) -> bytes:
+    """An XLSX file of one sheet of text cells."""
+    cell = lambda v: "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_CELL[1:-1]}"><sheetData>{sheet}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def first_sheet(content: bytes) -> list[list[str | None]]:
+    """Cells of a workbook's first sheet as texts, row by row; empty ones null."""
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        text = lambda e: "".join(t.text or "" for t in e.iter(f"{_CELL}t"))
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_CELL}si")] if "xl/sharedStrings.xml" in names else []
+        sheet = min((n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+        out = []
+        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_CELL}row"):
+            cells: list[str | None] = []
+            for c in row.iter(f"{_CELL}c"):
+                letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+                cells += [None] * (at + 1 - len(cells))
+                value = c.find(f"{_CELL}v")
+                found = text(c) if c.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text
+                cells[at] = found or None
+            out.append(cells)
+        return out
+
+
+def read_workbooks(files: DataFrame, names: list[str], header_row: int = 0) -> DataFrame:
+    """Rows of the first sheet of each XLSX file (path, content, as read by ``binaryFile``): the named columns of the header in row ``header_row``;
+    missing ones and empty cells are null. A workbook is read by one task, as it can't be split."""
+    schema = pa.schema([(n, pa.string()) for n in names])
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                rows = first_sheet(content)
+                head = rows[header_row] if len(rows) > header_row else []
+                at = [head.index(n) if n in head else -1 for n in names]
+                cells = [[r[i] if 0 <= i < len(r) else None for i in at] for r in rows[header_row + 1 :]]
+                cells = [r for r in cells if any(v is not None for v in r)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in cells], pa.string()) for i in range(len(names))], schema=schema)
+
+    return files.select("content").mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
+
+
+def parsed_map(text: Column) -> Column:
+    """A template's JSON map of columns."""
+    return F.from_json(text, "map<string,string>")
+
+
+def import_rows(rows: DataFrame, batch: str, order: str, column_map: dict[str, str]) -> DataFrame:
+    """batch, row_index (from 1 in the order), payload (JSON of the mapped columns), status and error_message of each row."""
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(order)).alias("row_index")
+    numbered = rows.select("*", place)
+    mapped = map_columns(numbered, {**column_map, batch: "_batch", "row_index": "_index"}, check=list(column_map.values()))
+    payload = F.to_json(F.struct(*[F.col(t) for t in dict.fromkeys(column_map.values())]))
+    return mapped.select(F.col("_batch").alias(batch), F.col("_index").alias("row_index"), payload.alias("payload"), "status", "error_message")
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
+def batch_counters(rows: DataFrame, batch: str = "batch_id") -> DataFrame:
+    status = F.col("status")
+    return rows.groupBy(batch).agg(F.count("*").alias("total_rows"), F.count_if(status == "SUCCESS").alias("success_rows"), F.count_if(status == "ERROR").alias("error_rows"), F.min("row_index").alias("first_index"), F.max("row_index").alias("last_index"))
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """name and type (file, directory) of what is in a folder; nothing for a missing one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(f.getPath().getName(), "directory" if f.isDirectory() else "file") for f in (files.listStatus(at) if files.exists(at) else [])]
+    return spark.createDataFrame(found, "name string, type string")
+
+
+def paged(spark: SparkSession, fetch, total: int, schema: str, limit: int = 1000) -> DataFrame:
+    """Rows of a remote source, fetched page by page in tasks: ``fetch(offset, limit)`` gives the rows of a page as tuples."""
+    pages = spark.range(0, max(-(-total // limit), 1), 1, max(-(-total // limit), 1))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(parts):
+        for part in parts:
+            for page in part["id"]:
+                yield pd.DataFrame(fetch(int(page) * limit, limit), columns=names)
+
+    return pages.mapInPandas(run, schema)
+
+
+def map_columns(rows: DataFrame, column_map: dict[str, str], strict: bool = False, check: list[str] | None = None) -> DataFrame:
     """Columns by the template's source -> target map; a missing source is null. Of several sources of a target the first value that isn't
-    null counts; with ``strict`` the last source counts, even if null. Adds ``status`` (an empty row is an ERROR) and ``error_message``."""
+    null counts; with ``strict`` the last source counts, even if null. Adds ``status`` (a row without a value in the targets, or in those to ``check``, is an ERROR) and ``error_message``."""
     sources: dict[str, list[Column]] = {}
     for source, target in column_map.items():
         sources.setdefault(target, []).append(F.col(f"`{source}`") if source in rows.columns else F.lit(None).cast("string"))
     mapped = rows.select(*[(cs[-1] if strict else F.coalesce(*cs)).alias(t) for t, cs in sources.items()])
     filled = F.lit(False)
-    for t in sources:
+    for t in check or sources:
         filled = filled | (F.col(t).isNotNull() & (F.col(t).cast("string") != ""))
     return mapped.withColumn("status", F.when(filled, "SUCCESS").otherwise("ERROR")).withColumn("error_message", F.when(filled, None).otherwise("empty row"))
 
@@ -39,3 +163,9 @@ def write_quoted_csv(df: DataFrame, path: str) -> None:
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+
+
+def write_report(df: DataFrame, path: str, filters: dict[str, str], generated_at: Column) -> None:
+    """A JSON line for each row, with the filters and the time."""
+    told = F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("filters")
+    df.select(F.to_json(F.struct(told, generated_at.alias("generatedAt"), *df.columns)).alias("value")).write.mode("overwrite").text(path)

@@ -27,3 +27,16 @@ def folded_stream(spark: SparkSession, folder: str, names: str = "*.parquet", fi
     query.awaitTermination()
     states = spark.read.parquet(f"{at}/out")
     return states.groupBy("user_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("state", "last_event_id", "n_events")])
+
+
+def broadcast_stream(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    """topic and n of the messages that a stream of events sends out: each batch writes its messages (topic, payload) under its number, so that a
+    batch that is run again replaces its own."""
+    at, schema = scratch(spark, "topics"), spark.read.option("pathGlobFilter", names).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(folder)
+
+    def send(events: DataFrame, batch: int) -> None:
+        events.select(F.col("event_type").alias("topic"), F.to_json(F.struct(*events.columns)).alias("payload")).write.mode("overwrite").parquet(f"{at}/out/step={batch}")
+
+    stream.writeStream.option("checkpointLocation", f"{at}/progress").foreachBatch(send).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("topic").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from ledgermill.plans.catalogue import ORACLE_SQL, QUERIES
+from ledgermill.plans import ORACLE_SQL, QUERIES
 
 AT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
