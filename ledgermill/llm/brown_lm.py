@@ -10,14 +10,15 @@ others join the classes that their contexts fit best, then all are exchanged. Th
 where the last factor is 1 for a word that is a unit and (count + 1) / (tokens + words + 1) of its shape for another. All counts
 cover the whole training corpus. Words are told apart by 64-bit hashes.
 
-Tasks gather the tokens after and before each unit in runs of text; these lists are shuffled by unit and written, one row a unit (the most
-frequent units have several, so that no task gets all of one). A round of the exchange is a pass over that table without a shuffle: labels
+Tasks gather the tokens after and before each unit in runs of text, for buckets of units; these lists are shuffled by bucket and written, one row
+a bucket (the most frequent units are dealt over several, so that no task gets all of one). A round of the exchange is a pass over that table without a shuffle: labels
 are broadcast, each task counts its units' neighbours by class and finds the best moves, and the class bigram counts are summed. Only those, the
-labels, and the neighbours by class of the units with several rows come to the driver.
+labels, and the neighbours by class of the dealt units come to the driver.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +36,11 @@ FLUSH = 300_000
 SHAPES = 16
 #: Counts up to which gains of moves are looked up in tables.
 SMALL = 24
-#: The most frequent units have ``PARTS`` rows of neighbours.
+#: The most frequent units are dealt over ``PARTS`` buckets.
 SPLIT, PARTS = 256, 16
-#: Neighbours of a row that are held before equal ones are added up.
-HELD = 2_000_000
+#: Tokens of a bucket, about, and those that are held before equal ones are added up.
+BUCKET, HELD = 500_000, 4_000_000
+_DIGIT = re.compile(rb"[0-9]").search
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,7 @@ def word_hash(word: bytes) -> int:
 
 
 def shape(word: bytes) -> int:
-    digits = any(48 <= x <= 57 for x in word)
-    return digits + 2 * (not word.isascii()) + 4 * (not (word[-1:].isalnum() or word[-1] >= 128)) + 8 * (len(word) > 8)
+    return bool(_DIGIT(word)) + 2 * (not word.isascii()) + 4 * (not (word[-1:].isalnum() or word[-1] >= 128)) + 8 * (len(word) > 8)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,23 +86,52 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Units(dict):
-    """Word to unit: 0 is the end of a text, then the words of ``hashes`` (sorted, with their units), then the shapes. Keeps a bounded number."""
+    """Word to unit: 0 is the end of a text, then the words of ``hashes`` (sorted, with their units), then the shapes. Knows the words it was
+    last told of, and a bounded number of others."""
 
     def __init__(self, hashes: np.ndarray, units: np.ndarray):
         super().__init__()
         self.hashes, self.units, self.shapes = hashes, units, len(hashes) + 1
 
+    def learn(self, texts: list[list[bytes]]) -> None:
+        if len(self) > 400_000:
+            self.clear()
+        new = list(set().union(*texts).difference(self))
+        if not new:
+            return
+        h = np.array([word_hash(w) for w in new], np.int64)
+        at = np.minimum(self.hashes.searchsorted(h), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        units = self.units[at].tolist() if len(self.hashes) else [0] * len(h)
+        self.update((w, u if k else self.shapes + shape(w)) for w, u, k in zip(new, units, known.tolist(), strict=True))
+
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        at = int(self.hashes.searchsorted(h))
-        unit = int(self.units[at]) if at < len(self.hashes) and self.hashes[at] == h else self.shapes + shape(word)
-        if len(self) < 400_000:
-            self[word] = unit
-        return unit
+        self.learn([[word]])
+        return self[word]
+
+
+def _bucket(unit: np.ndarray, part: int, buckets: int) -> np.ndarray:
+    unit = unit.astype(np.int64)
+    return ((unit + 1) * 0x9E3779B1 + np.where(unit < SPLIT, part % PARTS, 0) * 0x85EBCA77) % 0x7FFFFFFF % buckets
+
+
+def _lists(unit: np.ndarray, v: np.ndarray, n: np.ndarray | None = None) -> list[bytes]:
+    """Units, the numbers of their neighbours, the neighbours, and how often each is one, if not once; sorted by unit."""
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(unit)])
+    return [unit[starts].astype(np.int32).tobytes(), sizes.astype(np.int32).tobytes(), v.astype(np.int32).tobytes(), b"" if n is None else n.astype(np.int64).tobytes()]
+
+
+NEAR = pa.schema([("bucket", pa.int32())] + [(f"{side}_{x}", pa.binary()) for side in ("after", "before") for x in ("units", "sizes", "v", "n")])
+NEAR_SCHEMA = ", ".join(f"{f.name} {'int' if f.name == 'bucket' else 'binary'}" for f in NEAR)
+
 
+def _rows(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NEAR, strict=True)], schema=NEAR)
 
-def _near_lists(words):
-    """unit, part, and what comes after and before it in a run of texts, as bytes of 32-bit units."""
+
+def _near_lists(words, buckets: int):
+    """For each bucket of units what comes after and before them in a run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, row, part = Units(*words.value), [0], 0
@@ -109,18 +139,25 @@ def _near_lists(words):
         def out():
             # every unit of a run is followed and preceded equally often, as it begins and ends with an end
             x = np.array(row, np.int32)
-            by_first, by_second = np.argsort(x[:-1], kind="stable"), np.argsort(x[1:], kind="stable")
-            first = x[:-1][by_first]
-            starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, np.int64)
-            offsets = pa.py_buffer(np.r_[starts * 4, len(first) * 4].astype(np.int32))
-            lists = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(np.ascontiguousarray(v))]) for v in (x[1:][by_first], x[:-1][by_second])]
-            unit = first[starts]
-            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.where(unit < SPLIT, part % PARTS, 0).astype(np.int32)), *lists], ["unit", "part", "after", "before"])
+            u, v = x[:-1], x[1:]
+            b, sides = None, []
+            for unit, other in ((u, v), (v, u)):
+                key = _bucket(unit, part, buckets) << 32 | unit
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                b, sides = key >> 32, [*sides, ((key & 0xFFFFFFFF), other[order])]
+            starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+            ends = np.r_[starts[1:], len(b)]
+            for at in range(0, len(starts), 64):
+                yield _rows([(int(b[i]), *_lists(sides[0][0][i:j], sides[0][1][i:j]), *_lists(sides[1][0][i:j], sides[1][1][i:j])) for i, j in zip(starts[at : at + 64], ends[at : at + 64], strict=True)])
 
         for batch in common.slices(batches):
-            for raw in common.text_bytes(batch.column("text")):
-                part = part or zlib.crc32(raw)
-                row += map(units.__getitem__, tokens(raw))
+            raws = common.text_bytes(batch.column("text"))
+            part = part or zlib.crc32(b"".join(raws[:1]))
+            texts = [tokens(raw) for raw in raws]
+            units.learn(texts)
+            for words_ in texts:
+                row += map(units.__getitem__, words_)
                 row.append(0)
                 if len(row) > 4 * FLUSH:
                     yield from out()
@@ -130,87 +167,68 @@ def _near_lists(words):
     return run
 
 
-NEAR = pa.schema([("unit", pa.int32()), ("after", pa.binary()), ("after_n", pa.binary()), ("before", pa.binary()), ("before_n", pa.binary())])
-NEAR_SCHEMA = "unit int, after binary, after_n binary, before binary, before_n binary"
-
-
-class Neighbours:
-    """Of one row: 32-bit units, and their numbers if not all are 1. Equal ones are added up when there are many."""
-
-    def __init__(self):
-        self.lists, self.held, self.v, self.n = [], 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
+class Side:
+    """Of one side of a bucket: unit and neighbour of every entry, and its number if not all are 1."""
 
-    def add(self, raw: bytes) -> None:
-        self.lists.append(raw)
-        self.held += len(raw) // 4
-        if self.held > HELD:
-            self._add_up()
+    def __init__(self, units: bytes, sizes: bytes, v: bytes, n: bytes):
+        self.units, self.sizes = np.frombuffer(units, np.int32), np.frombuffer(sizes, np.int32)
+        self.v, self.n = np.frombuffer(v, np.int32), np.frombuffer(n, np.int64) if n else None
 
-    def _add_up(self) -> None:
-        new = np.frombuffer(b"".join(self.lists), np.int32)
-        v, at = np.unique(np.concatenate([self.v, new]), return_inverse=True)
-        self.v, self.n = v, np.bincount(at, np.concatenate([self.n, np.ones(len(new), np.int64)])).astype(np.int64)
-        self.lists, self.held = [], 0
+    def keys(self) -> np.ndarray:
+        return np.repeat(self.units.astype(np.int64), self.sizes) << 32 | self.v
 
-    def row(self) -> tuple[bytes, bytes]:
-        if not len(self.v):
-            return b"".join(self.lists), b""
-        self._add_up()
-        return self.v.astype(np.int32).tobytes(), self.n.tobytes()
+    @staticmethod
+    def joined(sides: list[Side], add_up: bool) -> list[bytes]:
+        key = np.concatenate([x.keys() for x in sides])
+        if not add_up and all(x.n is None for x in sides):
+            key = key[np.argsort(key >> 32, kind="stable")]
+            return _lists(key >> 32, key & 0xFFFFFFFF)
+        n = np.concatenate([np.ones(len(x.v), np.int64) if x.n is None else x.n for x in sides])
+        key, at = np.unique(key, return_inverse=True)
+        return _lists(key >> 32, key & 0xFFFFFFFF, np.bincount(at, n).astype(np.int64))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each unit and part, which follow each other."""
-    key, sides, rows, size = None, None, [], 0
+    """One row for each bucket; a bucket's rows follow each other."""
+    key, held = None, []
 
-    def close():
-        nonlocal size
-        row = (key[0], *sides[0].row(), *sides[1].row())
-        rows.append(row)
-        size += sum(len(x) for x in row[1:])
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NEAR, strict=True)], schema=NEAR)
+    def close(add_up: bool = False) -> list:
+        return [key, *Side.joined([x for x, _ in held], add_up), *Side.joined([x for _, x in held], add_up)]
 
     for batch in batches:
-        for unit, part, after, before in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "after", "before")), strict=True):
-            if (unit, part) != key:
-                if key:
-                    close()
-                    if size > 8_000_000:
-                        yield out()
-                        rows, size = [], 0
-                key, sides = (unit, part), (Neighbours(), Neighbours())
-            sides[0].add(after)
-            sides[1].add(before)
-    if key:
-        close()
-        yield out()
+        for bucket, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != key:
+                if held:
+                    yield _rows([close()])
+                key, held = bucket, []
+            held.append((Side(*lists[:4]), Side(*lists[4:])))
+            if sum(len(x.v) for x, _ in held) > HELD and len(held) > 1:
+                _, *lists = close(True)
+                held = [(Side(*lists[:4]), Side(*lists[4:]))]
+    if held:
+        yield _rows([close()])
 
 
 def _among(first: int):
-    """Rows and neighbours of the first units only."""
+    """The first units and neighbours only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for unit, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = [unit]
-                for raw, raw_n in (lists[:2], lists[2:]):
-                    v = np.frombuffer(raw, np.int32)
-                    keep = v < first
-                    row += [v[keep].tobytes(), np.frombuffer(raw_n, np.int64)[keep].tobytes() if raw_n else b""]
-                rows.append(row)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NEAR, strict=True)], schema=NEAR)
+            for bucket, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = [bucket]
+                for side in (Side(*lists[:4]), Side(*lists[4:])):
+                    unit = np.repeat(side.units, side.sizes)
+                    keep = (unit < first) & (side.v < first)
+                    row += _lists(unit[keep], side.v[keep], None if side.n is None else side.n[keep])
+                yield _rows([row])
 
     return run
 
 
-def near_units(training: DataFrame, words, work: common.Work) -> DataFrame:
-    """unit, after and before with their numbers, written."""
-    lists = training.mapInArrow(_near_lists(words), "unit int, part int, after binary, before binary")
-    return work.save(lists.repartition("unit", "part").sortWithinPartitions("unit", "part").mapInArrow(_merged, NEAR_SCHEMA), "near")
+def near_units(training: DataFrame, words, tokens_: int, work: common.Work) -> DataFrame:
+    """The units of every bucket with their neighbours, written."""
+    lists = training.mapInArrow(_near_lists(words, max(16, tokens_ // BUCKET)), NEAR_SCHEMA)
+    return work.save(lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged, NEAR_SCHEMA), "near")
 
 
 def _f(x):
@@ -281,28 +299,22 @@ class Gains:
         return total
 
 
-def _side(batch: pa.RecordBatch, name: str, unit: np.ndarray, labels: np.ndarray, classes: int, with_loops: bool = False):
-    """Of a batch's rows the neighbours of one side by class (those without one are left out), and those that are the unit itself."""
-
-    def joined(column, kind):
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        data = column.buffers()[2]
-        return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None and len(offsets) and offsets[-1] > offsets[0] else np.zeros(0, kind)), np.diff(offsets) // kind().itemsize
-
-    v, sizes = joined(batch.column(name), np.int32)
-    numbers, some = joined(batch.column(f"{name}_n"), np.int64)
-    row = np.repeat(np.arange(len(unit), dtype=np.int32), sizes)
-    n = None
-    if len(numbers):
-        n = np.ones(len(v))
-        n[np.repeat(some > 0, sizes)] = numbers
-    c = labels[v]
-    at = row.astype(np.int64) * (classes + 1) + np.minimum(c, classes)
-    found = np.bincount(at, n, len(unit) * (classes + 1)).reshape(len(unit), classes + 1)[:, :classes].astype(float)
-    loops = np.zeros(len(unit))
+def _by_class(side: Side, units: np.ndarray, keep: np.ndarray, labels: np.ndarray, classes: int, with_loops: bool = False):
+    """Of ``units`` (a bucket's; those of ``keep`` only) the neighbours by class, without those that have none, and those that are the unit itself."""
+    row = np.full(len(units), -1, np.int32)
+    row[keep] = np.arange(len(keep))
+    place = row[np.searchsorted(units, side.units)]
+    entry = np.repeat(place, side.sizes)
+    v, n = side.v, side.n
+    if len(keep) < len(units):
+        some = np.flatnonzero(entry >= 0)
+        entry, v, n = entry[some], v[some], None if n is None else n[some]
+    c = np.minimum(labels[v], classes)
+    found = np.bincount(entry.astype(np.int64) * (classes + 1) + c, n, len(keep) * (classes + 1)).reshape(len(keep), classes + 1)[:, :classes].astype(float)
+    loops = np.zeros(len(keep))
     if with_loops:
-        own = np.flatnonzero(v == unit[row])
-        loops = np.bincount(row[own], None if n is None else n[own], len(unit)) * (labels[unit] < classes)
+        own = np.flatnonzero(v == units[keep][entry])
+        loops = np.bincount(entry[own], None if n is None else n[own], len(keep)) * (labels[units[keep]] < classes)
     return found, loops
 
 
@@ -312,9 +324,10 @@ def _cells(labels, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((classes + 1, classes))
         for batch in batches:
-            unit = batch.column("unit").to_numpy()
-            after, _ = _side(batch, "after", unit, labels.value, classes)
-            np.add.at(cells, np.minimum(labels.value[unit], classes), after)
+            for lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                side = Side(*lists)
+                after, _ = _by_class(side, side.units, np.arange(len(side.units)), labels.value, classes)
+                np.add.at(cells, np.minimum(labels.value[side.units], classes), after)
         cells = cells[:classes]
         i = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(cells.ravel()[i].astype(np.int64))], ["i", "n"])
@@ -348,21 +361,24 @@ class Mover:
 
 
 def _moves(labels, cells: np.ndarray, fit: bool, turn: int, share: float):
-    """unit and the class that it moves to; of the units with several rows, instead, the neighbours by class of each row."""
+    """unit and the class that it moves to; of the units dealt over several buckets, instead, the neighbours by class in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mover = Mover(labels.value, cells, fit, turn, share)
         for batch in batches:
-            batch = batch.take(pa.array(mover.wanted(batch.column("unit").to_numpy())))
-            unit = batch.column("unit").to_numpy()
-            if not len(unit):
-                continue
-            (after, loops), (before, _) = _side(batch, "after", unit, mover.labels, mover.classes, True), _side(batch, "before", unit, mover.labels, mover.classes)
-            whole = unit >= SPLIT
-            moved, to = mover.best(unit[whole], after[whole], before[whole], loops[whole])
-            part = np.flatnonzero(~whole)
-            counts = [np.concatenate([after[i], before[i], loops[i : i + 1]]).tobytes() for i in part]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([moved, unit[part]]).astype(np.int32)), pa.array(np.concatenate([to, np.full(len(part), -1)]).astype(np.int32)), pa.array([None] * len(moved) + counts, pa.binary())], ["unit", "to", "counts"])
+            for _, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, other = Side(*lists[:4]), Side(*lists[4:])
+                units = np.union1d(one.units, other.units)
+                keep = mover.wanted(units)
+                if not len(keep):
+                    continue
+                (after, loops), (before, _) = _by_class(one, units, keep, mover.labels, mover.classes, True), _by_class(other, units, keep, mover.labels, mover.classes)
+                unit = units[keep]
+                whole = unit >= SPLIT
+                moved, to = mover.best(unit[whole], after[whole], before[whole], loops[whole])
+                part = np.flatnonzero(~whole)
+                counts = [np.concatenate([after[i], before[i], loops[i : i + 1]]).tobytes() for i in part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([moved, unit[part]]).astype(np.int32)), pa.array(np.concatenate([to, np.full(len(part), -1)]).astype(np.int32)), pa.array([None] * len(moved) + counts, pa.binary())], ["unit", "to", "counts"])
 
     return run
 
@@ -377,7 +393,7 @@ class Exchange:
 
     def count(self, rows: DataFrame) -> np.ndarray:
         shared = self.spark.sparkContext.broadcast(self.labels)
-        found = rows.select("unit", "after", "after_n").mapInArrow(_cells(shared, self.s.classes), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        found = rows.select("after_units", "after_sizes", "after_v", "after_n").mapInArrow(_cells(shared, self.s.classes), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         shared.destroy()
         cells = np.zeros(self.s.classes**2)
         cells[found["i"].to_numpy()] = found["n"].to_numpy()
@@ -419,8 +435,7 @@ class Exchange:
         s, n = self.s, len(self.labels)
         first = min(n, s.first)
         self.labels[:first] = np.arange(first) % s.classes
-        among = self.near.filter(F.col("unit") < first)
-        self.rounds(self.work.save(among.mapInArrow(_among(first), NEAR_SCHEMA), "near-first") if first < n else among, s.first_rounds)
+        self.rounds(self.work.save(self.near.mapInArrow(_among(first), NEAR_SCHEMA), "near-first") if first < n else self.near, s.first_rounds)
         if first < n:
             self.labels = self._moved(self.near, True)
             absent = self.labels >= s.classes
@@ -436,8 +451,10 @@ def _scores(shared):
         units, n_classes, of, step, emit, log = Units(*m["words"]), m["classes"], m["of"], m["step"], m["emit"], m["log"]
         for batch in common.slices(batches):
             cols: list[list] = [[] for _ in schema]
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), common.text_bytes(batch.column("text")), strict=True):
-                words = tokens(raw)
+            raws = common.text_bytes(batch.column("text"))
+            texts = [tokens(raw) for raw in raws]
+            units.learn(texts)
+            for doc_id, raw, words in zip(batch.column("doc_id").to_pylist(), raws, texts, strict=True):
                 u = np.zeros(len(words) + 2, np.int64)
                 u[1:-1] = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
                 c, mine = of[u], u[1:]
@@ -457,7 +474,7 @@ def _scores(shared):
                     cols = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return run
+    return common.frugal(run)
 
 
 def train(training: DataFrame, work: common.Work, s: Settings) -> dict:
@@ -480,8 +497,16 @@ def train(training: DataFrame, work: common.Work, s: Settings) -> dict:
     rare = work.save(counts.filter(F.col("n") < least), "rare")
 
     shared = spark.sparkContext.broadcast(words)
-    exchange = Exchange(near_units(training, shared, work), n_units, s, work)
-    exchange.run()
+    # a bucket's row is some MB
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    near = near_units(training, shared, n, work)
+    try:
+        spark.conf.set(key, "8")
+        exchange = Exchange(near, n_units, s, work)
+        exchange.run()
+    finally:
+        spark.conf.set(key, usual)
     labels, cells = exchange.labels.astype(np.int64), exchange.cells
 
     unit_n, unit_v = np.concatenate([[texts], k, np.zeros(SHAPES)]).astype(float), np.zeros(n_units)
