@@ -43,7 +43,7 @@ def test_columns(spark):
     assert one(spark, "2019 2031 2022", lambda c: C.greatest_year(c, 2005, 2025)) == 2022
     assert one(spark, "a; b,|c", C.keywords) == ["a", "b", "c"]
     assert one(spark, "trabalho de campo", C.research_class) is None
-    assert [tuple(p) for p in one(spark, "123 / (11) 91234-5678 / 11912345678", C.phones)] == [("11912345678", "MOBILE", False)]
+    assert [tuple(p) for p in one(spark, "123 / (11) 91234-5678 / 11912345678", C.phones)] == [("11912345678", "CELULAR", False)]
     assert one(spark, "ana maria silva", C.initials) == "AM"
     assert one(spark, "x.CSV", C.file_type) == "CSV"
 
@@ -52,26 +52,50 @@ def test_versions(spark):
     def profile(text):
         return one(spark, text, lambda c: forms.detect_version(c)["profile"])
 
-    assert profile("Dados da Empresa ... receita bruta") == "v3_late"
+    assert profile("Dados da Empresa ... receita operacional bruta") == "v3_late"
     assert profile("DADOS DA EMPRESA") == "v3_early"
     assert profile("Recibo de Entrega [ITEM 1]") == "v2_late"
     assert profile("recibo de entrega ano base 2020") == "v2_early"
-    assert profile("Dados da pessoa jurídica") == "v1_2018"
+    assert profile("Dados pessoa jurídica") == "v1_2018"
     assert profile("x ( O ) y") == "v1_2017"
     assert profile("ANO BASE 2.023") == "v3_early"
     assert profile(None) == "v2_early"
 
 
 def test_forms(spark):
-    text = "Recibo\nNome do remetente: Ana Lima\nCPF\n\n123.456.789-00\nExpedido em: 01/02/2023\nRazão Social: Foo Ltda\nCNPJ 11.222.333/0001-81\n1 Projeto um R$ 1.000,00\n2 Projeto dois R$ 500,50\nTotal R$ 1.500,50"
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
-    r = {x.doc_id: x for x in forms.receipt_of(docs).collect()}
-    assert (r[1].sender_name, r[1].sender_cpf, r[1].expedition_at, r[1].authenticity_code) == ("Ana Lima", "12345678900", "01/02/2023", None)
-    c = {x.doc_id: x for x in forms.company_of(docs).collect()}
-    assert (c[1].company_id, c[1].legal_name) == ("11222333000181", "Foo Ltda") and c[2].company_id is None
-    s = {x.doc_id: x for x in forms.summary_table(docs).collect()}
-    assert [(x.item, x.title, x.total) for x in s[1].rows] == [(1, "Projeto um", Decimal("1000.00")), (2, "Projeto dois", Decimal("500.50"))]
-    assert s[1].declared_total == Decimal("1500.50")
+    text = "Recibo de entrega\nNome: Ana Lima\nCPF:\n\n123.456.789-00\nExpedido em: 01/02/2023\nRazão Social: Foo Ltda\nCNPJ 11.222.333/0001-81\n1 Projeto um R$ 1.000,00\nTotal R$ 1.500,50"
+    docs = forms.with_lines(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
+    found = docs.select("doc_id", forms.receipt_of(F.col("lines")).alias("r"), forms.company_of(F.col("text"), F.col("lines")).alias("c"), forms.summary_table(F.col("filled")).alias("s"))
+    x = {r.doc_id: r for r in found.collect()}
+    assert tuple(x[1].r) == ("Ana Lima", "12345678900", None, None)  # the label is told by a colon or dash right after its word
+    assert tuple(x[1].c) == ("11222333000181", "Foo Ltda") and tuple(x[2].c) == (None, None)
+    assert not any(r.s.found for r in x.values())  # rows without a head are no table
+
+
+def test_long_texts_and_many_blocks(spark):
+    """Forms of thousands of lines, and many projects, stay one row each."""
+    block = "Programa/Atividades de PD&I - {i}\nItem/Título do Projeto de PD&I\nProjeto {i} x\nItens de dispêndio\nPeças R$ {i},00\n"
+    text = "Dados da Empresa\n" + "".join(block.format(i=i) for i in range(1, 40)) + "linha\n" * 3000
+    out = forms.extract(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), 2025).collect()
+    assert len(out) == 2 and out[0] == out[1] and len(out[0].projects) == 39
+    assert all([e.amount for e in p.expenses] == [Decimal(i)] for i, p in enumerate(out[0].projects, 1))
+
+
+def test_streams_in_several_batches(spark, tmp_path):
+    from ledgermill.streaming.states import folded_stream
+
+    at = f"file://{tmp_path}/in"
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, i % 60), i % 7, ["click", "view"][i % 2]) for i in range(300)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    for part in range(5):
+        table.filter(F.col("event_id") % 5 == part).coalesce(1).write.mode("append").parquet(at)
+    found = {r.user_id: (r.state, r.last_event_id, r.n_events) for r in folded_stream(spark, at, files_per_trigger=2).collect()}
+    want = {}
+    for u in range(7):
+        mine = [r for r in rows if r[2] == u]
+        last = max(mine, key=lambda r: (r[1], r[0]))
+        want[u] = (last[3], last[0], len(mine))
+    assert found == want
 
 
 def test_templates(spark, tmp_path):
@@ -81,6 +105,11 @@ def test_templates(spark, tmp_path):
     assert templates.map_columns(rows, {"email": "mail", "E-mail": "mail"}, strict=True).first().mail is None
     (tmp_path / "a.csv").write_text('made by\nid,name\n1,"a, ""b"""\n')
     assert [tuple(r) for r in templates.read_csv(spark, str(tmp_path / "a.csv"), 1).collect()] == [("1", 'a, "b"')]
+    (tmp_path / "b.csv").write_text("by another\nname,other\nx,y\n")  # each file has its own header
+    both = templates.read_csv(spark, str(tmp_path / "*.csv"), 1).select("id", "name", "other").collect()
+    assert sorted(map(tuple, both), key=str) == [("1", 'a, "b"', None), (None, "x", "y")]
+    assert templates.first_sheet(templates.workbook([["a", None, "<b>"], [None], ["1"]])) == [["a", None, "<b>"], [None], ["1"]]
+    assert templates.listing(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def test_merging(spark):
@@ -89,7 +118,7 @@ def test_merging(spark):
     found = {r.k: (r.v, r.w, r.action) for r in M.upsert(base, new, ["k"], keep_old=("w",)).collect()}
     assert found == {1: ("a", None, "KEPT"), 2: ("b", "x", "UPDATED"), 3: ("c", "z", "INSERTED")}
     assert {(r.k, r.created) for r in M.get_or_create(base, new, ["k"]).collect()} == {(1, False), (2, False), (3, True)}
-    chunks = R.chunked(spark.range(1203).toDF("i"), "i", 500).groupBy("chunk").count().collect()
+    chunks = R.chunked(spark.range(1203).toDF("i"), ["i"], 500).groupBy("chunk").count().collect()
     assert {r.chunk: r["count"] for r in chunks} == {0: 500, 1: 500, 2: 203}
 
 
