@@ -50,7 +50,7 @@ class Work:
 
 
 def with_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str, n_ids: int, most: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """Semi or anti join that moves ``df`` only if there are more than ``most`` ids; ``n_ids`` is their counted number."""
+    """Join that moves ``df`` only if there are more than ``most`` ids; ``n_ids`` is their counted number."""
     return df.join(F.broadcast(ids) if n_ids <= most else ids.hint("merge"), on, how)
 
 

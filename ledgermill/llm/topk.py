@@ -70,7 +70,9 @@ def _visits(shared, cells, first: bool):
         for batch in common.slices(batches, 1024):
             ids, x = batch.column("vec_id").to_pylist(), _matrix(batch.column("v").to_pylist(), m["width"])
             bound = np.array([-np.inf if b is None else b for b in batch.column("bound").to_pylist()])
-            reach = np.sqrt(np.maximum((x * x).sum(1) + m["square"] - 2 * bound, 0)) if len(x) else bound
+            # with room for the rounding of the distances and of the bound
+            whole = (x * x).sum(1) + m["square"] if len(x) else bound
+            reach = np.sqrt(np.maximum(whole - 2 * bound, 0) + 1e-12 * whole) if len(x) else bound
             d = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), m["pivots"])
             gap = np.maximum(near[None, :] - d[:, cell // RINGS], d[:, cell // RINGS] - far[None, :])
             open_ = gap <= reach[:, None] * (1 + 1e-9) + 1e-6
@@ -84,19 +86,26 @@ def _visits(shared, cells, first: bool):
     return run
 
 
+def _under(score: float) -> float:
+    """At most the score, whose rounding may have made it larger."""
+    return score - abs(score) * 1e-14
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, bound: float) -> list[tuple[int, float]]:
     at = np.flatnonzero((scores >= bound) & (ids != own))
-    return [(int(ids[i]), float(scores[i])) for i in at[np.lexsort((ids[at], -scores[at]))[:k]]]
+    return [(int(ids[i]), scores[i].item()) for i in at[np.lexsort((ids[at], -scores[at]))[:k]]]
+
 
+def _searched(width: int, k: int, kind: type):
+    """``kind``: the numbers in which the products are exact."""
 
-def _searched(width: int, k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(vectors) and len(queries):
-            x, ids = _matrix(vectors["v"], width), vectors["vec_id"].to_numpy()
+            x, ids = _matrix(vectors["v"], width).astype(kind), vectors["vec_id"].to_numpy()
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
-                scores = _matrix(part["v"], width) @ x.T
+                scores = _matrix(part["v"], width).astype(kind) @ x.T
                 for q, s, b in zip(part["query_id"], scores, part["bound"].fillna(-np.inf), strict=True):
                     rows += [(q, i, v) for i, v in _best(s, ids, q, k, b)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
@@ -108,7 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k vectors of the largest integer inner product, ties to the smaller id.
 
     ``vectors`` and ``queries``: vec_id, v (arrays of integers; null ones, and those with a null component, take no part; short ones
-    count as filled with zeros; other columns are ignored). A vector isn't found by the query of its own id. Rows that repeat an id count once, with
+    count as filled with zeros; other columns are ignored). A vector isn't found by the query of its own id. Inner products are exact (beyond 2^62 an error is raised). Rows that repeat an id count once, with
     the least vector. With fewer vectors all are returned; empty tables give an empty result. The sample fits pivots and first bounds only:
     every vector is indexed, and the result is exact."""
     spark = vectors.sparkSession
@@ -120,6 +129,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     facts = vectors.agg(F.coalesce(F.max(square), F.lit(0.0)).alias("square"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
     n_queries, wide = queries.count(), queries.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
     width = max(facts.width, wide)
+    # no sum of products is larger than the product of the lengths
+    longest = float(np.sqrt(facts.square * queries.agg(F.coalesce(F.max(square), F.lit(0.0))).first()[0]))
+    if longest >= 2**62 or facts.square >= 2**106:
+        raise ValueError("inner products beyond 64-bit integers")
+    kind = np.float64 if longest < 2**52 else np.int64
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     ids, x = np.array([r.vec_id for r in sample], np.int64), _matrix([r.v for r in sample], width)
     longer = _longer(x, facts.square)
@@ -134,24 +148,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     index = (np.array([c.cell for c in cells]), np.array([c.near for c in cells]), np.array([c.far for c in cells]), [-(-c.n // BLOCK) for c in cells])
     parts = F.element_at(F.create_map(*[F.lit(int(y)) for c in cells for y in (c.cell, -(-c.n // BLOCK))]), F.col("cell"))
     chunks = -(-n_queries // BLOCK)
-    blocks = keyed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts.cast("long")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).drop("r")
+    blocks = keyed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts.cast("long")).cast("int")).drop("r")
     keys = ["cell", "part", "chunk"]
 
     def search(asked: DataFrame, first: bool) -> DataFrame:
         visits = asked.mapInArrow(_visits(model, index, first), "query_id long, v array<long>, cell int, part int, bound double")
-        visits = visits.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-        return blocks.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_searched(width, k), "query_id long, vec_id long, score long")
+        visits = work.save(visits.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")), "visits1" if first else "visits2")
+        # a block of vectors is copied only to the blocks of queries that visit it
+        wanted = work.save(visits.select(*keys).distinct(), "wanted1" if first else "wanted2")
+        copies = common.with_ids(blocks, wanted, ["cell", "part"], "inner", wanted.count())
+        return copies.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_searched(width, k, kind), "query_id long, vec_id long, score long")
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in common.slices(batches, 512):
             scores = _matrix(batch.column("v").to_pylist(), m["width"]) @ m["x"].T
             best = [_best(s, m["ids"], q, k, -np.inf) for q, s in zip(batch.column("vec_id").to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([b[k - 1][1] if len(b) == k else None for b in best], pa.float64())], ["vec_id", "v", "bound"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([_under(b[k - 1][1]) if len(b) == k else None for b in best], pa.float64())], ["vec_id", "v", "bound"])
 
     asked = work.save(queries.mapInArrow(sampled, "vec_id long, v array<long>, bound double"), "asked")
     near = work.save(search(asked, True), "near")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    bounds = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("better"))
+    bounds = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (F.col("score").cast("double") - F.abs("score") * 1e-14).alias("better"))
     asked = asked.join(bounds, "vec_id", "left").select("vec_id", "v", F.coalesce(F.greatest("bound", "better"), "bound").alias("bound"))
     return near.unionByName(search(asked, False)).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -348,6 +348,26 @@ def test_top_k(spark):
     assert set(got) == set(range(0, 400, 50)) and top_k(vectors.limit(0), vectors, k=5).count() == 0
 
 
+def test_top_k_large_numbers_few_rows_and_blocks(spark, monkeypatch):
+    from ledgermill.llm import topk
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(-(2**28), 2**28, (300, 3))
+    rows = [(i, [int(v) for v in (r if i % 3 else r[:2])]) for i, r in enumerate(x)] + [(5, [1, 1, 1])]
+    own = {i: np.array([*v, 0][:3], object) for i, v in reversed(rows)}
+    own[5] = np.array(min(rows[5][1], [1, 1, 1]), object)
+    monkeypatch.setattr(topk, "BLOCK", 16)  # many parts and chunks
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = defaultdict(list)
+    for r in top_k(vectors, vectors, k=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in range(0, 300, 7):
+        scores = sorted((-int(own[q] @ own[i]), i) for i in own if i != q)[:4]
+        assert got[q] == [(-s, i) for s, i in scores]
+    two = top_k(vectors.filter("vec_id < 2"), vectors.filter("vec_id < 2"), k=5).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in two) == [(0, 1, 1), (1, 1, 0)]
+
+
 def test_secrets(docs, none):
     patterns = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
     found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
