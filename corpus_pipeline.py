@@ -1,7 +1,10 @@
 """The corpus pipeline: language ID, near duplicates, decontamination, secrets and packing, each over all that is left.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``, whatever else they hold.
+
+Every stage takes null texts, empty tables and texts of any length. Ids are taken as unique: where rows repeat an id, a decision about one of them is
+one about all, and equal rows stay together. Rows without an id end at the first stage, as no decision could name them.
 """
 
 from __future__ import annotations
@@ -25,29 +28,29 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, or no letters) go."""
+    """Documents in which no language can be told (no text, or no letters) go, and rows without an id; the others stay as they are."""
     found = identify_languages(docs, ~common.held_out(4))
     return _without(docs, found.filter("lang_pred = 'und'"), "language").filter(F.col("doc_id").isNotNull())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of five-word shingles, the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 or more of five-word shingles, the one with the smallest id stays. Texts without words link with nothing."""
     found = join_similar(docs, size=5, percent=80)
     return _without(docs, found.filter("component_id <> doc_id"), "duplicates")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; without items all stay."""
     return _without(docs, find_leaks(docs, common.table(spark, sf_dir, "benchmark")), "leaks")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays."""
+    """Secrets are masked in the text, and n_chars follows; every document stays, a null text as null."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in full windows."""
+    """The pieces of all documents in full windows; a null or empty text is its end alone."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
