@@ -207,6 +207,56 @@ def test_url_filters(spark):
     assert cut.split("redstone") == ("red", "stone") and cut.split("greenhouse") == ("green", "house")
 
 
+def test_url_verdicts_against_plain_bayes(spark):
+    """Every split of every name is tried, and odds are counted plainly."""
+    import itertools
+    import math
+
+    rng = random.Random(14)
+    words = ["red", "stone", "green", "house", "blue", "lake"]
+    urls = []
+    for i in range(60):
+        host = "".join(rng.sample(words, 2)) + rng.choice([".com", ".net", ".org"])
+        urls.append((i, f"http://{host}/{rng.choice(['es', 'en', 'fr'])}/{''.join(rng.sample(words, rng.choice([1, 2])))}{rng.choice(['', '7', '1234'])}?q"))
+    rows = [(i, u, "<p>" + " ".join(rng.choices(words, k=5)) + " <b>com</b> net org</p><script>ignored words</script>") for i, u in urls] + [(100, None, None), (101, "http://redstone.org/en/x", "")]
+    found = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+
+    counts = Counter(w for _, _, h in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<script.*?</script>|<[^>]*>", " ", h or "").lower()))
+    total = sum(counts.values()) + 1
+    cost = lambda w: math.log(counts[w] / total) if w in counts else -math.log(total) - 3.0 * len(w)
+
+    def split(name):
+        ways = []
+        for cuts in itertools.product([False, True], repeat=len(name) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(name)]
+            parts = [name[a:b] for a, b in itertools.pairwise(at)]
+            # a part that is no word is no longer than the longest word
+            if all(len(p) <= max(map(len, counts)) for p in parts):
+                ways.append((sum(map(cost, parts)), parts))
+        return max(ways, key=lambda x: x[0])[1]
+
+    def tokens(r):
+        return [m + w for m, text in (("h:", r.host), ("p:", r.path.lower())) for part in re.findall(r"[^\W\d_]+|\d+", text) for w in ([f"#{len(part)}"] if part.isdigit() else split(part))]
+
+    blocked, seen, urls_n = Counter(), Counter(), Counter()
+    judged = {"com/": "allow", "www.example.com/en/": "allow"}
+    for r in found.values():
+        if r.rule:
+            v = judged.get(r.rule, "block")
+            urls_n[v] += 1
+            for t in tokens(r):
+                seen[t] += 1
+                blocked[t] += v == "block"
+    block, allow, v = sum(blocked.values()), sum(seen.values()) - sum(blocked.values()), len(seen) + 1
+    odds = lambda t: math.log((blocked[t] + 1) / (block + v)) - math.log((seen[t] - blocked[t] + 1) / (allow + v))
+    assert urls_n["block"] and urls_n["allow"] and sum(not r.rule for r in found.values()) > 10
+    for r in found.values():
+        score = math.log((urls_n["block"] + 1) / (urls_n["allow"] + 1)) + sum(map(odds, tokens(r)))
+        assert r.score == pytest.approx(score, abs=1e-9)
+        if not r.rule:
+            assert r.verdict == ("block" if score > 0 else "allow")
+
+
 def test_suffix_automaton():
     text = [1, 2, 1, 1, 2, 3, 1, 2]
     states = langid.suffix_automaton(text)
