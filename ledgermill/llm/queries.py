@@ -11,6 +11,7 @@ from .common import held_out, table
 from .decontam import find_leaks
 from .jaccard_join import join_similar
 from .langid import identify_languages
+from .mixing import mix_documents
 from .packing import pack_documents
 from .revisits import recrawled, resolve_revisits
 from .secrets import scan_secrets
@@ -72,7 +73,11 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url_key", "outcome", "original_id", F.array_join(lines, "; ").alias("headers"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits)}
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits, op11_source_mix)}
 
 #: The other methods (models, tokenizers, scanners) are beyond SQL, or too slow there on whole tables; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +113,51 @@ SELECT record_id, url_key, outcome, o_id AS original_id,
     WHEN 'resolved' THEN 'content-type: text/html; date: day ' || d || '; etag: ' || coalesce(etag, o_etag) || '; last-modified: day ' || modified
     ELSE 'content-length: 0; date: day ' || d || coalesce('; etag: ' || etag, '') || '; last-modified: day ' || modified END AS headers
 FROM judged""",
+    "op11_source_mix": r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR)), 1, 10))::BIGINT AS h
+  FROM documents),
+named AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS s,
+    CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight
+  FROM docs GROUP BY source),
+-- sources in the order in which they reach their limits; the level after the first ones did
+filled AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, s) AS nth, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+    coalesce(sum(weight) OVER (ORDER BY source_size / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone_weight
+  FROM named),
+levels AS (SELECT *, ((total - gone) / (weights - gone_weight))::DOUBLE AS lv FROM filled),
+fixed AS (SELECT lv FROM levels WHERE 2 * source_size >= weight * lv ORDER BY nth LIMIT 1),
+aimed AS (SELECT n.*, least(2.0::DOUBLE * source_size, weight * lv)::DOUBLE AS target FROM named n, fixed),
+cut AS (
+  SELECT *, ceil(source_size / 128)::BIGINT AS blocks, floor(target)::BIGINT % greatest(source_size, 1) AS rest,
+    (floor(target)::BIGINT // greatest(source_size, 1)) * ceil(source_size / 128)::BIGINT + ceil((floor(target)::BIGINT % greatest(source_size, 1)) / 128)::BIGINT AS slots
+  FROM aimed),
+sources AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, (sum(slots) OVER ())::BIGINT AS n FROM cut),
+points AS (
+  SELECT k, ((k & 1048575) * 679535556991 + (k >> 20) * 668269019136) & 1099511627775 AS v
+  FROM (SELECT unnest(range((SELECT max(n) FROM sources))) AS k)),
+ranked AS (
+  SELECT s, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS rank
+  FROM points p JOIN sources c ON v::DOUBLE / 1099511627776::DOUBLE * n::DOUBLE >= first AND v::DOUBLE / 1099511627776::DOUBLE * n::DOUBLE < first + slots),
+slots AS (
+  SELECT c.s, r.rank FROM ranked r JOIN sources c USING (s) WHERE r.rank < c.slots
+  UNION ALL
+  SELECT s, unnest(range(found, slots)) FROM (SELECT c.s, c.slots, (SELECT count(*) FROM ranked r WHERE r.s = c.s) AS found FROM sources c) WHERE found < slots),
+limits AS (
+  SELECT s, rank % blocks AS block, CASE WHEN rank = slots - 1 AND rest > 0 THEN rest - 128 * (rank % blocks) ELSE 128 END AS most FROM slots JOIN sources USING (s)),
+placed AS (
+  SELECT d.*, c.s, sum(size) OVER (PARTITION BY c.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place
+  FROM docs d JOIN sources c ON d.source IS NOT DISTINCT FROM c.source WHERE size > 0),
+pieces AS (SELECT *, unnest(range(place // 128, (place + size - 1) // 128 + 1)) AS block FROM placed),
+sums AS (
+  SELECT p.s, p.doc_id, p.size, p.place,
+    coalesce(sum(greatest(0, least(least(place + size, 128 * p.block + 128) - greatest(place, 128 * p.block), most - (greatest(place, 128 * p.block) - 128 * p.block)))) FILTER (WHERE most IS NOT NULL), 0)::BIGINT AS taken
+  FROM pieces p LEFT JOIN limits l ON p.s = l.s AND p.block = l.block GROUP BY p.s, p.doc_id, p.size, p.place)
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken FROM (
+  SELECT s, doc_id, size, taken FROM sums
+  UNION ALL SELECT c.s, d.doc_id, d.size, 0 FROM docs d JOIN sources c ON d.source IS NOT DISTINCT FROM c.source WHERE size = 0) JOIN sources USING (s)""",
 }
