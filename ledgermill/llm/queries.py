@@ -13,6 +13,7 @@ from .jaccard_join import join_similar
 from .langid import identify_languages
 from .mixing import mix_documents
 from .packing import pack_documents
+from .resampling import resample
 from .revisits import recrawled, resolve_revisits
 from .secrets import scan_secrets
 from .token_count import count_tokens
@@ -77,7 +78,12 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits, op11_source_mix)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits, op11_source_mix, op12_importance_resampling)}
 
 #: The other methods (models, tokenizers, scanners) are beyond SQL, or too slow there on whole tables; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
