@@ -116,8 +116,8 @@ def resample(docs: DataFrame, target: DataFrame, settings: Settings | None = Non
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "weights")
     able = rows.filter(F.col("n_words") >= s.least)
     n = able.count() * s.percent // 100
-    placed = numbered(able, [F.desc("score"), F.col("doc_id").asc_nulls_first(), F.col("row")], work, "sorted", "place")
-    placed = placed.withColumn("rank", F.when(F.col("place") < n, F.col("place") + 1))
+    placed = numbered(able, [F.desc("score"), F.col("doc_id").asc_nulls_first(), F.col("row")], work, "sorted", "nth")
+    placed = placed.withColumn("rank", F.when(F.col("nth") < n, F.col("nth") + 1))
     others = rows.filter(F.col("n_words") < s.least).withColumn("rank", F.lit(None).cast("long"))
     names = ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
     return placed.select(names).unionByName(others.select(names))
