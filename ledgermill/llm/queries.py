@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .brown_lm import score_documents
 from .common import held_out, table
 from .decontam import find_leaks
@@ -83,7 +84,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits, op11_source_mix, op12_importance_resampling)}
+def op13_vocabulary_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_packing, op3_url_filters, op4_language_id, op5_decontamination, op6_top_k, op7_secret_scans, op8_jaccard_join, op9_token_counts, op10_revisits, op11_source_mix, op12_importance_resampling, op13_vocabulary_alignment)}
 
 #: The other methods (models, tokenizers, scanners) are beyond SQL, or too slow there on whole tables; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
