@@ -161,7 +161,7 @@ def _by_stripe(batch: int, found: list[tuple[np.ndarray, np.ndarray]], stripes:
     order = np.lexsort((doc, place, stripe))
     stripe, place, doc, n = stripe[order], place[order], doc[order], n[order]
     starts = _starts(stripe)
-    for i, j in zip(starts, [*starts[1:], len(stripe)], strict=True):
+    for i, j in zip(starts, np.r_[starts[1:], len(stripe)], strict=False):
         first = _starts(place[i:j])
         yield (batch, int(stripe[i]), int(j - i), packed(place[i:j][first]), packed(np.diff(np.r_[first, j - i])), packed(doc[i:j]), packed(n[i:j]), None, None, None)
 
@@ -198,7 +198,7 @@ def _links(a: str, b: str, stripes: int):
                     found.append(none)
                     facts += [0, 0, 0, 0]
                     digests.append("")
-                if len(ids) == DOCS or sum(len(p) for p, _ in found[-1:]) > PAIRS or sum(len(p) for p, _ in found) > PAIRS:
+                if len(ids) == DOCS or sum(len(p) for p, _ in found) > PAIRS:
                     yield from out()
                     ids, facts, digests, found = [], [], [], []
         if ids:
