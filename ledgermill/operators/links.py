@@ -7,7 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermill.sources.tables import saved
+
 from . import merge as M
+from .relational import contains_join, numbered
 
 
 def first_match(df: DataFrame, others: DataFrame, keys: list[tuple[str, str]], id_: str, name: str) -> DataFrame:
@@ -103,15 +106,64 @@ def transformed(value: Column, kind: str) -> Column:
     return {"UPPER": F.upper(value), "TRIM": F.trim(value)}.get(kind, value)
 
 
-def rubric_match(rows: DataFrame, rules: DataFrame, name: str = "rubric") -> DataFrame:
+def required_text(pattern: str | None, kind: str) -> str | None:
+    """The longest text that whatever a LIKE or REGEX pattern fits must hold; None if there is none, or if none is easily told."""
+    if not pattern:
+        return None
+    runs, i = [""], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if kind == "DESC_LIKE":
+            if c == "\\" and i + 1 < len(pattern):
+                i += 1
+                runs[-1] += pattern[i]
+            elif c in "%_":
+                runs.append("")
+            else:
+                runs[-1] += c
+        elif c in "|(\\":  # either side may fit, or what is in brackets be missing
+            return None
+        elif c == "[":
+            end = pattern.find("]", i + 2)
+            if end < 0 or "[" in pattern[i + 1 : end]:
+                return None
+            runs, i = [*runs, ""], end
+        elif c in "*?{":  # the character before may be missing
+            runs = [*runs[:-1], runs[-1][:-1], ""]
+            i = pattern.find("}", i) if c == "{" and "}" in pattern[i:] else i
+        elif c in "+.^$":
+            runs.append("")
+        else:
+            runs[-1] += c
+        i += 1
+    return max(runs, key=len) or None
+
+
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``error``: REGEX_INVALID or LIKE_INVALID where a loose rule's pattern is none, else null."""
+    regex = F.when(F.col("kind") == "DESC_REGEX", F.col("pattern"))
+    like = F.when(F.col("kind") == "DESC_LIKE", F.col("pattern"))
+    broken = F.expr("try_reflect('java.util.regex.Pattern', 'compile', _regex)").isNull()
+    told = F.when(F.col("_regex").isNotNull() & broken, "REGEX_INVALID").when(~like.rlike(r"^(?s:[^\\]|\\[\\%_])*$"), "LIKE_INVALID")
+    return rules.withColumn("_regex", regex).withColumn("error", told).drop("_regex")
+
+
+def rubric_match(rows: DataFrame, rules: DataFrame, name: str = "rubric", block: int = 1000) -> DataFrame:
     """rows (id, code, description) with the rubric of the first kind of rule (rule, kind, pattern, rubric) that fits: CODE_EXACT, DESC_EXACT, DESC_LIKE,
-    DESC_REGEX; of several the smallest rule. The exact kinds are equi joins; the rules of the others are few and broadcast if they are under 10,000."""
+    DESC_REGEX; of several the smallest rule. A pattern that is none fits nothing (see ``checked_rules``). The exact kinds are equi joins. Of the others a rule is tried on the texts that
+    hold the text which its pattern requires; rules without one are tried on every text, in blocks of so many."""
     exact = lambda kind, column: rules.filter(F.col("kind") == kind).groupBy(F.col("pattern").alias(column)).agg(F.min_by("rubric", "rule").alias(f"_{kind}"))
     out = rows.join(exact("CODE_EXACT", "code"), "code", "left").join(exact("DESC_EXACT", "description"), "description", "left")
-    loose = rules.filter(F.col("kind").isin("DESC_LIKE", "DESC_REGEX"))
-    if loose.count() > 10_000:
-        raise ValueError("too many loose rules")
-    texts = rows.select("description").filter("description is not null").distinct()
-    fits = F.when(F.col("kind") == "DESC_LIKE", F.expr("description like pattern")).otherwise(F.expr("description rlike pattern"))
-    found = texts.join(F.broadcast(loose), fits).groupBy("description").agg(F.min_by("rubric", F.struct("kind", "rule")).alias("_LOOSE"))
+    loose = checked_rules(rules.filter(F.col("kind").isin("DESC_LIKE", "DESC_REGEX") & F.col("pattern").isNotNull())).filter("error is null").drop("error")
+    required = F.udf(required_text, "string", useArrow=True)
+    loose = saved(loose.withColumn("_needs", required("pattern", "kind")), "rules")
+    texts = saved(rows.select("description").filter("description is not null").distinct(), "texts")
+    indexed = contains_join(texts, "description", loose.filter("_needs is not null"), "_needs", [])
+    rest = numbered(loose.filter("_needs is null"), ["kind", "rule"], "_n").withColumn("_block", F.floor((F.col("_n") - 1) / block))
+    blocks = rest.agg(F.coalesce(F.max("_block"), F.lit(-1))).first()[0]
+    tried = texts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).join(rest.drop("_n"), "_block").drop("_block") if blocks >= 0 else indexed.limit(0)
+    # the kind is checked first, as a pattern of one kind needn't be one of the other
+    like, regex = F.when(F.col("kind") == "DESC_LIKE", F.col("pattern")), F.when(F.col("kind") == "DESC_REGEX", F.col("pattern"))
+    fits = F.coalesce(F.like("description", like), F.rlike("description", regex), F.lit(False))
+    found = indexed.unionByName(tried).filter(fits).groupBy("description").agg(F.min_by("rubric", F.struct("kind", "rule")).alias("_LOOSE"))
     return out.join(found, "description", "left").withColumn(name, F.coalesce("_CODE_EXACT", "_DESC_EXACT", "_LOOSE")).drop("_CODE_EXACT", "_DESC_EXACT", "_LOOSE")

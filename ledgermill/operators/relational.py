@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermill.sources.tables import saved
+
 
 def contains_any(columns: list[str | Column], text: str | None) -> Column:
     """Any column holds the text, whatever its case; without a text everything fits."""
@@ -38,8 +40,6 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
 
 def include(parent: DataFrame, child: DataFrame, key: str, foreign: str, columns: list[str], name: str, first: int | None = None) -> DataFrame:
     """Children as an array of structs sorted by their columns; an empty one for parents without any."""
-    from pyspark.sql import Window
-
     if first is not None:  # cut before anything is gathered
         child = child.withColumn("_r", F.row_number().over(Window.partitionBy(foreign).orderBy(*columns))).filter(F.col("_r") <= first)
     arrays = child.groupBy(F.col(foreign).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
@@ -63,17 +63,42 @@ def ordinal(column: str, values: list[str]) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.lit(values), F.col(column)), F.lit(0)), F.lit(len(values) + 1))
 
 
-def numbered(df: DataFrame, order: list[str], name: str, rows_a_range: int = 500_000) -> DataFrame:
-    """Adds the rows' numbers, from 1, in the order of the columns, which should tell rows apart; the first is a number or a time. Rows
-    are ranked within ranges of the first column, as many as the number of rows asks for; only the ranges' sizes are gathered."""
-    from pyspark.sql import Window
-
-    first, parts = F.col(order[0]), max(2, -(-df.count() // rows_a_range))
-    cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    ranged = df.withColumn("_part", F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col(order[0]))) if cuts else F.lit(0))
-    sizes = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return ranged.join(F.broadcast(sizes.drop("count")), "_part").withColumn(name, place).drop("_part", "_before")
+def ranged(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """The rows sorted by ranges and written, with ``_part`` (their range) and ``_at`` (their place in it, from 0). The order should tell rows apart."""
+    rows = saved(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), name)
+    return rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
+    """Adds the rows' numbers, from 1, in the order of the columns, which should tell rows apart; within each value of ``within`` if it is given. Rows are sorted by
+    ranges, so neither a table nor a large group is in one task; what is added up is a row for each range."""
+    groups = within or []
+    rows = ranged(df, [*groups, *order], "numbered")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    if not groups:
+        return placed
+    first = placed.groupBy(*[F.col(g).alias(f"_{g}") for g in groups]).agg(F.min(name).alias("_first"))
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups])
+    return placed.join(first, same).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first", *[f"_{g}" for g in groups])
+
+
+def last_before(rows: DataFrame, values: DataFrame, at: str, value: str, tie: str, stretch: int = 100_000) -> DataFrame:
+    """``rows`` with ``value``: that of the latest of ``values`` (at, tie, value) at or before them; rows before any are left out. An as-of join without a key: both sides stand in
+    one order of time, cut into stretches of so many rows; each row takes the last value of its stretch, or the last one of an earlier stretch."""
+    names = rows.columns
+    both = rows.select(F.struct(*names).alias("_row"), F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.col(tie).alias("_tie"), F.lit(None).cast(values.schema[value].dataType).alias("_v"))
+    both = both.unionByName(values.select(F.col(at).alias("_t"), F.lit(0).alias("_kind"), F.col(tie).alias("_tie"), F.col(value).alias("_v")), allowMissingColumns=True)
+    placed = ranged(both.filter("_t is not null"), ["_t", "_kind", "_tie"], "asof").withColumn("_stretch", F.struct("_part", F.floor(F.col("_at") / stretch).alias("s")))
+    known = F.when(F.col("_kind") == 0, F.struct("_v"))
+    ends = placed.groupBy("_stretch").agg(F.max_by(known, F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+    earlier = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_stretch", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    own = Window.partitionBy("_stretch").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("_own", F.last(known, ignorenulls=True).over(own)).filter("_kind = 1").join(ends, "_stretch")
+    found = found.withColumn("_found", F.coalesce("_own", "_carried")).filter("_found is not null")
+    return found.select("_row.*", F.col("_found._v").alias(value))
 
 
 def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
@@ -96,11 +121,31 @@ def requested(fields: Column, default: Column) -> Column:
     return F.when(F.size(asked) > 0, asked).otherwise(default)
 
 
-def contains_join(hay: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str], size: int = 6) -> DataFrame:
-    """Pairs of rows, equal in ``on``, whose ``text`` contains the other's ``needle``: an equi-join on the needle's first ``size`` characters
-    (all of a shorter one) with the pieces of the text of that length, then the full test. No pairs but these are made."""
-    place = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, n))
-    lengths = F.sequence(F.lit(1), F.lit(size))
-    pieces = hay.withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.transform(lengths, place)))))
-    keyed = needles.filter(F.length(needle) > 0).withColumn("_piece", F.substring(needle, 1, size))
-    return pieces.join(keyed, [*on, "_piece"]).filter(F.col(text).contains(F.col(needle))).drop("_piece")
+def contains_join(hay: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str], size: int = 6, most: int = 100_000, hot: int = 50_000) -> DataFrame:
+    """Pairs of rows, equal in ``on``, whose ``text`` contains the other's ``needle`` (which isn't empty).
+
+    Each needle is known by the one of its pieces of ``size`` characters (or itself, if it is shorter) that the fewest texts have, and a text is only taken apart to pieces that
+    some needle chose, so rows are made about as often as there are pairs. Chosen pieces are broadcast up to ``most``; beyond it texts are joined with them by piece. The needles of a
+    piece in more than ``hot`` texts stand in several parts, between which its texts are dealt."""
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, n))
+    named = needles.filter(F.length(needle) > 0).withColumn("_size", F.least(F.length(needle), F.lit(size)))
+    lengths = sorted(r[0] for r in named.select("_size").distinct().collect())  # size rows at most
+    if not lengths:
+        return hay.join(named.drop("_size"), on or F.lit(False)).filter(F.lit(False))
+    of_text = F.array_distinct(F.flatten(F.array(*[pieces(text, F.lit(n)) for n in lengths])))
+    texts = hay.filter(F.col(text).isNotNull())
+    spread = lambda df: df.withColumn("_piece", F.explode(of_text))
+    asked = named.select(*on, F.explode(F.array_distinct(pieces(needle, F.col("_size")))).alias("_piece")).distinct()
+    small = asked.limit(most + 1).count() <= most
+    kept = lambda df, names: df.join(F.broadcast(names) if small else names.hint("merge"), [*on, "_piece"], "left_semi")
+    counts = saved(kept(spread(texts.select(*on, text)), asked).groupBy(*on, "_piece").agg(F.count("*").alias("_k")), "pieces")
+    # a piece that no text has excludes its needle
+    by_needle = named.select(*on, needle, F.explode(F.array_distinct(pieces(needle, F.col("_size")))).alias("_piece")).distinct().join(counts, [*on, "_piece"], "left")
+    best = F.min_by(F.struct("_piece", F.coalesce("_k", F.lit(0)).alias("_k")), F.struct(F.coalesce("_k", F.lit(0)), "_piece")).alias("_best")
+    chosen = saved(by_needle.groupBy(*on, needle).agg(best).filter("_best._k > 0").select(*on, needle, "_best._piece", "_best._k"), "chosen")
+    parts = F.ceil(F.col("_k") / hot).cast("int")
+    keyed = named.drop("_size").join(chosen, [*on, needle]).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_k")
+    marks = chosen.groupBy(*on, "_piece").agg(F.max(parts).alias("_parts"))
+    # the part of a text follows from the text
+    placed = spread(texts).join(F.broadcast(marks) if small else marks.hint("merge"), [*on, "_piece"]).withColumn("_part", F.pmod(F.xxhash64(text), "_parts").cast("int")).drop("_parts")
+    return placed.join(keyed, [*on, "_piece", "_part"]).filter(F.col(text).contains(F.col(needle))).drop("_piece", "_part")

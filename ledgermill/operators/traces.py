@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import last_before
+
 #: What events are called.
 EVENT_LABELS = {
     "FILE_REGISTERED": "Arquivo registrado", "FILE_REUSED": "Arquivo reutilizado (dedup)", "JOB_QUEUED": "Job enfileirado", "JOB_STARTED": "Job iniciado",
@@ -20,11 +22,12 @@ def is_error(kind: Column, payload: Column) -> Column:
 def trace(events: DataFrame, keys: list[str], order: list[Column], told: Column, most: int = 1000) -> DataFrame:
     """keys, n (all their events) and trace, an array of what is told of the first ``most`` of them in the order.
 
-    Counts and ranks come from one window by key; ranks beyond ``most`` are dropped before anything is gathered."""
-    by = Window.partitionBy(*keys)
-    ranked = events.withColumn("_r", F.row_number().over(by.orderBy(*order))).withColumn("n", F.count("*").over(by)).filter(F.col("_r") <= most)
-    rows = ranked.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_r", told.alias("t")))).alias("trace"))
-    return rows.withColumn("trace", F.transform("trace", lambda x: x["t"]))
+    Every task keeps the first ones of its keys before anything is shuffled (a rank that is only compared with a limit), and counts are added up apart, so that a key with very many
+    events is neither sorted nor gathered as a whole."""
+    ranked = events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= most)
+    rows = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", told.alias("t")))).alias("trace"))
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.join(rows, keys).withColumn("trace", F.transform("trace", lambda x: x["t"]))
 
 
 def progress(events: DataFrame, key: str) -> DataFrame:
@@ -42,20 +45,24 @@ def last_usable(events: DataFrame, key: str, payload: str, path: str = "$.storag
 
 
 def joined_trace(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[Column], Column]], most: int = 1000) -> DataFrame:
-    """The parent's rows with an array and a count of each kind of child (its table with the key, its order, and what is told of it)."""
+    """The parent's rows with an array and a count of each kind of child (its table with the key, its order in whole numbers or times, and what is told of it).
+
+    All kinds go through one shuffle, each row with its kind; of a key's kind every task passes on ``most`` rows at most, and counts."""
+    width = max(len(order) for _, order, _ in children.values())
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(None).cast("long"))
+    rows = None
     for name, (child, order, told) in children.items():
-        found = trace(child, [key], order, told, most).withColumnsRenamed({"n": f"n_{name}", "trace": name})
-        parent = parent.join(found, key, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long"))).withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return parent
+        places = [number(c) for c in order] + [F.lit(None).cast("long")] * (width - len(order))
+        own = child.select(key, F.lit(name).alias("_kind"), *[c.alias(f"_o{i}") for i, c in enumerate(places)], told.cast("string").alias("_t"))
+        rows = own if rows is None else rows.unionByName(own)
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_kind").orderBy(*[f"_o{i}" for i in range(width)]))).filter(F.col("_r") <= most)
+    lists = first.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("_kind") == name, F.struct("_r", "_t")))).alias(name) for name in children])
+    counts = rows.groupBy(key).agg(*[F.count_if(F.col("_kind") == name).alias(f"n_{name}") for name in children])
+    found = counts.join(lists, key).select(key, *[c for name in children for c in (f"n_{name}", F.transform(name, lambda x: x["_t"]).alias(name))])
+    out = parent.join(found, key, "left")
+    return out.withColumns({c: v for name in children for c, v in ((f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long"))), (name, F.coalesce(name, F.array().cast("array<string>"))))})
 
 
 def priced(uses: DataFrame, prices: DataFrame, per: int) -> DataFrame:
-    """uses (ts, event_id, tokens) with their cost at the price (ts, event_id, price) that was valid then; uses before any price are left out.
-
-    Prices are few; times are cut at them into windows, and the windows are broadcast if there are under 100,000, so that no use is moved."""
-    windows = prices.groupBy("ts").agg(F.max_by("price", "event_id").alias("price"))
-    if windows.count() > 100_000:
-        raise ValueError("too many prices")
-    valid = windows.select(F.col("ts").alias("valid_from"), F.lead("ts").over(Window.orderBy("ts")).alias("valid_to"), "price")
-    fits = (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
-    return uses.join(F.broadcast(valid), fits).withColumn("cost", F.col("tokens") * F.col("price") / per)
+    """uses (ts, event_id, tokens) with their price and cost at the price (ts, event_id, price) that was valid then; uses before any price are left out. Of prices of one time the one with the greatest id counts."""
+    return last_before(uses, prices, "ts", "price", "event_id").withColumn("cost", F.col("tokens") * F.col("price") / per)

@@ -87,8 +87,11 @@ _r = _told("sender_name", "sender_cpf", "authenticity_code", "expedition_at")
 
 @cases([
     ("Dados do Remetente\nNome:\nAna {k}\nCPF: 111.222.333-44\nExpedido em: 03/04/2024\nCódigo de Autenticidade: ABCD1234-EF56\nNome: outro", _r("Ana {k}", "11122233344", "ABCD1234-EF56", None)),
-    ("Dados do Remetente\nCPF -\n\n123\nExpedição: 03/04/2024 às 10h\nFormulário do ano de referência\nNome: fora", _r(None, "123", None, "03/04/2024 às 10h")),
+    ("Dados do Remetente\nCPF -\n\n123\nExpedição: 03/04/2024 às 10h\nFormulario do ano de referencia\nNome: fora", _r(None, "123", None, "03/04/2024 às 10h")),
+    ("Dados do Remetente\nCPF: 5\nFormulário do ano de referência\nNome: dentro {k}", _r("dentro {k}", "5", None, None)),
     ("Recibo de Entrega\nNome: Rui {k} .\nCPF: x\nCodigo de autenticidade - 12345678901234567890123", _r("Rui {k}", None, "12345678901234567890123", None)),
+    ("Dados do Remetente\nNome: Eva {k}\nCódigo de Autenticidade: ZZ\nExpedição: 03/04/2024\nNome: outra", _r("Eva {k}", None, "ZZ", "03/04/2024")),
+    ("Dados do Remetente\nNome: Eva\nCPF: 1\nDados do Remetente\nNome: Lia {k}\nCODIGO DE AUTENTICIDADE: YY\nExpedição: 03/04/2024", _r("Lia {k}", None, "YY", None)),
     ("Nome: Ana\nCPF: 1", _r(None, None, None, None)), (None, _r(None, None, None, None)),
 ])
 def form_receipt(docs):
@@ -103,6 +106,7 @@ _s = _told("found", "project_count", "declared_total", "listed")
     ("1 antes R$ 5,00\nPrograma/Atividades de PD&I\nItem Nome da atividade Valor\n1 Forno {k}; calor, aço R$ 1.000,00\n2 Motor\n3 Bomba R$ 250.000\nTotal R$ 9,00\nTotal R$ 251.000,00\nPrograma/Atividades de PD&I - 1\n4 fora R$ 1,00", _s("true", "3", "251000.00", "1|Forno {k}|1000.00;2|Motor|-;3|Bomba|250000.00")),
     ("Programa/Atividades de PD&I\n1 sem cabeça R$ 5,00\nTOTAL R$ 5,00", _s("false", "0", None, "")), ("9 texto R$ 5,00", _s("false", "0", None, "")), (None, _s("false", "0", None, "")),
     ("PROGRAMA/ATIVIDADES DE PD&I\nNome do item\nTotal geral: R$ 7,5", _s("true", "0", "7.50", "")),
+    ("Programa/Atividades de PD&I - 1\nPrograma/Atividades de PD&I\nItem Nome\n1 Forno R$ 5,00\nTotal R$ 5,00", _s("false", "0", None, "")),
 ])
 def form_summary(docs):
     return _with(docs, t=X.summary_table(F.col("filled"))).select("doc_id", "t.found", "t.project_count", "t.declared_total", _listed(F.col("t.rows"), "item", "title", "total").alias("listed"))
@@ -156,6 +160,7 @@ _E = "Programa/Atividades de PD&I - 3\nantes R$ 1,00\nItens de Dispêndio\nServi
 @cases([
     ("Dados da Empresa\n" + _E, {"listed": "3|Serviços técnicos|100.00|-|-|-|-;3|Peças {k}|50.00|-|-|-|-;3|A|60.00|-|-|-|-;3|B|90.00|-|-|-|-"}),
     ("Recibo de Entrega\n3.1.2.1.2. [Item 2] Serviços de apoio técnico\nItem 1\nCNPJ 11.222.333/0001-81\nNome Fornecedor {k}\nValor total (R$): R$ 500,00\nCaracterizar o serviço: teste\nSituação: Concluído\nItem 2\nValor (R$) R$ 20,00\nDescrição:\nna linha\nItem 3\nNome sem valor\n3.1.4.1.3. Material de consumo\nItem 1\nValor (R$) R$ 1,00", {"listed": "2|Serviços de apoio técnico|500.00|teste|11.222.333/0001-81|Fornecedor {k}|Concluído;2|Serviços de apoio técnico|20.00|na linha|-|-|-"}),
+    ("Recibo de Entrega\n3.1.2.1.2. Serviços de apoio técnico\nItem 1\nDescrição:\nCNPJ 11.222\nNome Fornecedor {k}\nValor (R$) R$ 20,00\nItem 2\nValor (R$) R$ 3,00\nDescrição:\nItem 9\nNome Outro", {"listed": "2|Serviços de apoio técnico|20.00|CNPJ 11.222|-|Fornecedor {k}|-;2|Serviços de apoio técnico|3.00|Item 9|-|Outro|-"}),
     ("Dados da Empresa", {"listed": ""}), (None, {"listed": ""}),
 ])
 def form_expenses(docs):

@@ -221,10 +221,10 @@ def page_allowed_sort(customer):
     return R.page(customer, [R.allowed_sort("dropped; table", allowed, "name"), F.col("c_custkey")], 1, 15).select("c_custkey", "c_name")
 
 
-@query("""SELECT o_custkey AS owner, arg_min(o_orderkey, (o_orderstatus <> 'O', o_orderdate, o_orderkey)) AS chosen, string_agg(o_orderkey::VARCHAR, ',' ORDER BY (o_orderstatus <> 'O')::INT, o_orderdate, o_orderkey) AS listed FROM orders WHERE o_custkey < 100 GROUP BY 1""")
+@query("""SELECT o_custkey AS owner, arg_min(o_orderkey, (o_orderstatus <> 'O', o_orderdate, o_orderkey)) AS chosen, string_agg(o_orderkey::VARCHAR, ',' ORDER BY (o_orderstatus <> 'O')::INT, o_orderdate, o_orderkey) AS listed FROM orders GROUP BY 1""")
 def phone_order(orders):
     key = F.struct((F.col("o_orderstatus") != "O").alias("later"), "o_orderdate", "o_orderkey")
-    rows = orders.filter("o_custkey < 100").groupBy(F.col("o_custkey").alias("owner")).agg(F.min_by("o_orderkey", key).alias("chosen"), F.array_sort(F.collect_list(key)).alias("l"))
+    rows = orders.groupBy(F.col("o_custkey").alias("owner")).agg(F.min_by("o_orderkey", key).alias("chosen"), F.array_sort(F.collect_list(key)).alias("l"))
     return rows.select("owner", "chosen", F.array_join(F.transform("l", lambda x: x["o_orderkey"].cast("string")), ",").alias("listed"))
 
 
@@ -249,7 +249,7 @@ def last_usable_path(events):
 def batch_trace(customer, orders, events):
     jobs = orders.withColumnRenamed("o_custkey", "c_custkey")
     happened = events.withColumn("c_custkey", F.col("user_id"))
-    found = T.joined_trace(customer.select("c_custkey"), "c_custkey", {"jobs": (jobs, [F.col("o_orderkey")], F.col("o_orderkey").cast("string")), "events": (happened, [F.col("ts"), F.col("event_id")], F.col("event_type"))}, most=3)
+    found = T.joined_trace(customer.select("c_custkey"), "c_custkey", {"jobs": (jobs, [F.col("o_orderkey")], F.col("o_orderkey").cast("string")), "events": (happened, [F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")], F.col("event_type"))}, most=3)
     return found.select("c_custkey", "n_jobs", F.array_join("jobs", ",").alias("jobs"), "n_events", F.array_join("events", ",").alias("events"))
 
 
@@ -263,11 +263,11 @@ def broadcast_events(spark, sf_dir):
 # declared reference data
 
 
-@query("""WITH r AS (SELECT event_type, ts AS valid_from, lead(ts) OVER (ORDER BY ts, event_id) AS valid_to, value AS price FROM events WHERE event_type = 'signup' AND user_id % 5 = 0)
-  SELECT e.event_id, (e.event_id * price / 1000000)::DOUBLE AS cost FROM events e JOIN r ON e.ts >= valid_from AND (valid_to IS NULL OR e.ts < valid_to) WHERE e.event_type = 'click' AND e.user_id < 20""")
+@query("""SELECT e.event_id, (e.event_id * p.value / 1000000)::DOUBLE AS cost FROM (SELECT * FROM events WHERE event_type = 'click') e
+  ASOF JOIN (SELECT ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'signup' GROUP BY ts) p ON e.ts >= p.ts""")
 def token_costs(events):
-    prices = events.filter("event_type = 'signup' and user_id % 5 = 0").select("ts", "event_id", F.col("value").alias("price"))
-    uses = events.filter("event_type = 'click' and user_id < 20").select("ts", "event_id", F.col("event_id").alias("tokens"))
+    prices = events.filter("event_type = 'signup'").select("ts", "event_id", F.col("value").alias("price"))
+    uses = events.filter("event_type = 'click'").select("ts", "event_id", F.col("event_id").alias("tokens"))
     return T.priced(uses, prices, 1_000_000).select("event_id", "cost")
 
 
@@ -284,9 +284,29 @@ def value_transforms(nation):
     return nation.select("n_nationkey", raw.alias("raw"), K.transformed(raw, "DATE_MMYYYY").alias("mmyyyy"), K.transformed(month, "MONTH_NAME_PT").alias("month"), K.transformed(F.col("n_name"), "UPPER").alias("upper"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size = 7 THEN 'code' WHEN p_name = (SELECT p_name FROM part WHERE p_partkey = 1) THEN 'exact' WHEN p_name LIKE '%bolt%' THEN 'like' WHEN regexp_matches(p_name, 'ring|gear') THEN 'regex' END AS rubric FROM part""")
-def rubric_match(spark, part):
-    name = part.filter("p_partkey = 1").first().p_name
-    rules = spark.createDataFrame([(1, "CODE_EXACT", "7", "code"), (2, "DESC_EXACT", name, "exact"), (3, "DESC_LIKE", "%bolt%", "like"), (4, "DESC_REGEX", "ring|gear", "regex")], "rule int, kind string, pattern string, rubric string")
+RUBRIC = """WITH r AS (SELECT s_suppkey AS rule, CASE s_suppkey % 4 WHEN 0 THEN 'CODE_EXACT' WHEN 1 THEN 'DESC_EXACT' WHEN 2 THEN 'DESC_LIKE' ELSE 'DESC_REGEX' END AS kind, s_suppkey FROM supplier),
+  named AS (SELECT rule, kind, CASE kind WHEN 'CODE_EXACT' THEN s_suppkey::VARCHAR WHEN 'DESC_EXACT' THEN (SELECT min(p_name) FROM part WHERE p_partkey = s_suppkey)
+    WHEN 'DESC_LIKE' THEN '%' || (SELECT min(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey = s_suppkey) || '%_' || s_suppkey % 7 || '%'
+    ELSE (SELECT min(split_part(p_name, ' ', 2)) FROM part WHERE p_partkey = s_suppkey) || '.*[0-' || s_suppkey % 9 || ']$' END AS pattern FROM r)"""
+
+
+@query(RUBRIC + """, d AS (SELECT DISTINCT p_name FROM part),
+  hit AS (SELECT d.p_name, arg_min(rule, (kind, rule)) AS loose FROM d JOIN named ON (kind = 'DESC_LIKE' AND d.p_name LIKE pattern) OR (kind = 'DESC_REGEX' AND rule <> 3 AND regexp_matches(d.p_name, pattern)) GROUP BY 1)
+  SELECT p_partkey, coalesce((SELECT min(rule) FROM named WHERE kind = 'CODE_EXACT' AND pattern = p_size::VARCHAR), (SELECT min(rule) FROM named WHERE kind = 'DESC_EXACT' AND pattern = part.p_name), loose)::VARCHAR AS rubric FROM part LEFT JOIN hit ON hit.p_name = part.p_name""")
+def rubric_match(part, supplier):
+    own = part.select(F.col("p_partkey").alias("s_suppkey"), "p_name")
+    key, word = F.col("s_suppkey"), lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    kind = F.element_at(F.array(*map(F.lit, ("CODE_EXACT", "DESC_EXACT", "DESC_LIKE", "DESC_REGEX"))), (key % 4 + 1).cast("int"))
+    like = F.concat(F.lit("%"), word(1), F.lit("%_"), (key % 7).cast("string"), F.lit("%"))
+    # one rule is no pattern at all
+    regex = F.when(key == 3, "(").otherwise(F.concat(word(2), F.lit(".*[0-"), (key % 9).cast("string"), F.lit("]$")))
+    pattern = F.when(key % 4 == 0, key.cast("string")).when(key % 4 == 1, F.col("p_name")).when(key % 4 == 2, like).otherwise(regex)
+    rules = supplier.join(own, "s_suppkey", "left").select(key.alias("rule"), kind.alias("kind"), pattern.alias("pattern"), key.cast("string").alias("rubric"))
     rows = part.select("p_partkey", F.col("p_size").cast("string").alias("code"), F.col("p_name").alias("description"))
     return K.rubric_match(rows, rules).select("p_partkey", "rubric")
+
+
+@query("SELECT s_suppkey AS rule, CASE WHEN s_suppkey % 10 = 3 THEN 'REGEX_INVALID' END AS error FROM supplier")
+def rubric_rules(supplier):
+    pattern = F.when(F.col("s_suppkey") % 10 == 3, F.concat(F.lit("["), F.col("s_name"))).otherwise(F.regexp_replace("s_name", "#", "."))
+    return K.checked_rules(supplier.select(F.col("s_suppkey").alias("rule"), F.lit("DESC_REGEX").alias("kind"), pattern.alias("pattern"))).select("rule", "error")

@@ -9,9 +9,11 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermill.operators.relational import numbered
+
 
 def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
     """All cells as strings, empty ones null. ``header_row``: lines of each file before its header; then files are split like any text, so
@@ -23,15 +25,24 @@ def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
     firsts = lines.filter("start = 0").groupBy("file").agg(F.min("n").alias("first"))
     placed = lines.join(firsts, "file").withColumn("place", F.when(F.col("start") == 0, F.col("n") - F.col("first")))
     heads = placed.filter(F.col("place") == header_row).select("file", F.col("value").alias("head"))
-    body = placed.filter((F.coalesce("place", F.lit(header_row + 1)) > header_row) & (F.col("value") != "")).join(heads, "file")
-    out = None
-    for head in sorted(r["head"] for r in heads.select("head").distinct().collect()):
-        schema = ", ".join(f"`{n}` string" for n in next(csv.reader([head])))
-        rows = body.filter(F.col("head") == head).select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("row")).select("row.*")
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
+    body = placed.filter((F.coalesce("place", F.lit(header_row + 1)) > header_row) & (F.col("value") != ""))
+    kinds = [header_names(r["head"]) for r in heads.select("head").distinct().collect()]  # a row for each kind of file
+    if not kinds:
         raise ValueError("no file has a header there")
-    return out
+    names, width = list(dict.fromkeys(n for k in sorted(kinds) for n in k)), max(map(len, kinds))
+    # a file's columns by their places; every line is read once, whatever its header
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"escape": '"'})
+    places = F.udf(lambda head: [header_names(head).index(n) if n in header_names(head) else None for n in names], "array<int>", useArrow=True)
+    heads = heads.select("file", places("head").alias("places"))
+    rows = body.select("file", cells.alias("_c")).join(heads, "file").select("places", F.array(*[F.col(f"_c.c{i}") for i in range(width)]).alias("cells"))
+    return rows.select(*[F.get("cells", F.get("places", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+def header_names(head: str) -> list[str]:
+    """The columns of a header line; names that repeat, whatever their case, and empty ones get their place, as in files that start with their header."""
+    found = next(csv.reader([head]))
+    low = [n.lower() for n in found]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(found)]
 
 
 def write_with_header(lines: DataFrame, path: str, above: list[str]) -> None:
@@ -58,6 +69,21 @@ def workbook(rows: list[list[str | None]]) -> bytes:
     return out.getvalue()
 
 
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _first_sheet_file(z: zipfile.ZipFile, names: list[str]) -> str:
+    """The file of the sheet that the workbook lists first; without such a list the sheet with the smallest number."""
+    from xml.etree import ElementTree
+
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        first = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_CELL}sheet"), None)
+        files = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        if first is not None and (file := files.get(first.get(_RELATION))):
+            return file.removeprefix("/") if file.startswith("/") else f"xl/{file}"
+    return min((n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+
+
 def first_sheet(content: bytes) -> list[list[str | None]]:
     """Cells of a workbook's first sheet as texts, row by row; empty ones null."""
     from xml.etree import ElementTree
@@ -66,7 +92,7 @@ def first_sheet(content: bytes) -> list[list[str | None]]:
         names = z.namelist()
         text = lambda e: "".join(t.text or "" for t in e.iter(f"{_CELL}t"))
         shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_CELL}si")] if "xl/sharedStrings.xml" in names else []
-        sheet = min((n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+        sheet = _first_sheet_file(z, names)
         out = []
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_CELL}row"):
             cells: list[str | None] = []
@@ -105,10 +131,10 @@ def parsed_map(text: Column) -> Column:
 
 
 def import_rows(rows: DataFrame, batch: str, order: str, column_map: dict[str, str]) -> DataFrame:
-    """batch, row_index (from 1 in the order), payload (JSON of the mapped columns), status and error_message of each row."""
-    place = F.row_number().over(Window.partitionBy(batch).orderBy(order)).alias("row_index")
-    numbered = rows.select("*", place)
-    mapped = map_columns(numbered, {**column_map, batch: "_batch", "row_index": "_index"}, check=list(column_map.values()))
+    """batch, row_index (from 1 in the order, which tells a batch's rows apart), payload (JSON of the mapped columns), status and error_message of each row.
+    A batch is numbered by ranges, so a large one isn't in one task."""
+    placed = numbered(rows, [order], "row_index", within=[batch])
+    mapped = map_columns(placed, {**column_map, batch: "_batch", "row_index": "_index"}, check=list(column_map.values()))
     payload = F.to_json(F.struct(*[F.col(t) for t in dict.fromkeys(column_map.values())]))
     return mapped.select(F.col("_batch").alias(batch), F.col("_index").alias("row_index"), payload.alias("payload"), "status", "error_message")
 
