@@ -27,6 +27,11 @@ def lines(text: Column, blank: bool = True) -> Column:
     return found if blank else F.filter(found, lambda x: x["clean"] != "")
 
 
+def bare_lines(text: Column) -> Column:
+    """Array of structs (clean) of a text's lines, for what asks for no more."""
+    return F.transform(F.split(text, BREAKS), lambda x: F.struct(C.clean(x).alias("clean")))
+
+
 def place(of: Column, test: Test) -> Column:
     """The first line (from 1) that fits; 0 if there is none."""
     return F.coalesce(F.array_position(F.transform(of, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True)), F.lit(0)).cast("int")

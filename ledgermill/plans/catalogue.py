@@ -275,7 +275,7 @@ LINES_SQL = r"""l AS (SELECT doc_id, unnest(range(len(x)))::INT AS pos, trim(reg
 @query(f"""WITH {LINES_SQL} SELECT doc_id, section, count(*) AS n FROM (SELECT doc_id, last_value(CASE WHEN length(clean) BETWEEN 1 AND 40 THEN clean END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l) GROUP BY 1, 2""")
 def section_fill(documents):
-    named = F.transform(L.lines(F.col("text")), lambda x: F.when(F.length(x["clean"]).between(1, 40), x["clean"]))
+    named = F.transform(L.bare_lines(F.col("text")), lambda x: F.when(F.length(x["clean"]).between(1, 40), x["clean"]))
     filled = documents.select("doc_id", F.explode(L.last_above(named, lambda x: x.isNotNull())).alias("section"))
     return filled.groupBy("doc_id", "section").agg(F.count("*").alias("n"))
 
@@ -284,7 +284,7 @@ def section_fill(documents):
   OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), FALSE) AS inside FROM l WHERE doc_id % 10 >= 0""".replace("clean = '' OR ", "").replace(" WHERE doc_id % 10 >= 0", ""))
 def section_flags(documents):
     size = lambda x: F.length(x["clean"])
-    inside = L.in_section(L.lines(F.col("text")), lambda x: size(x).between(1, 40), lambda x: size(x) > 200)
+    inside = L.in_section(L.bare_lines(F.col("text")), lambda x: size(x).between(1, 40), lambda x: size(x) > 200)
     return documents.select("doc_id", F.posexplode(inside).alias("pos", "inside"))
 
 
@@ -292,7 +292,7 @@ def section_flags(documents):
   OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS value FROM l) WHERE length(clean) BETWEEN 1 AND 40""")
 def next_value(documents):
     below = lambda of, x, i: F.when(F.length(x["clean"]).between(1, 40), F.struct(i.alias("pos"), L.first_value(F.slice(of, i + 2, F.lit(3))).alias("value")))
-    found = L.let(L.lines(F.col("text")), lambda of: F.filter(F.transform(of, lambda x, i: below(of, x, i)), lambda v: v.isNotNull()))
+    found = L.let(L.bare_lines(F.col("text")), lambda of: F.filter(F.transform(of, lambda x, i: below(of, x, i)), lambda v: v.isNotNull()))
     return documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
 
 

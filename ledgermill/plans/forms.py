@@ -164,7 +164,8 @@ _E = "Programa/Atividades de PD&I - 3\nantes R$ 1,00\nItens de Dispêndio\nServi
     ("Dados da Empresa", {"listed": ""}), (None, {"listed": ""}),
 ])
 def form_expenses(docs):
-    return _with(docs, p=X.expenses_of(F.col("filled"), F.col("v.family"))).select("doc_id", _listed(F.col("p"), *X.EXPENSE).alias("listed"))
+    read = X.with_lines(docs).withColumn("v", X.detect_version(F.col("text")))
+    return X.with_expenses(read, "p", F.col("filled"), F.col("v.family")).select("doc_id", _listed(F.col("p"), *X.EXPENSE).alias("listed"))
 
 
 @cases([

@@ -125,3 +125,101 @@ def test_merging(spark):
 def test_quality(spark):
     row = spark.range(1).select(Q.applicable_ratio([F.lit(True), F.lit(None).cast("boolean"), F.lit(False)]).alias("r"), Q.applicable_ratio([F.lit(None).cast("boolean")]).alias("n"), Q.band(F.lit(0.85)).alias("b"), Q.needs_review(F.lit(0.7), F.lit(0)).alias("x")).first()
     assert tuple(row) == (0.5, 0.5, "HIGH", False)
+
+
+def test_sums_of_next_rows(spark):
+    """Prefix sums and the search in them against the plain rule, on short lists and one of 20,000 rows."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    lists = [[rng.choice([0, -1, 1, 2, 3, 5, 8, 10, 100]) for _ in range(n)] for n in (0, 1, 2, 5, 63, 64, 65, 130, 200)]
+    rows = [(i, [(Decimal(x),) for x in xs]) for i, xs in enumerate(lists)]
+    df = spark.createDataFrame(rows, "i int, r array<struct<amount:decimal(18,2)>>").withColumn("s", forms.running_sums(F.col("r")))
+    found = df.select("i", "s", F.transform("r", lambda e, i: forms.adds_up(F.col("s"), e["amount"], i)).alias("adds")).collect()
+    for i, sums, adds in found:
+        want = [0]
+        for x in lists[i]:
+            want.append(want[-1] + max(x, 0))
+        assert list(map(int, sums)) == want
+        assert adds == [x > 0 and any(s > want[j + 1] and abs(s - want[j + 1] - x) * 100 < 3 * x for s in want[j + 2 :]) for j, x in enumerate(lists[i])]
+    expense = ",".join(f"{k}:{v}" for k, v in forms.EXPENSE.items())
+    big = spark.range(20_000).select(F.struct(*[{"project_index": (F.col("id") % 3).cast("int"), "category": F.concat(F.lit("c"), F.col("id").cast("string")), "amount": (F.col("id") % 97 + 1).cast("decimal(18,2)")}.get(k, F.lit(None)).cast(v).alias(k) for k, v in forms.EXPENSE.items()]).alias("e"))
+    one = big.groupBy().agg(F.collect_list("e").cast(f"array<struct<{expense}>>").alias("r"))
+    began = time.time()
+    assert one.select(F.size(forms.leaf_expenses(F.col("r")))).first()[0] > 0
+    assert time.time() - began < 30
+
+
+def test_numbering_and_as_of(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(7)
+    want = {}
+    for g, i in sorted(rows, key=lambda r: r[1]):
+        want[i] = 1 + sum(1 for h, j in rows if h == g and j < i)
+    assert {r.i: r.n for r in R.numbered(df, ["i"], "n", within=["g"]).collect()} == want
+    assert {r.i: r.n for r in R.numbered(df, ["i"], "n").collect()} == {i: i + 1 for i in range(500)}
+    values = [(rng.randrange(300), k, k if k % 3 else None) for k in range(40)]
+    v = spark.createDataFrame(values, "t int, k int, v int")
+    uses = spark.createDataFrame([(rng.randrange(300), k) for k in range(1000, 1300)], "t int, k int")
+    for stretch in (3, 100_000):
+        got = {r.k: r.v for r in R.last_before(uses, v, "t", "v", "k", stretch).collect()}
+        plain = {}
+        for t, k in uses.collect():
+            if mine := [x for x in values if x[0] <= t]:
+                plain[k] = max(mine, key=lambda x: (x[0], x[1]))[2]
+        assert got == plain
+    assert R.last_before(uses, v.limit(0), "t", "v", "k").count() == 0
+
+
+def test_contains_join(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["the", "of", "rare", "bolt", "screw", "a", "nut and", "washer"]
+    texts = [(i, i % 2, " ".join(rng.choice(words) for _ in range(12))) for i in range(300)] + [(900, 0, None), (901, 1, "")]
+    asked = [(j, j % 2, w) for j, w in enumerate(["the of", "rare bolt", "nut and washer", "a", "x", "", None, "screw the a", "the of"])]
+    hay, needles = spark.createDataFrame(texts, "i int, g int, text string"), spark.createDataFrame(asked, "j int, g int, w string")
+    plain = lambda same: sorted((i, j) for i, g, t in texts for j, h, w in asked if t and w and w in t and (g == h or not same))
+    for more in ({}, {"most": 1}, {"hot": 3}, {"most": 1, "hot": 2, "size": 2}):
+        assert sorted((r.i, r.j) for r in R.contains_join(hay, "text", needles, "w", ["g"], **more).select("i", "j").collect()) == plain(True)
+        assert sorted((r.i, r.j) for r in R.contains_join(hay, "text", needles.drop("g"), "w", [], **more).select("i", "j").collect()) == plain(False)
+    assert R.contains_join(hay, "text", needles.limit(0), "w", ["g"]).count() == 0
+
+
+def test_loose_rules(spark):
+    from ledgermill.operators import links as K
+
+    needs = [("DESC_LIKE", "%ab_cde%", "cde"), ("DESC_LIKE", r"\%x%", "%x"), ("DESC_LIKE", "%_%", None), ("DESC_REGEX", "abc?de+f", "f"), ("DESC_REGEX", "a|b", None), ("DESC_REGEX", "bolt[0-9]{2,3}xy", "bolt"), ("DESC_REGEX", r"\d+", None), ("DESC_REGEX", None, None)]
+    assert [K.required_text(p, kind) for kind, p, _ in needs] == ["cde", "%x", None, "ab", None, "bolt", None, None]
+    rules = [(1, "DESC_REGEX", "(", "broken"), (2, "DESC_LIKE", "%bolt_", "like"), (3, "DESC_REGEX", "^s.rew[0-9]?$", "regex"), (4, "DESC_REGEX", "nut|washer", "either"), (5, "DESC_LIKE", r"x\y", "bad"), (6, "CODE_EXACT", "7", "code"), (7, "DESC_REGEX", "zzz|screw", "late")]
+    texts = ["bolts", "a bolt", "screw", "screw1", "washers", None, "", "(", "x"]
+    rows = spark.createDataFrame([(i, "7" if i == 4 else "1", t) for i, t in enumerate(texts)], "i int, code string, description string")
+    table = spark.createDataFrame(rules, "rule int, kind string, pattern string, rubric string")
+    for block in (1, 1000):
+        got = {r.i: r.rubric for r in K.rubric_match(rows, table, block=block).collect()}
+        assert got == {0: "like", 1: None, 2: "regex", 3: "regex", 4: "code", 5: None, 6: None, 7: None, 8: None}
+    assert {r.rule: r.error for r in K.checked_rules(table).collect()} == {1: "REGEX_INVALID", 2: None, 3: None, 4: None, 5: "LIKE_INVALID", 6: None, 7: None}
+    assert K.rubric_match(rows, table.limit(0)).filter("rubric is not null").count() == 0
+
+
+def test_headers_and_first_sheets(spark, tmp_path):
+    import io
+    import zipfile
+
+    (tmp_path / "a.csv").write_text("t\nid,a`b,id,\n1,2,3,4\n")
+    (tmp_path / "b.csv").write_text('t\n"a`b",x\n"5, 6",7\n')
+    got = templates.read_csv(spark, str(tmp_path / "*.csv"), 1)
+    assert sorted(got.columns) == sorted(["id0", "a`b", "id2", "_c3", "x"])
+    at = {n: i for i, n in enumerate(got.columns)}
+    rows = sorted(([r[at[n]] for n in ("id0", "a`b", "id2", "_c3", "x")] for r in got.collect()), key=str)
+    assert rows == [["1", "2", "3", "4", None], [None, "5, 6", None, None, "7"]]
+    out = io.BytesIO(templates.workbook([["SECOND"]]))
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("xl/worksheets/sheet12.xml", zipfile.ZipFile(io.BytesIO(templates.workbook([["FIRST"]]))).read("xl/worksheets/sheet1.xml"))
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="b" sheetId="2" r:id="r9"/><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r9" Target="worksheets/sheet12.xml"/></Relationships>')
+    assert templates.first_sheet(out.getvalue()) == [["FIRST"]]
