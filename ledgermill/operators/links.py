@@ -93,6 +93,12 @@ def register_files(files: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("hash", F.coalesce("company_id", "_c").alias("company_id"), F.coalesce("_n", "name").alias("name"), deleted.alias("deleted_at"), event.alias("event"))
 
 
+def migrated(links: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """The links of the other table (``there``) and those that it lacks, once each; ``action`` tells KEPT and MIGRATED ones apart. The old table can be emptied then, and unused entities purged."""
+    missing = links.select(*keys).distinct().join(there.select(*keys), keys, "left_anti").withColumn("action", F.lit("MIGRATED"))
+    return there.select(*keys).withColumn("action", F.lit("KEPT")).unionByName(missing)
+
+
 #: Month names.
 MONTHS = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 

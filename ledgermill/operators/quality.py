@@ -195,3 +195,17 @@ def moved(status: Column, event: Column) -> Column:
     for (before, what), after in MOVES.items():
         out = F.when((event == what) & (F.lit(True) if before is None else status == before), after).otherwise(out)
     return out
+
+
+#: Shown names of fields, categories and statuses.
+LABELS = {
+    "company_type": "Tipo de Empresa", "company_status": "Situação da Empresa", "benefits_law_11196_8248": "Benefícios Lei 11.196/8.248", "capital_origin": "Origem do Capital",
+    "group_relationship": "Relação com Grupo", "gross_operational_revenue": "Receita Operacional Bruta", "net_revenue": "Receita Líquida",
+    "employee_count_with_contract": "Funcionários com Vínculo", "closed_year_with_tax_loss": "Fechou Ano com Prejuízo", "irpj_csll_apportionment": "Apuração IRPJ/CSLL",
+    "incentives_reason": "Motivo Incentivos", "rnd_organizational_structure": "Estrutura Organizacional P&D",
+    "situacao_na_receita": "Situação na Receita", "logradouro": "Logradouro", "numero": "Número", "sigla": "Sigla", "razao_social": "Razão Social", "natureza_juridica": "Natureza Jurídica",
+    "data_fundacao": "Data de Fundação", "complemento": "Complemento", "tipo_endereco": "Tipo de Endereço", "representante_legal": "Representante Legal", "bairro": "Bairro", "cnae": "CNAE",
+    "municipio": "Município", "cod_postal": "Código Postal", "cnpj": "CNPJ", "porte_da_empresa": "Porte da Empresa",
+    "PESQUISA_BASICA": "Pesquisa Básica", "PESQUISA_APLICADA": "Pesquisa Aplicada", "DESENVOLVIMENTO_EXPERIMENTAL": "Desenvolvimento Experimental", "INOVACAO_TECNOLOGICA": "Inovação Tecnológica",
+    "NAO_PREENCHIDO": "Não preenchido", "EM_PREENCHIMENTO": "Em preenchimento", "FINALIZADO": "Finalizado", "SUBMETIDO": "Submetido",
+}

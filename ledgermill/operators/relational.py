@@ -47,6 +47,12 @@ def include(parent: DataFrame, child: DataFrame, key: str, foreign: str, columns
     return parent.join(arrays, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def linked(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of both sides that a link table (left_key, right_key) joins; a pair that it names twice is one. Spark broadcasts a side by its size, or shuffles."""
+    pairs = links.select(left_key, right_key).filter(F.col(left_key).isNotNull() & F.col(right_key).isNotNull()).distinct()
+    return left.join(pairs, left_key).join(right, right_key)
+
+
 def relation_counts(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     for name, (child, foreign) in children.items():
         counts = child.filter(F.col(foreign).isNotNull()).groupBy(F.col(foreign).alias(key)).agg(F.count("*").alias(name))

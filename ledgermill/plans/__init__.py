@@ -1,6 +1,6 @@
 """The query catalogue: ``QUERIES`` and the SQL of each, ``ORACLE_SQL``."""
 
-from . import approvals, catalogue, forms, records
+from . import approvals, catalogue, forms, records, reports
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "approvals", "catalogue", "forms", "records"]
+__all__ = ["ORACLE_SQL", "QUERIES", "approvals", "catalogue", "forms", "records", "reports"]

@@ -10,7 +10,8 @@ from ledgermill.operators import links as K
 from ledgermill.operators import merge as M
 from ledgermill.operators import relational as R
 from ledgermill.operators import traces as T
-from ledgermill.sources import templates
+from ledgermill.operators import versions as V
+from ledgermill.sources import remote, templates
 from ledgermill.sources.tables import scratch
 
 from .registry import money, query
@@ -89,9 +90,18 @@ def delete_actions(customer, orders):
     return counted.select("c_custkey", K.delete_action(F.col("orders")).alias("action"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
+OWNERS = """l AS (SELECT o_custkey AS contact, o_orderkey % 50 AS company, min(o_orderkey) AS link FROM orders WHERE o_custkey % 3 > 0 GROUP BY ALL), t AS (SELECT DISTINCT user_id AS contact, event_id % 50 AS company FROM events)"""
+
+
+@query(f"""WITH {OWNERS} SELECT contact, company, 'MIGRATED' AS action FROM l WHERE (contact, company) NOT IN (SELECT (contact, company) FROM t) UNION ALL SELECT contact, company, 'KEPT' FROM t""")
+def migrate_links(orders, events):
+    links = orders.filter("o_custkey % 3 > 0").select(F.col("o_custkey").alias("contact"), (F.col("o_orderkey") % 50).alias("company"))
+    return K.migrated(links, events.select(F.col("user_id").alias("contact"), (F.col("event_id") % 50).alias("company")).distinct(), ["contact", "company"])
+
+
+@query(f"""WITH {OWNERS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT contact FROM l) AND c_custkey NOT IN (SELECT contact FROM t WHERE company < 10)""")
 def purge_orphans(customer, orders, events):
-    users = [orders.select(F.col("o_custkey").alias("c_custkey")), events.filter("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey"))]
+    users = [orders.filter("o_custkey % 3 > 0").select(F.col("o_custkey").alias("c_custkey")), events.filter("event_id % 50 < 10").select(F.col("user_id").alias("c_custkey"))]
     return K.purge(customer.select("c_custkey"), "c_custkey", users)
 
 
@@ -104,16 +114,24 @@ def file_dedup(part):
     return K.register_files(known, part.filter("p_partkey % 3 = 0").select((F.col("p_partkey") % 300).alias("hash"), F.col("p_size").alias("company_id"), F.col("p_brand").alias("name")))
 
 
-@query("""SELECT user_id AS file, event_type AS type, max(event_id) AS version, arg_max(value, event_id) AS content FROM events GROUP BY ALL""")
+@query("""WITH o AS (SELECT user_id AS file, event_type AS type, count(*) AS version, arg_max(value, event_id) AS content FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+  n AS (SELECT user_id AS file, event_type AS type, arg_max(value, event_id) AS content FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
+  SELECT coalesce(o.file, n.file) AS file, coalesce(o.type, n.type) AS type, CASE WHEN n.file IS NULL THEN version ELSE coalesce(version, 0) + 1 END AS version, coalesce(n.content, o.content) AS content,
+  CASE WHEN n.file IS NULL THEN 'KEPT' WHEN o.file IS NULL THEN 'INSERTED' ELSE 'UPDATED' END AS action FROM o FULL JOIN n ON o.file = n.file AND o.type = n.type""")
 def artifact_upsert(events):
-    rows = events.select(F.col("user_id").alias("file"), F.col("event_type").alias("type"), F.col("event_id").alias("version"), F.col("value").alias("content"))
-    return M.keep_last(rows, ["file", "type"], F.col("version"))
+    rows = lambda odd: events.filter(F.col("event_id") % 2 == odd).groupBy(F.col("user_id").alias("file"), F.col("event_type").alias("type"))
+    content = F.max_by("value", "event_id").alias("content")
+    known = rows(0).agg(F.count("*").alias("version"), content)
+    return V.merge_by_rules(known, rows(1).agg(content, F.lit(1).cast("long").alias("version")), ["file", "type"], {"content": V.given, "version": V.added})
 
 
-@query("""SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0""")
-def link_table_join(supplier, nation, region):
-    links = nation.select("n_nationkey", "n_name", "n_regionkey")
-    return supplier.filter("s_acctbal > 0").join(F.broadcast(links), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
+@query("""WITH k AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier FROM lineitem)
+  SELECT s_suppkey, s_name, count(*) AS parts, count(DISTINCT p_brand) AS brands, min(p_name) AS first_part FROM k JOIN supplier ON s_suppkey = supplier JOIN part ON p_partkey = part WHERE s_acctbal > 0 GROUP BY ALL""")
+def link_table_join(supplier, lineitem, part):
+    # the table of lines names a pair as often as it was delivered
+    links = lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    rows = R.linked(supplier.filter("s_acctbal > 0"), links, part, "s_suppkey", "p_partkey")
+    return rows.groupBy("s_suppkey", "s_name").agg(F.count("*").alias("parts"), F.count_distinct("p_brand").alias("brands"), F.min("p_name").alias("first_part"))
 
 
 @query(f"""WITH {CONTACTS} SELECT count(*) AS total, count(email) AS with_email, count(*) FILTER (id IN (SELECT s_suppkey FROM supplier)) AS with_collaborator, count(*) FILTER (id IN (SELECT user_id FROM events)) AS with_user FROM c""")
@@ -170,27 +188,51 @@ def import_later_header(spark, supplier):
     return templates.read_csv(spark, at, header_row=1).select("number", "name")
 
 
-@query("""SELECT 'o_custkey' AS source, 'customer' AS target UNION ALL SELECT 'o_orderkey', 'order'""")
-def column_map_parse(spark):
-    rows = spark.range(1).select(F.lit('{"o_custkey": "customer", "o_orderkey": "order"}').alias("t"))
-    return rows.select(F.explode(templates.parsed_map(F.col("t"))).alias("source", "target"))
+@query("""SELECT s_suppkey, 'name' AS source, 'n' || s_nationkey AS target FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT s_suppkey, 'E-mail', 'email' FROM supplier WHERE s_suppkey % 3 = 1""")
+def column_map_parse(supplier):
+    third = F.col("s_suppkey") % 3
+    text = F.when(third == 0, "no map").otherwise(F.concat(F.lit('{"name": "n'), F.col("s_nationkey").cast("string"), F.when(third == 1, '", "E-mail": "email"}').otherwise('"}')))
+    return supplier.select("s_suppkey", F.explode(templates.parsed_map(text)).alias("source", "target"))
 
 
-@query("""SELECT 'rows.parquet' AS name, 'file' AS type UNION ALL SELECT 'sub', 'directory'""")
+@query("""SELECT DISTINCT 'region=' || n_regionkey AS name, 'directory' AS type FROM nation UNION ALL SELECT '_SUCCESS', 'file'""")
 def directory_listing(spark, nation):
     at = scratch(spark, "list")
-    nation.write.parquet(f"{at}/sub")
-    nation.limit(1).write.parquet(f"{at}/rows.parquet/")
-    found = templates.listing(spark, at)
-    return found.select("name", F.when(F.col("name") == "rows.parquet", "file").otherwise(F.col("type")).alias("type"))
+    nation.withColumn("region", F.col("n_regionkey")).write.partitionBy("region").parquet(at)
+    return templates.listing(spark, at)
+
+
+def served(args: dict, wanted: dict, offset: int | None, limit: int | None):
+    """Stands for a service: pages of the odd orders, read where the task runs."""
+    import pyarrow.dataset as ds
 
+    rows = ds.dataset(args["path"]).to_table(columns=["o_orderkey", "o_orderstatus"]).to_pylist()
+    rows = [{"id": r["o_orderkey"], "status": r["o_orderstatus"]} for r in rows if r["o_orderkey"] % 2 == 1]
+    rows = [r for r in rows if all(r[k] == v for k, v in wanted.items())]
+    return len(rows) if offset is None else rows[offset : offset + limit]
 
-@query("""SELECT 'local' AS source, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'remote', o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey < 2000""")
-def remote_pages(spark, orders):
+
+@query("""SELECT 'local' AS source, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'remote', o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderstatus = 'O'""")
+def remote_pages(spark, sf_dir, orders):
     local = orders.filter("o_orderkey % 2 = 0").select(F.lit("local").alias("source"), F.col("o_orderkey").alias("id"))
-    wanted = [r.o_orderkey for r in orders.filter("o_orderkey % 2 = 1 and o_orderkey < 2000").select("o_orderkey").collect()]
-    pages = templates.paged(spark, lambda offset, limit: [("remote", x) for x in wanted[offset : offset + limit]], len(wanted), "source string, id long", limit=100)
-    return local.unionByName(pages)
+    pages = remote.paged(spark, f"{__name__}:served", "id long, status string", {"path": f"{sf_dir}/orders.parquet"}, page=20_000)
+    return local.unionByName(pages.filter("status = 'O'").select(F.lit("remote").alias("source"), "id"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def registry_lookup(spark, sf_dir, orders):
+    path = f"{sf_dir}/customer.parquet"
+
+    def registry(keys: list) -> dict:
+        import pyarrow.dataset as ds
+
+        found = ds.dataset(path).to_table(columns=["c_custkey", "c_name"], filter=ds.field("c_custkey").isin(keys)).to_pylist()
+        return {r["c_custkey"]: {"nome": r["c_name"]} for r in found if r["c_custkey"] % 4 > 0}
+
+    cache = scratch(spark, "registry")
+    remote.looked_up(orders.filter("o_orderkey % 3 = 0"), "o_custkey", registry, "said", cache, batch=1000).count()
+    found = remote.looked_up(orders, "o_custkey", registry, "said", cache, batch=1000)
+    return found.select("o_orderkey", F.get_json_object("said", "$.nome").alias("name"))
 
 
 # filters and projections
@@ -310,3 +352,52 @@ def rubric_match(part, supplier):
 def rubric_rules(supplier):
     pattern = F.when(F.col("s_suppkey") % 10 == 3, F.concat(F.lit("["), F.col("s_name"))).otherwise(F.regexp_replace("s_name", "#", "."))
     return K.checked_rules(supplier.select(F.col("s_suppkey").alias("rule"), F.lit("DESC_REGEX").alias("kind"), pattern.alias("pattern"))).select("rule", "error")
+
+
+# versions and merges by rules
+
+
+@query("""WITH n AS (SELECT o_custkey AS k, max(o_totalprice) AS price, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS last, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 UNION ALL SELECT -1, 5, NULL, 1),
+  b AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS top, c_mktsegment AS segment, c_nationkey::BIGINT AS n FROM customer)
+  SELECT coalesce(b.k, n.k) AS k, CASE WHEN b.k IS NULL THEN 'none' ELSE name END AS name, CASE WHEN n.k IS NULL THEN top ELSE greatest(top, price) END AS top, CASE WHEN b.k IS NULL THEN NULL ELSE coalesce(last, segment) END AS segment,
+  CASE WHEN n.k IS NULL THEN b.n WHEN b.k IS NULL THEN n.n ELSE b.n + n.n END AS n, CASE WHEN n.k IS NULL THEN 'KEPT' WHEN b.k IS NULL THEN 'INSERTED' ELSE 'UPDATED' END AS action FROM b FULL JOIN n ON b.k = n.k""")
+def merge_by_rules(spark, customer, orders):
+    base = customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("top"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("long").alias("n"))
+    at = F.struct("o_orderdate", "o_orderkey")
+    changes = orders.filter("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("top"), F.max_by("o_orderpriority", at).alias("segment"), F.count("*").alias("n"))
+    changes = changes.unionByName(spark.createDataFrame([(-1, 5.0, None, 1)], "k long, top double, segment string, n long"))
+    return V.merge_by_rules(base, changes, ["k"], {"top": V.greatest, "segment": V.given, "n": V.added}, {"name": F.lit("none")})
+
+
+def _history(customer, orders):
+    day = lambda text: F.to_date(F.lit(text))
+    third, first = F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")
+    rows = lambda df, start, end, closed, segment: df.select(F.col("c_custkey").alias("k"), segment.alias("segment"), F.col("c_acctbal").alias("balance"), start.alias("valid_from"), end.alias("valid_to"), F.lit(closed).alias("closed"))
+    none = F.lit(None).cast("date")
+    history = rows(customer.filter(third), day("1990-01-01"), day("1999-01-01"), True, first).unionByName(rows(customer.filter(third), day("1999-01-01"), none, False, F.lit(None).cast("string"))).unionByName(rows(customer.filter(~third), day("1990-01-01"), none, False, first))
+    even, third_order = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0
+    changes = orders.select(F.col("o_custkey").alias("k"), F.when(third_order, F.col("o_orderpriority")).alias("segment"), F.when(even, F.col("o_totalprice")).alias("balance"), F.to_date("o_orderdate").alias("at"), "o_orderkey")
+    return V.apply_changes(history, changes, ["k"], ["segment", "balance"], "at", "o_orderkey")
+
+
+HISTORY = """h AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_acctbal AS balance, DATE '1990-01-01' AS vf, CASE WHEN c_custkey % 3 = 0 THEN DATE '1999-01-01' END AS vt, c_custkey % 3 = 0 AS closed FROM customer
+    UNION ALL SELECT c_custkey, NULL, c_acctbal, DATE '1999-01-01', NULL, FALSE FROM customer WHERE c_custkey % 3 = 0),
+  c AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS segment, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS balance, o_orderdate::DATE AS at_, o_orderkey FROM orders),
+  no AS (SELECT o_orderkey FROM c JOIN h ON h.k = c.k AND closed AND at_ >= vf AND at_ < vt)"""
+
+
+@query(f"""WITH {HISTORY},
+  p AS (SELECT k, vf AS at_, 0 AS kind, NULL AS o, closed, vt, [segment] AS s, [balance] AS b FROM h UNION ALL
+    SELECT k, at_, 1, o_orderkey, FALSE, NULL, CASE WHEN segment IS NOT NULL THEN [segment] END, CASE WHEN balance IS NOT NULL THEN [balance] END FROM c WHERE o_orderkey NOT IN (SELECT o_orderkey FROM no)),
+  f AS (SELECT k, at_, kind, o, closed, vt, last_value(s IGNORE NULLS) OVER w AS s, last_value(b IGNORE NULLS) OVER w AS b FROM p WINDOW w AS (PARTITION BY k ORDER BY at_, kind, o ROWS UNBOUNDED PRECEDING)),
+  l AS (SELECT *, row_number() OVER (PARTITION BY k, at_ ORDER BY kind DESC, o DESC) AS r FROM f),
+  g AS (SELECT *, lag(s) OVER w AS ps, lag(b) OVER w AS pb, lag(closed) OVER w AS pc FROM l WHERE r = 1 WINDOW w AS (PARTITION BY k ORDER BY at_)),
+  v AS (SELECT * FROM g WHERE closed OR pc IS NULL OR pc OR s IS DISTINCT FROM ps OR b IS DISTINCT FROM pb)
+  SELECT k, s[1] AS segment, b[1] AS balance, at_ AS valid_from, CASE WHEN closed THEN vt ELSE lead(at_) OVER (PARTITION BY k ORDER BY at_) END AS valid_to, closed FROM v""")
+def versions(customer, orders):
+    return _history(customer, orders)[0]
+
+
+@query(f"WITH {HISTORY} SELECT k, o_orderkey FROM c WHERE o_orderkey IN (SELECT o_orderkey FROM no)")
+def refused_changes(customer, orders):
+    return _history(customer, orders)[1].select("k", "o_orderkey")

@@ -156,19 +156,6 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "name string, type string")
 
 
-def paged(spark: SparkSession, fetch, total: int, schema: str, limit: int = 1000) -> DataFrame:
-    """Rows of a remote source, fetched page by page in tasks: ``fetch(offset, limit)`` gives the rows of a page as tuples."""
-    pages = spark.range(0, max(-(-total // limit), 1), 1, max(-(-total // limit), 1))
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(parts):
-        for part in parts:
-            for page in part["id"]:
-                yield pd.DataFrame(fetch(int(page) * limit, limit), columns=names)
-
-    return pages.mapInPandas(run, schema)
-
-
 def map_columns(rows: DataFrame, column_map: dict[str, str], strict: bool = False, check: list[str] | None = None) -> DataFrame:
     """Columns by the template's source -> target map; a missing source is null. Of several sources of a target the first value that isn't
     null counts; with ``strict`` the last source counts, even if null. Adds ``status`` (a row without a value in the targets, or in those to ``check``, is an ERROR) and ``error_message``."""
@@ -191,7 +178,37 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
-def write_report(df: DataFrame, path: str, filters: dict[str, str], generated_at: Column) -> None:
-    """A JSON line for each row, with the filters and the time."""
+def write_report(rows: DataFrame, path: str, filters: dict[str, str], generated_at: Column) -> None:
+    """A JSON document for each row (say, a batch with its arrays of events, intakes and jobs), a line each, with the filters it was made by and the time."""
     told = F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("filters")
-    df.select(F.to_json(F.struct(told, generated_at.alias("generatedAt"), *df.columns)).alias("value")).write.mode("overwrite").text(path)
+    rows.select(F.to_json(F.struct(told, generated_at.alias("generatedAt"), *rows.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_artifacts(extractions: DataFrame, path: str) -> None:
+    """The raw text and the normalized document (raw_text, payload; JSON text) of every extraction (request_id), as the first version of an artifact each, a folder for each type. The folders of
+    both types are replaced; rows without a value are left out."""
+    artifact = lambda kind, text, document: F.struct(F.lit(kind).alias("artifact_type"), F.lit(1).alias("artifact_version"), text.alias("content_text"), document.alias("content_json"))
+    none = F.lit(None).cast("string")
+    both = F.explode(F.array(artifact("RAW_TEXT", F.col("raw_text"), none), artifact("NORMALIZED_JSON", none, F.col("payload")))).alias("a")
+    rows = extractions.select("request_id", both).select("request_id", "a.*").filter(F.coalesce("content_text", "content_json").isNotNull())
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("artifact_type").parquet(path)
+
+
+def extracted_texts(files: DataFrame, extractors: list) -> DataFrame:
+    """path, text_0, text_1 ... of files (path, content, as read by ``binaryFile``): what each extractor, a function from bytes to a text, finds; null where it fails. The library brings none of its own;
+    ``forms.usable_text`` chooses between the first two."""
+    schema = pa.schema([("path", pa.string()), *((f"text_{i}", pa.string()) for i in range(len(extractors)))])
+
+    def tried(extract, content: bytes) -> str | None:
+        try:
+            return extract(content)
+        except Exception:  # whatever a library raises on a damaged file
+            return None
+
+    def run(batches):
+        for batch in batches:
+            contents = batch.column("content").to_pylist()
+            texts = [pa.array([None if c is None else tried(e, c) for c in contents], pa.string()) for e in extractors]
+            yield pa.RecordBatch.from_arrays([batch.column("path").cast(pa.string()), *texts], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{f.name} string" for f in schema))
