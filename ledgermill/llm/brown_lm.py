@@ -18,9 +18,7 @@ labels, and the neighbours by class of the dealt units come to the driver.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +36,10 @@ SHAPES = 16
 SMALL = 24
 #: The most frequent units are dealt over ``PARTS`` buckets.
 SPLIT, PARTS = 256, 16
+#: Units whose neighbours by class are counted at a time.
+SLICE = 512
 #: Tokens of a bucket, about, and those that are held before equal ones are added up.
-BUCKET, HELD = 500_000, 4_000_000
-_DIGIT = re.compile(rb"[0-9]").search
+BUCKET, HELD = 500_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -55,59 +54,99 @@ class Settings:
     add: float = 0.5  #: added to a unit's count in an emission
 
 
-def tokens(raw: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lowered."""
-    return raw.lower().split()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: A random number for each byte at each place of a word; a word's hash mixes the sum of its bytes' numbers.
+_NUMBERS = _mixed(np.arange(1, 256 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: What bytes tell of a word's shape: 1 a digit, 2 beyond ASCII; and whether a last byte is neither letter nor digit.
+_BYTE = np.array([(48 <= b <= 57) + 2 * (b >= 128) for b in range(256)], np.uint8)
+_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+class Tokens:
+    """Words of some texts between ASCII white space, A-Z lowered: each one's place among the distinct ones, the number of words of each text, and of the distinct
+    ones 64-bit hash and shape. Whatever is done for a word is done for the distinct ones at once."""
+
+    def __init__(self, texts: pa.Array):
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+        found = lists.flatten().dictionary_encode()
+        place, words = found.indices.to_numpy(), found.dictionary
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32).astype(np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.ends = ends - ends[0]
+        sizes = np.diff(self.ends)
+        if len(empty := np.flatnonzero(sizes == 0)):  # of texts without words
+            self.sizes[np.repeat(np.arange(len(self.sizes)), self.sizes)[place == empty[0]]] = 0
+            place = place[place != empty[0]]
+            place = place - (place > empty[0])
+            self.ends, sizes = np.delete(self.ends, empty[0]), np.delete(sizes, empty[0])
+        self.place, starts = place, self.ends[:-1]
+        if not len(sizes):
+            self.hashes, self.shapes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        at = np.arange(len(data)) - np.repeat(starts, sizes)
+        numbers = _NUMBERS[(at & 255) << 8 | data]
+        if (long_ := at > 255).any():
+            numbers[long_] = _mixed(numbers[long_] + (at[long_] >> 8).astype(np.uint64))
+        self.hashes = _mixed(np.add.reduceat(numbers, starts) + sizes.astype(np.uint64)).view(np.int64)
+        flags = np.bitwise_or.reduceat(_BYTE[data], starts).astype(np.int64)
+        self.shapes = flags + 4 * _MARK[data[self.ends[1:] - 1]] + 8 * (sizes > 8)
 
 
-def word_hash(word: bytes) -> int:
+def text_hash(raw: bytes) -> int:
     import xxhash
 
-    return common.signed(xxhash.xxh3_64_intdigest(word))
-
-
-def shape(word: bytes) -> int:
-    return bool(_DIGIT(word)) + 2 * (not word.isascii()) + 4 * (not (word[-1:].isalnum() or word[-1] >= 128)) + 8 * (len(word) > 8)
+    return common.signed(xxhash.xxh3_64_intdigest(raw))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    """h, n and shape of the words of a task, added up over some texts at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([shape(w) for w in seen], pa.int32())], ["h", "n", "shape"])
+        h, n, shapes = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(at, n).astype(np.int64)), pa.array(shapes[first].astype(np.int32))], ["h", "n", "shape"])
 
-    for batch in common.slices(batches):
-        for raw in common.text_bytes(batch.column("text")):
-            seen.update(tokens(raw))
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-    yield out()
+    for batch in batches:
+        t = Tokens(batch.column("text"))
+        held.append((t.hashes, np.bincount(t.place, minlength=len(t.hashes)), t.shapes))
+        size += len(t.hashes)
+        if size > 4 * FLUSH:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
-class Units(dict):
-    """Word to unit: 0 is the end of a text, then the words of ``hashes`` (sorted, with their units), then the shapes. Knows the words it was
-    last told of, and a bounded number of others."""
+class Units:
+    """Word to unit: 0 is the end of a text, then the words of ``hashes`` (sorted, with their units), then the shapes."""
 
     def __init__(self, hashes: np.ndarray, units: np.ndarray):
-        super().__init__()
         self.hashes, self.units, self.shapes = hashes, units, len(hashes) + 1
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > 400_000:
-            self.clear()
-        new = list(set().union(*texts).difference(self))
-        if not new:
-            return
-        h = np.array([word_hash(w) for w in new], np.int64)
-        at = np.minimum(self.hashes.searchsorted(h), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        units = self.units[at].tolist() if len(self.hashes) else [0] * len(h)
-        self.update((w, u if k else self.shapes + shape(w)) for w, u, k in zip(new, units, known.tolist(), strict=True))
+    def of(self, t: Tokens) -> np.ndarray:
+        """The units of distinct words."""
+        if not len(self.hashes):
+            return (self.shapes + t.shapes).astype(np.int32)
+        order = np.argsort(t.hashes)  # a search in order stays in the cache
+        h = t.hashes[order]
+        at = np.minimum(self.hashes.searchsorted(h), len(self.hashes) - 1)
+        found = np.where(self.hashes[at] == h, self.units[at], self.shapes + t.shapes[order])
+        out = np.empty(len(h), np.int32)
+        out[order] = found
+        return out
 
-    def __missing__(self, word: bytes) -> int:
-        self.learn([[word]])
-        return self[word]
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.of(Tokens(pa.array([word.decode()])))[0])
 
 
 def _bucket(unit: np.ndarray, part: int, buckets: int) -> np.ndarray:
@@ -134,11 +173,13 @@ def _near_lists(words, buckets: int):
     """For each bucket of units what comes after and before them in a run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, row, part = Units(*words.value), [0], 0
+        units, part = Units(*words.value), 0
+        end = np.zeros(1, np.int32)
+        row, size = [end], 1
 
         def out():
             # every unit of a run is followed and preceded equally often, as it begins and ends with an end
-            x = np.array(row, np.int32)
+            x = np.concatenate(row)
             u, v = x[:-1], x[1:]
             b, sides = None, []
             for unit, other in ((u, v), (v, u)):
@@ -151,17 +192,17 @@ def _near_lists(words, buckets: int):
             for at in range(0, len(starts), 64):
                 yield _rows([(int(b[i]), *_lists(sides[0][0][i:j], sides[0][1][i:j]), *_lists(sides[1][0][i:j], sides[1][1][i:j])) for i, j in zip(starts[at : at + 64], ends[at : at + 64], strict=True)])
 
-        for batch in common.slices(batches):
-            raws = common.text_bytes(batch.column("text"))
-            part = part or zlib.crc32(b"".join(raws[:1]))
-            texts = [tokens(raw) for raw in raws]
-            units.learn(texts)
-            for words_ in texts:
-                row += map(units.__getitem__, words_)
-                row.append(0)
-                if len(row) > 4 * FLUSH:
-                    yield from out()
-                    row, part = [0], part + 1
+        for batch in batches:
+            part = part or zlib.crc32((batch.column("text")[0].as_py() or "").encode()[:1000])
+            t = Tokens(batch.column("text"))
+            # every text's units, and an end after them
+            x = np.zeros(len(t.place) + len(t.sizes), np.int32)
+            x[np.arange(len(t.place)) + np.repeat(np.arange(len(t.sizes)), t.sizes)] = units.of(t)[t.place]
+            row.append(x)
+            size += len(x)
+            if size > 4 * FLUSH:
+                yield from out()
+                row, size, part = [end], 1, part + 1
         yield from out()
 
     return run
@@ -299,22 +340,21 @@ class Gains:
         return total
 
 
-def _by_class(side: Side, units: np.ndarray, keep: np.ndarray, labels: np.ndarray, classes: int, with_loops: bool = False):
-    """Of ``units`` (a bucket's; those of ``keep`` only) the neighbours by class, without those that have none, and those that are the unit itself."""
-    row = np.full(len(units), -1, np.int32)
-    row[keep] = np.arange(len(keep))
-    place = row[np.searchsorted(units, side.units)]
-    entry = np.repeat(place, side.sizes)
-    v, n = side.v, side.n
-    if len(keep) < len(units):
-        some = np.flatnonzero(entry >= 0)
-        entry, v, n = entry[some], v[some], None if n is None else n[some]
-    c = np.minimum(labels[v], classes)
-    found = np.bincount(entry.astype(np.int64) * (classes + 1) + c, n, len(keep) * (classes + 1)).reshape(len(keep), classes + 1)[:, :classes].astype(float)
-    loops = np.zeros(len(keep))
+def _by_class(side: Side, ends: np.ndarray, units: np.ndarray, labels: np.ndarray, classes: int, with_loops: bool = False):
+    """Of some ``units`` (sorted) the neighbours by class, without those that have none, and those that are the unit itself. ``ends``: where each unit of the side ends."""
+    k = len(units)
+    i, j = np.searchsorted(side.units, units[0]), np.searchsorted(side.units, units[-1], "right")
+    own = side.units[i:j]
+    row = np.minimum(np.searchsorted(units, own), k - 1)
+    row = np.where(units[row] == own, row, k)  # the others' go to a row of their own
+    start, end = (ends[i - 1] if i else 0), (ends[j - 1] if j else 0)
+    entry, v = np.repeat(row, side.sizes[i:j]), side.v[start:end]
+    n = None if side.n is None else side.n[start:end]
+    found = np.bincount(entry * (classes + 1) + np.minimum(labels[v], classes), n, (k + 1) * (classes + 1)).reshape(k + 1, classes + 1)[:k, :classes].astype(float)
+    loops = np.zeros(k)
     if with_loops:
-        own = np.flatnonzero(v == units[keep][entry])
-        loops = np.bincount(entry[own], None if n is None else n[own], len(keep)) * (labels[units[keep]] < classes)
+        self_ = np.flatnonzero(v == np.append(units, -1)[entry])
+        loops = np.bincount(entry[self_], None if n is None else n[self_], k)[:k] * (labels[units] < classes)
     return found, loops
 
 
@@ -322,15 +362,16 @@ def _cells(labels, classes: int):
     """Class bigram counts, as rows (i, n) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((classes + 1, classes))
+        cells = np.zeros((classes + 1) ** 2)
+        of = np.minimum(labels.value, classes)
         for batch in batches:
             for lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 side = Side(*lists)
-                after, _ = _by_class(side, side.units, np.arange(len(side.units)), labels.value, classes)
-                np.add.at(cells, np.minimum(labels.value[side.units], classes), after)
-        cells = cells[:classes]
+                pair = np.repeat(of[side.units].astype(np.int32) * (classes + 1), side.sizes) + of[side.v]
+                cells += np.bincount(pair, side.n, len(cells))
+        cells = cells.reshape(classes + 1, -1)[:classes, :classes].ravel()
         i = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(cells.ravel()[i].astype(np.int64))], ["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(cells[i].astype(np.int64))], ["i", "n"])
 
     return run
 
@@ -369,16 +410,20 @@ def _moves(labels, cells: np.ndarray, fit: bool, turn: int, share: float):
             for _, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 one, other = Side(*lists[:4]), Side(*lists[4:])
                 units = np.union1d(one.units, other.units)
-                keep = mover.wanted(units)
-                if not len(keep):
-                    continue
-                (after, loops), (before, _) = _by_class(one, units, keep, mover.labels, mover.classes, True), _by_class(other, units, keep, mover.labels, mover.classes)
-                unit = units[keep]
-                whole = unit >= SPLIT
-                moved, to = mover.best(unit[whole], after[whole], before[whole], loops[whole])
-                part = np.flatnonzero(~whole)
-                counts = [np.concatenate([after[i], before[i], loops[i : i + 1]]).tobytes() for i in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([moved, unit[part]]).astype(np.int32)), pa.array(np.concatenate([to, np.full(len(part), -1)]).astype(np.int32)), pa.array([None] * len(moved) + counts, pa.binary())], ["unit", "to", "counts"])
+                wanted = units[mover.wanted(units)]
+                ends = np.cumsum(one.sizes, dtype=np.int64), np.cumsum(other.sizes, dtype=np.int64)
+                found = [told(mover, wanted[at : at + SLICE], one, other, ends) for at in range(0, len(wanted), SLICE)]
+                if found:
+                    unit, to = (np.concatenate([f[i] for f in found]).astype(np.int32) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(to), pa.array([c for f in found for c in f[2]], pa.binary())], ["unit", "to", "counts"])
+
+    def told(mover, unit, one, other, ends):
+        (after, loops), (before, _) = _by_class(one, ends[0], unit, mover.labels, mover.classes, True), _by_class(other, ends[1], unit, mover.labels, mover.classes)
+        whole = unit >= SPLIT
+        moved, to = mover.best(unit[whole], after[whole], before[whole], loops[whole])
+        part = np.flatnonzero(~whole)
+        counts = [np.concatenate([after[i], before[i], loops[i : i + 1]]).tobytes() for i in part]
+        return np.concatenate([moved, unit[part]]), np.concatenate([to, np.full(len(part), -1)]), [None] * len(moved) + counts
 
     return run
 
@@ -449,30 +494,32 @@ def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         units, n_classes, of, step, emit, log = Units(*m["words"]), m["classes"], m["of"], m["step"], m["emit"], m["log"]
-        for batch in common.slices(batches):
-            cols: list[list] = [[] for _ in schema]
-            raws = common.text_bytes(batch.column("text"))
-            texts = [tokens(raw) for raw in raws]
-            units.learn(texts)
-            for doc_id, raw, words in zip(batch.column("doc_id").to_pylist(), raws, texts, strict=True):
-                u = np.zeros(len(words) + 2, np.int64)
-                u[1:-1] = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-                c, mine = of[u], u[1:]
-                other = np.flatnonzero(mine >= units.shapes)
-                score = float(step[c[:-1] * n_classes + c[1:]].sum() + emit[mine].sum())
-                n = len(mine)
-                key = word_hash(raw)
-                # the first row's key is no word's and spreads the rows; it counts for nothing
-                rows = [(doc_id, key, key, 0, 1, n, n - len(other) - 1 + m["ends"], float(log[mine].sum()) - n * m["norm"], score)]
-                rest = Counter([words[j] for j in other.tolist()])
-                rows += [(doc_id, key, word_hash(w), f, 0, 0, 0, 0.0, 0.0) for w, f in rest.items()]
-                for row in rows:
-                    for col, v in zip(cols, row, strict=True):
-                        col.append(v)
-                if len(cols[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
-                    cols = [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+        for batch in batches:
+            t, raws = Tokens(batch.column("text")), common.text_bytes(batch.column("text"))
+            k, sizes = len(raws), t.sizes
+            unit = units.of(t)[t.place]
+            doc, starts = np.repeat(np.arange(k), sizes), np.cumsum(sizes + 1) - sizes - 1
+            u = np.zeros(len(unit) + k, np.int64)  # every text's units and an end
+            u[np.arange(len(unit)) + doc] = unit
+            c = of[u]
+            before = np.empty_like(c)
+            before[1:] = c[:-1]
+            before[starts] = of[0]
+            score = np.add.reduceat(step[before * n_classes + c] + emit[u], starts) if k else np.zeros(0)
+            base = np.add.reduceat(log[u], starts) - (sizes + 1) * m["norm"] if k else np.zeros(0)
+            # words without a unit of their own: each text's distinct ones
+            rare = np.flatnonzero(unit >= units.shapes)
+            pair, f = np.unique(doc[rare].astype(np.int64) * len(t.hashes) + t.place[rare], return_counts=True)
+            d, h = pair // max(len(t.hashes), 1), t.hashes[pair % max(len(t.hashes), 1)]
+            known = sizes - np.bincount(doc[rare], minlength=k) + m["ends"]
+            ids, keys = batch.column("doc_id"), np.array([text_hash(raw) for raw in raws], np.int64)
+            none = np.zeros(len(d), np.int64)
+            # the first row's key is no word's and spreads the rows; it counts for nothing
+            for at in range(0, k + len(d), 50_000):
+                x = slice(at, at + 50_000)
+                row = np.r_[np.arange(k), d][x]
+                both = lambda a, b: pa.array(np.concatenate([a, b])[x])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(keys[row]), both(keys, h), both(np.zeros(k, np.int64), f), both(np.ones(k, np.int64), none), both(sizes + 1, none), both(known, none), both(base, none.astype(float)), both(score, none.astype(float))], schema=schema)
 
     return common.frugal(run)
 

@@ -249,3 +249,25 @@ def test_alignment_encoder_and_empty_table(none):
     texts = [t for _, t, _ in rows() if t] + ["a" * 50_000, " \n" * 30_000, "don't <|endoftext|>　x\x00y"]
     assert fast(texts) == [e.ids for e in fast.library.encode_batch(texts, add_special_tokens=False)]
     assert alignment.unpacked(alignment.packed(np.array([1, 70_000]))).tolist() == [1, 70_000]
+
+
+def test_words_of_many_texts():
+    """Words, hashes and shapes that are told for distinct words at once, against each word by itself."""
+    import pyarrow as pa
+
+    from ledgermill.llm.brown_lm import Tokens
+
+    rng, letters = random.Random(3), list("ab \t\n\x0b\x0c\r\x1c\xa0É　Z9.")
+    for it in range(200):
+        texts = [rng.choice([None, "", "x" * rng.randrange(700)]) if rng.random() < 0.3 else "".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(rng.randrange(12))]
+        at = rng.randrange(len(texts) + 1)
+        got = Tokens(pa.array(texts, pa.string() if it % 2 else pa.large_string()).slice(at))
+        words = [(t or "").encode().lower().split() for t in texts[at:]]
+        assert got.sizes.tolist() == list(map(len, words))
+        of = {}
+        for place, word in zip(got.place.tolist(), [w for ws in words for w in ws], strict=True):
+            assert of.setdefault(place, word) == word
+        assert len(set(of.values())) == len(of) == len(got.hashes)
+        for place, word in of.items():
+            shape = any(48 <= b <= 57 for b in word) + 2 * (not word.isascii()) + 4 * (not (word[-1:].isalnum() or word[-1] >= 128)) + 8 * (len(word) > 8)
+            assert got.shapes[place] == shape and got.hashes[place] == Tokens(pa.array([word.decode()])).hashes[0]
