@@ -271,3 +271,26 @@ def test_words_of_many_texts():
         for place, word in of.items():
             shape = any(48 <= b <= 57 for b in word) + 2 * (not word.isascii()) + 4 * (not (word[-1:].isalnum() or word[-1] >= 128)) + 8 * (len(word) > 8)
             assert got.shapes[place] == shape and got.hashes[place] == Tokens(pa.array([word.decode()])).hashes[0]
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_url_words_and_tokens_without_limits(spark, monkeypatch, bits):
+    """With three broadcast words and tokens, and keys that are broadcast from two rows on, verdicts and scores are those of the whole models."""
+    from ledgermill.llm import url_filter
+    from ledgermill.llm.queries import RULES
+
+    rng = random.Random(14)
+    words = ["red", "stone", "green", "house", "blue", "lake", "r", "onegreen", "x" * 60, "straße", "señal"]
+    pages = []
+    for i in range(150):
+        name = lambda: "".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5])))
+        pages.append((i // 2, f"http://{name()}{rng.choice(['.com', '.net', '.org'])}/{rng.choice(['es', 'en', 'fr'])}/{name()}{rng.randrange(99)}", "<p>" + " ".join(rng.choices(words, k=rng.choice([0, 3]))) + "</p>"))
+    pages += [(900, None, None), (901, "http://" + "redstone" * 700 + ".org/", ""), (902, "x://a.b/" + "q" * 3000, None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    whole = Counter(tuple(r)[:5] + (round(r.score, 9),) for r in url_filter.filter_urls(table, RULES).collect())
+    for name, n in (("WORDS", 3), ("TOKENS", 3), ("LARGE", 2), ("BITS", bits)):
+        monkeypatch.setattr(url_filter, name, n)
+    assert Counter(tuple(r)[:5] + (round(r.score, 9),) for r in url_filter.filter_urls(table, RULES).collect()) == whole
+    monkeypatch.setattr(url_filter, "WORDS", 10**6)
+    long_ = url_filter.Segmenter({"red": 9, "stone": 7, "redstoneredstone": 1})
+    assert long_.split("redstone" * 3) in [("redstoneredstone", "red", "stone"), ("red", "stone", "redstoneredstone")] and long_.split("qqq" * 500) == ("qqq" * 500,)
