@@ -11,6 +11,7 @@ these to the target recall. Benchmark items are broadcast in blocks of bounded s
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ class Settings:
     sampled: int = 2  #: positions of an embedding in one hash
     most_walks: int = 192
     trials: int = 120  #: pairs of each kind by which a length's walks are measured
-    block_chars: int = 16_000_000  #: of items that are broadcast at once
+    block_chars: int = 2_000_000  #: of items that are broadcast at once, about 150 MB in a worker
     seed: int = 7
 
 
@@ -253,11 +254,20 @@ def _stretches(places: list[int], must: int, width: int, end: int) -> list[tuple
     return out
 
 
+#: The finder of the last block in this Python worker, which later tasks of the block use again.
+_KEPT: dict[str, Finder] = {}
+
+
 def _found(items, walks: dict[int, int], settings: Settings):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32())])
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(items.value, walks, settings)
+        if name not in _KEPT:
+            _KEPT.clear()
+            _KEPT[name] = Finder(items.value, walks, settings)
+        finder = _KEPT[name]
         for batch in common.slices(batches):
             rows = [(d, *m) for d, raw in zip(batch.column("doc_id").to_pylist(), common.text_bytes(batch.column("text")), strict=True) for m in finder.find(raw)]
             if rows:

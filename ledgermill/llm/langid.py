@@ -1,12 +1,13 @@
 """Language identification by cross-parsing: a text is cut greedily into the longest phrases that occur in a language's sample, by
 the suffix automaton of that sample; the language that needs the fewest phrases, normalised by its sample's length, wins.
 
-The automata are made from a bounded sample of labelled texts and are laid out as tables, so that all languages and many pieces of text
-advance by one letter at a time together. Each row is judged for itself: nothing is shuffled.
+The automata are made from a bounded sample of labelled texts (at most 64 texts of 400 letters, 25,600 letters, a language) and are laid out as tables, so that many pieces of text
+advance by one letter at a time together; with many languages or letters the tables hold the transitions only. Each row is judged for itself: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,8 @@ SAMPLE_TEXTS, EXCERPTS, EXCERPT = 64, 5, 80
 #: Letters of the pieces of a text that advance together; the parse is carried from each into the next.
 PIECE = 512
 BLANK, STRANGE, BREAK, PAD = 0, 1, 2, 3
+#: States by letters up to which transitions are dense tables (64 MB); with more they are laid over each other, which takes longer.
+CELLS = 1 << 24
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -60,10 +63,78 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+class Dense:
+    """Transitions as one table of all states by all letters. A value is the next state's row and, as the lowest bit, whether a phrase has started."""
+
+    def __init__(self, automaton: list[dict[int, int]], size: int):
+        self.root = 0
+        table = np.full((len(automaton), size), -1, np.int64)
+        for s, out in enumerate(automaton):
+            for c, to in out.items():
+                table[s, c] = to * size
+        # where a phrase can't go on, the next one starts
+        begin = np.maximum(table[0], 0)
+        table = np.where(table >= 0, table * 2, begin * 2 + 1)
+        table[0] = begin * 2 + 1
+        table[:, PAD] = 0
+        self.table = table.astype(np.int32).ravel()
+
+    def step(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = self.table.take(state + letters)
+        return to >> 1, to & 1
+
+
+class Sparse:
+    """Transitions of all states laid over each other in one row: a state's stand at its base and the letter, and each place names the state that it
+    belongs to. Most states have one transition and fill the gaps, so there are little more places than transitions, whatever the number of letters."""
+
+    def __init__(self, automaton: list[dict[int, int]], size: int):
+        self.root = 0
+        self.begin = np.zeros(size, np.int32)
+        for c, to in automaton[0].items():
+            self.begin[c] = to
+        self.counts = np.ones(size, np.int32)
+        self.counts[PAD] = 0
+        # the root starts a phrase with every letter, so it has no row
+        rows = [(s, sorted(out)) for s, out in enumerate(automaton) if s and out]
+        several = sorted((r for r in rows if len(r[1]) > 1), key=lambda r: -len(r[1]))
+        single = [r for r in rows if len(r[1]) == 1]
+        # half of the places stay free for the states with several transitions, so a few tries find a base for each
+        used = np.zeros(size + 4 * sum(len(cs) for _, cs in several) + sum(len(cs) for _, cs in single) + 1, bool)
+        self.base = np.zeros(len(automaton), np.int32)
+        rng = np.random.default_rng(1)
+        tries = iter(())
+        for s, cs in several:
+            first = np.array(cs)
+            while True:
+                if (at := next(tries, None)) is None:
+                    tries = iter(rng.integers(1, len(used) - size + 1, 4096).tolist())
+                elif not used[at + first].any():
+                    break
+            self.base[s] = at
+            used[at + first] = True
+        free = np.flatnonzero(~used[size:]) + size
+        if len(free) < len(single):
+            free = np.concatenate([free, len(used) + np.arange(len(single) - len(free))])
+        for (s, cs), place in zip(single, free.tolist(), strict=False):
+            self.base[s] = place - cs[0]
+        ends = max((int(self.base[s]) + cs[-1] for s, cs in rows), default=0)
+        width = max(ends, int(self.base.max(initial=0)) + size) + 1
+        self.of, self.to = np.full(width, -1, np.int32), np.zeros(width, np.int32)
+        states = np.repeat([s for s, _ in rows], [len(cs) for _, cs in rows]).astype(np.int64)
+        place = self.base[states] + np.array([c for _, cs in rows for c in cs], np.int64)
+        self.of[place], self.to[place] = states, [automaton[s][c] for s, cs in rows for c in cs]
+
+    def step(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = self.base.take(state) + letters
+        goes_on = self.of.take(place) == state
+        return np.where(goes_on, self.to.take(place), self.begin.take(letters)), np.where(goes_on, 0, self.counts.take(letters))
+
+
 class Parser:
     """Phrase counts of texts against the samples of all languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], cells: int = CELLS):
         self.languages = sorted(samples)
         lowered = {x: [t.lower() for t in samples[x]] for x in self.languages}
         alphabet = sorted({c for texts in lowered.values() for t in texts for c in t if c.isalpha()})
@@ -74,28 +145,10 @@ class Parser:
             self.ids[ord(c)] = i
             if len(c.upper()) == 1 and c.upper().lower() == c:
                 self.ids[ord(c.upper())] = i
-        tables, self.roots, lengths, states = [], [], [], 0
-        for x in self.languages:
-            symbols = [s for t in lowered[x] for s in (*self.symbols(t).tolist(), BREAK)]
-            automaton = suffix_automaton(symbols)
-            root = states * self.size
-            table = np.full((len(automaton), self.size), -1, np.int64)
-            for s, out in enumerate(automaton):
-                for c, to in out.items():
-                    table[s, c] = root + to * self.size
-            # where a phrase can't go on, the next one starts; the lowest bit says that one has started
-            begin = np.where(table[0] >= 0, table[0], root)
-            table = np.where(table >= 0, table * 2, begin * 2 + 1)
-            table[0] = begin * 2 + 1
-            table[:, PAD] = root * 2
-            if (states + len(automaton)) * self.size >= 1 << 30:
-                raise ValueError("too many languages and letters for the tables")
-            tables.append(table.astype(np.int32))
-            self.roots.append(root)
-            lengths.append(len(symbols))
-            states += len(automaton)
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
-        self.weight = np.log2(np.array(lengths) + 2.0)
+        letters = {x: [s for t in lowered[x] for s in (*self.symbols(t).tolist(), BREAK)] for x in self.languages}
+        kind = Dense if sum(2 * len(s) for s in letters.values()) * self.size <= cells else Sparse
+        self.tables = [kind(suffix_automaton(letters[x]), self.size) for x in self.languages]
+        self.weight = np.log2(np.array([len(letters[x]) for x in self.languages]) + 2.0)
 
     def symbols(self, text: str) -> np.ndarray:
         """Ids of the letters, runs of anything else being one blank; empty without letters."""
@@ -121,34 +174,31 @@ class Parser:
         steps = np.ascontiguousarray(flat.reshape(lanes, PIECE).T)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        for i, root in enumerate(self.roots):
-            state, to, total = np.full(lanes, root, np.int32), np.empty(lanes, np.int32), np.zeros(lanes, np.int32)
+        for i, table in enumerate(self.tables):
+            state, total = np.full(lanes, table.root, np.int32), np.zeros(lanes, np.int32)
             for step in steps:
-                state += step
-                self.table.take(state, out=to, mode="clip")
-                np.right_shift(to, 1, out=state)
-                to &= 1
-                total += to
-            total += self._carried(root, steps, owner, state)
+                state, started = table.step(state, step)
+                total += started
+            total += self._carried(table, steps, owner, state)
             out[:, i] = np.bincount(owner, total, len(texts))
         return out
 
-    def _carried(self, root: int, steps: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _carried(self, table: Dense | Sparse, steps: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """By piece how many phrases more it has (mostly fewer) if it goes on where the piece before it ended, instead of anew. Both
         parses of a piece are followed until they meet; the few that don't within it change where the next piece begins."""
         more, end = np.zeros(len(owner), np.int64), ends.copy()
         later = np.concatenate([[False], owner[1:] == owner[:-1]])
         pending = np.flatnonzero(later)
         while len(pending):
-            a, b, d = np.full(len(pending), root, np.int32), end[pending - 1], np.zeros(len(pending), np.int64)
+            a, b, d = np.full(len(pending), table.root, np.int32), end[pending - 1], np.zeros(len(pending), np.int64)
             live = np.flatnonzero(a != b)
             for step in steps:
                 if not len(live):
                     break
                 s = step[pending[live]]
-                x, y = self.table[a[live] + s], self.table[b[live] + s]
-                d[live] += (y & 1) - (x & 1)
-                a[live], b[live] = x >> 1, y >> 1
+                (x, one), (y, other) = table.step(a[live], s), table.step(b[live], s)
+                d[live] += other - one
+                a[live], b[live] = x, y
                 live = live[a[live] != b[live]]
             new = ends[pending]
             new[live] = b[live]
@@ -187,7 +237,8 @@ def samples(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
         at = lambda i: (F.lit(1) + F.floor((size - EXCERPT) * i / (EXCERPTS - 1))).cast("int")
         spread = F.array(*[F.substring(F.col("text"), at(i), F.lit(EXCERPT)) for i in range(EXCERPTS)])
         excerpts = F.when(size <= EXCERPT * EXCERPTS, F.array("text")).otherwise(spread)
-        found = rows.filter(F.col("doc_id").isin(wanted)).select("lang", "doc_id", excerpts.alias("excerpts")).distinct()
+        # of rows that repeat an id the least text counts
+        found = rows.filter(F.col("doc_id").isin(wanted)).groupBy("lang", "doc_id").agg(F.min(excerpts).alias("excerpts"))
         for r in sorted(found.collect(), key=lambda r: (r.lang, r.doc_id, r.excerpts)):
             out.setdefault(r.lang, []).extend(r.excerpts)
     return out
@@ -206,9 +257,18 @@ def identify_languages(docs: DataFrame, learn: Column) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(_judged(learnt), "doc_id long, lang_pred string, score double")
 
 
+#: The parser of the last run in this Python worker, which later tasks of the run use again.
+_KEPT: dict[str, Parser] = {}
+
+
 def _judged(learnt):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(learnt.value)
+        if name not in _KEPT:
+            _KEPT.clear()
+            _KEPT[name] = Parser(learnt.value)
+        parser = _KEPT[name]
         for batch in common.slices(batches, 400):
             lang, score = zip(*parser.judge([t or "" for t in batch.column("text").to_pylist()]), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])

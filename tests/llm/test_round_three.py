@@ -294,3 +294,58 @@ def test_url_words_and_tokens_without_limits(spark, monkeypatch, bits):
     monkeypatch.setattr(url_filter, "WORDS", 10**6)
     long_ = url_filter.Segmenter({"red": 9, "stone": 7, "redstoneredstone": 1})
     assert long_.split("redstone" * 3) in [("redstoneredstone", "red", "stone"), ("red", "stone", "redstoneredstone")] and long_.split("qqq" * 500) == ("qqq" * 500,)
+
+
+def test_languages_with_many_letters():
+    """Transitions laid over each other parse as dense tables do; 30 languages and 5,000 letters take little memory."""
+    import resource
+    import time
+
+    from ledgermill.llm.langid import Dense, Parser, Sparse
+
+    rng = random.Random(5)
+    words = {x: ["".join(rng.choice("abcdeéfgh") for _ in range(rng.choice([2, 3, 5]))) for _ in range(40)] for x in "pqr"}
+    samples = {x: [" ".join(rng.choices(w, k=30)) for _ in range(6)] for x, w in words.items()}
+    texts = [" ".join(rng.choices(words[rng.choice("pqr")], k=n)) for n in (0, 1, 3, 50, 400)] + ["", "12 ??", "ééé abc ĀĀ", "z" * 2000]
+    dense, sparse = Parser(samples), Parser(samples, cells=0)
+    assert isinstance(dense.tables[0], Dense) and isinstance(sparse.tables[0], Sparse) and dense.judge(texts) == sparse.judge(texts)
+    assert (dense.phrases([dense.symbols(t) for t in texts]) == sparse.phrases([sparse.symbols(t) for t in texts])).all()
+    letters = [chr(0x4E00 + i) for i in range(5000)]
+    many = {f"l{i:02}": ["".join(rng.choices(letters[150 * i : 150 * i + 650], k=400)) for _ in range(64)] for i in range(30)}
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    parser = Parser(many)
+    assert [lang for lang, _ in parser.judge([many[x][3][50:300] for x in sorted(many)])] == sorted(many)
+    assert isinstance(parser.tables[0], Sparse) and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000 and time.time() - began < 120
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Rows without an id, with one that others have, equal rows, very long texts, further columns and empty tables: decisions are about rows."""
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    text = lambda n, s: " ".join(random.Random(s).choices("alpha beta gamma delta river stone bright cloud seven open table data".split(), k=n))
+    same, leak = text(60, 1), text(20, 2)
+    rows = [(1, text(80, 3)), (1, ""), (1, text(80, 4)), (None, text(80, 5)), (None, None), (None, "12 ??"), (5, same), (6, same + " end"), (None, same + " more"), (7, text(50, 7)), (7, text(50, 7)), (8, f"{text(30, 8)} {leak} {text(30, 10)}"), (8, text(70, 11)), (9, text(30_000, 12)), (None, text(40, 13)), (None, text(40, 13))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n long, k string, h long, _id string"
+    docs = spark.createDataFrame([(i, t, "en" if rng.random() < 0.8 else None, "s", len(t or ""), 1, "x", 2, "y") for i, t in rows], schema)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    told = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    left, at = Counter(rows), f"{tmp_path}"
+    kept = P.language_id(spark, docs, at)
+    for gone in ((1, ""), (None, None), (None, "12 ??")):
+        del left[gone]
+    assert told(kept) == left and kept.columns == docs.columns
+    kept = P.near_duplicates(spark, kept, at)
+    for i, t in ((6, same + " end"), (None, same + " more")):
+        del left[i, t]
+    left = Counter(dict.fromkeys(left, 1))
+    assert told(kept) == left and kept.columns == docs.columns
+    kept = P.decontamination(spark, kept, at)
+    del left[rows[11]]
+    assert told(kept) == left and kept.columns == docs.columns
+    assert P.secret_scan(spark, kept, at).columns == docs.columns
+    packed = P.packing(spark, kept, at).collect()
+    assert len({(r.doc_id, r.doc_tokens) for r in packed}) <= left.total() and any(r.doc_id is None for r in packed)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), at).count() == 0
+    assert told(P.near_duplicates(spark, docs.filter("doc_id in (5, 6)"), at)) == Counter([(5, same)])
