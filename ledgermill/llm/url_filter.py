@@ -71,7 +71,7 @@ class Segmenter:
         return tuple({w for w in found if w not in self.log and w in self.more})
 
     def _split(self, name: str, others: tuple[tuple[str, int], ...] = ()) -> tuple[str, ...]:
-        log = self.log | {w: math.log(n / self.total) for w, n in others} if others else self.log
+        log, own = self.log, {w: math.log(n / self.total) for w, n in others}
         best, start = [0.0], [0]
         # a part that is no word: what it costs beyond its end depends on its start alone, so the best start is carried along
         none, from_ = 0.0, 0
@@ -80,7 +80,10 @@ class Segmenter:
             for k in self.lengths:
                 if k > end:
                     break
-                p = log.get(name[end - k : end])
+                word = name[end - k : end]
+                p = log.get(word)
+                if p is None and own:
+                    p = own.get(word)
                 if p is not None and best[end - k] + p >= found:
                     found, at = best[end - k] + p, end - k
             best.append(found)
@@ -203,7 +206,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rows = work.save(rows, "rows")
     asked = work.save(rows.select("row", "host", "path").mapInArrow(_asked(words), "row long, word string"), "asked")
     others = _found(asked, rare, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("others"))
-    named = rows.select("row", "host", "path", "judged").join(others.hint("merge"), "row", "left")
+    # small rows that take long: as many parts as shuffles have, none joined
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.select("row", "host", "path", "judged").repartition(n_parts, "row").join(others.repartition(n_parts, "row").hint("merge"), "row", "left")
     named = work.save(named.mapInArrow(_tokens(words), "row long, judged string, tokens array<string>"), "named")
 
     seen = named.filter("judged is not null")
