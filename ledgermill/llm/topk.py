@@ -38,9 +38,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def _matrix(column, width: int) -> np.ndarray:
+def _matrix(column, width: int, kind: type = np.float64) -> np.ndarray:
     """Rows of numbers, short ones filled with zeros."""
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), kind)
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
@@ -58,7 +58,7 @@ def _keyed(shared):
             d = _distances(x, m["pivots"])
             own = d.argmin(1)
             r = d[np.arange(len(d)), own]
-            ring = np.clip(((r - m["low"]) / m["step"]).astype(int), 0, RINGS - 1)
+            ring = np.clip((r - m["low"]) / m["step"], 0, RINGS - 1).astype(int)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own * RINGS + ring, pa.int32()), pa.array(r)], ["vec_id", "v", "cell", "r"])
 
     return run
@@ -87,8 +87,8 @@ def _visits(shared, cells, first: bool):
 
 
 def _under(score: float) -> float:
-    """At most the score, whose rounding may have made it larger."""
-    return score - abs(score) * 1e-14
+    """At most the score, whose rounding may have made it larger, and below the greatest number of 64 bits."""
+    return min(score - abs(score) * 1e-14, 9.2e18)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, bound: float) -> list[tuple[int, float]]:
@@ -96,16 +96,26 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, bound: float) -
     return [(int(ids[i]), scores[i].item()) for i in at[np.lexsort((ids[at], -scores[at]))[:k]]]
 
 
+def products(q: np.ndarray, x: np.ndarray, kind: type) -> np.ndarray:
+    """Inner products of all rows. ``kind``: the numbers in which those are exact that fit into 64 bits; the others, of very long vectors, are made one by one and cut to 64 bits."""
+    scores = q.astype(kind) @ x.astype(kind).T
+    if kind is np.int64:
+        size = lambda a: np.sqrt((a.astype(float) ** 2).sum(1))
+        for i, j in np.argwhere(np.outer(size(q), size(x)) >= 2.0**62):
+            scores[i, j] = max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], x[j], strict=True))))
+    return scores
+
+
 def _searched(width: int, k: int, kind: type):
     """``kind``: the numbers in which the products are exact."""
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(vectors) and len(queries):
-            x, ids = _matrix(vectors["v"], width).astype(kind), vectors["vec_id"].to_numpy()
+            x, ids = _matrix(vectors["v"], width, kind), vectors["vec_id"].to_numpy()
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
-                scores = _matrix(part["v"], width).astype(kind) @ x.T
+                scores = products(_matrix(part["v"], width, kind), x, kind)
                 for q, s, b in zip(part["query_id"], scores, part["bound"].fillna(-np.inf), strict=True):
                     rows += [(q, i, v) for i, v in _best(s, ids, q, k, b)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
@@ -117,7 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k vectors of the largest integer inner product, ties to the smaller id.
 
     ``vectors`` and ``queries``: vec_id, v (arrays of integers; null ones, and those with a null component, take no part; short ones
-    count as filled with zeros; other columns are ignored). A vector isn't found by the query of its own id. Inner products are exact (beyond 2^62 an error is raised). Rows that repeat an id count once, with
+    count as filled with zeros; other columns are ignored). A vector isn't found by the query of its own id. Inner products are exact; beyond 64 bits they count as the
+    largest or least number of 64 bits. Rows that repeat an id count once, with
     the least vector. With fewer vectors all are returned; empty tables give an empty result. The sample fits pivots and first bounds only:
     every vector is indexed, and the result is exact."""
     spark = vectors.sparkSession
@@ -131,8 +142,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     width = max(facts.width, wide)
     # no sum of products is larger than the product of the lengths
     longest = float(np.sqrt(facts.square * queries.agg(F.coalesce(F.max(square), F.lit(0.0))).first()[0]))
-    if longest >= 2**62 or facts.square >= 2**106:
-        raise ValueError("inner products beyond 64-bit integers")
     kind = np.float64 if longest < 2**52 else np.int64
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     ids, x = np.array([r.vec_id for r in sample], np.int64), _matrix([r.v for r in sample], width)
@@ -169,6 +178,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = work.save(queries.mapInArrow(sampled, "vec_id long, v array<long>, bound double"), "asked")
     near = work.save(search(asked, True), "near")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    bounds = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (F.col("score").cast("double") - F.abs("score") * 1e-14).alias("better"))
+    bounds = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.when(F.col("score") > -(2**63), F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-14).alias("better"))
     asked = asked.join(bounds, "vec_id", "left").select("vec_id", "v", F.coalesce(F.greatest("bound", "better"), "bound").alias("bound"))
-    return near.unionByName(search(asked, False)).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = near.unionByName(search(asked, False)).withColumn("rank", rank).filter(F.col("rank") <= k)
+    result = work.save(found.select("query_id", "rank", "vec_id", "score"), "result")
+    work.drop_all_but("result")
+    return result

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.llm import alignment, mixing, resampling
 from ledgermill.llm.alignment import Alignment, align_documents
@@ -349,3 +350,21 @@ def test_pipeline_rows(spark, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), at).count() == 0
     assert told(P.near_duplicates(spark, docs.filter("doc_id in (5, 6)"), at)) == Counter([(5, same)])
+
+
+def test_top_k_with_very_long_vectors(spark):
+    """One outlier, and products beyond 64 bits, which count as the largest or least number."""
+    from ledgermill.llm.topk import top_k
+
+    rng = random.Random(4)
+    vectors = {i: [rng.randrange(-300, 300) for _ in range(6)] for i in range(300)}
+    vectors |= {500: [10**15, -(10**14), 3, 4, 5, 6], 501: [9 * 10**18] * 6, 502: [-9 * 10**18] * 6, 503: [4 * 10**9] * 6}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<long>")
+    asked = [i for i in vectors if i % 10 == 0 or i > 499]
+    got = {}
+    for r in top_k(table, table.filter(F.col("vec_id").isin(asked)), k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in asked:
+        cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+        scores = sorted((-cut(sum(a * b for a, b in zip(vectors[q], v, strict=True))), i) for i, v in vectors.items() if i != q)[:4]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
