@@ -106,23 +106,25 @@ urls AS (
     || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key
   FROM keyed),
 caps AS (
-  SELECT 2 * page_id AS record_id, url_key, 2 * page_id AS ts, TRUE AS "full", tag AS etag, page_id AS d, page_id - 1 AS modified FROM urls
-  UNION ALL
-  SELECT 2 * page_id + 1, url_key, 2 * (page_id + 10000) + 1, FALSE,
-    CASE WHEN digest < '3' THEN '"changed"' WHEN digest < '6' THEN NULL ELSE 'W/' || tag END, page_id + 10000, page_id - 1 FROM urls),
+  SELECT 5 * page_id AS record_id, url_key, 2 * page_id AS ts, FALSE AS "full", NULL AS etag, page_id AS d, page_id - 1 AS modified FROM urls
+  UNION ALL SELECT 5 * page_id + 1, url_key, 2 * page_id + 1, TRUE, tag, page_id, page_id - 1 FROM urls
+  UNION ALL SELECT 5 * page_id + 2, url_key, 2 * page_id + 3, TRUE, '"second"', page_id + 1, page_id FROM urls WHERE md5(page_id::VARCHAR) >= '8'
+  UNION ALL SELECT 5 * page_id + 3, url_key, 2 * (page_id + 10000) + 1, FALSE,
+    CASE WHEN digest < '3' THEN '"changed"' WHEN digest < '6' THEN NULL WHEN digest >= 'c' THEN '"second"' ELSE 'W/' || tag END, page_id + 10000, page_id - 1 FROM urls
+  UNION ALL SELECT 5 * page_id + 4, url_key, 2 * (page_id + 10000) + 2, FALSE, NULL, page_id + 10001, NULL FROM urls),
 ranked AS (
-  SELECT r.*, o.record_id AS o_id, o.etag AS o_etag, o.modified AS o_modified,
+  SELECT r.*, o.record_id AS o_id, o.etag AS o_etag, o.modified AS o_modified, o.d AS o_d,
     row_number() OVER (PARTITION BY r.record_id ORDER BY o.ts DESC NULLS LAST, o.record_id DESC NULLS LAST) AS place
   FROM caps r LEFT JOIN caps o ON NOT r."full" AND o."full" AND o.url_key = r.url_key AND o.ts < r.ts),
 judged AS (
   SELECT *, CASE WHEN "full" THEN 'response' WHEN o_id IS NULL THEN 'no_original'
-    WHEN coalesce(regexp_replace(etag, '^W/', '') = o_etag, modified = o_modified) THEN 'resolved' ELSE 'mismatch' END AS outcome
+    ELSE CASE coalesce(regexp_replace(etag, '^W/', '') = o_etag, modified = o_modified) WHEN TRUE THEN 'resolved' WHEN FALSE THEN 'mismatch' ELSE 'unvalidated' END END AS outcome
   FROM ranked WHERE place = 1)
 SELECT record_id, url_key, outcome, o_id AS original_id,
   CASE outcome
     WHEN 'response' THEN 'content-type: text/html; date: day ' || d || '; etag: ' || etag || '; last-modified: day ' || modified
-    WHEN 'resolved' THEN 'content-type: text/html; date: day ' || d || '; etag: ' || coalesce(etag, o_etag) || '; last-modified: day ' || modified
-    ELSE 'content-length: 0; date: day ' || d || coalesce('; etag: ' || etag, '') || '; last-modified: day ' || modified END AS headers
+    WHEN 'resolved' THEN 'content-type: text/html; date: day ' || d || '; etag: ' || coalesce(etag, o_etag) || '; last-modified: day ' || coalesce(modified, o_modified)
+    ELSE 'content-length: 0; date: day ' || d || coalesce('; etag: ' || etag, '') || coalesce('; last-modified: day ' || modified, '') END AS headers
 FROM judged""",
     "op11_source_mix": r"""
 WITH docs AS (

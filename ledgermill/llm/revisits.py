@@ -86,14 +86,23 @@ def resolve_revisits(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED
 
 
 def recrawled(pages: DataFrame) -> DataFrame:
-    """Captures of a crawl and of a later one that got not-modified answers: of every page a full response and a revisit 20,001 steps
-    later. The revisit of some pages (by a digest of the id) has another entity tag, or none and only a date."""
-    digest, tag = F.md5(F.col("page_id").cast("string")), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    """Captures of crawls of all pages. Of every page: a not-modified answer before any response, a full response, for half of the pages (by a digest of the id) a second one with another tag, and
+    later two not-modified answers, one with a tag (that of either response or another), or only a date, and one without validators."""
+    page, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    digest = F.md5(page.cast("string"))
+    later = page + 10_000
     day = lambda n: F.concat(F.lit("day "), n.cast("string"))
-    later = F.col("page_id") + 10_000
-    seen = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), day(F.col("page_id")), F.lit("ETag"), tag, F.lit("Last-Modified"), day(F.col("page_id") - 1))
-    tags = F.when(digest < "3", F.lit('"changed"')).when(digest < "6", F.lit(None).cast("string")).otherwise(F.concat(F.lit("W/"), tag))
-    again = F.create_map(F.lit("Date"), day(later), F.lit("Content-Length"), F.lit("0"), F.lit("Last-Modified"), day(F.col("page_id") - 1))
-    again = F.when(tags.isNull(), again).otherwise(F.map_concat(again, F.create_map(F.lit("ETag"), tags)))
-    both = F.array(F.struct((2 * F.col("page_id")).alias("ts"), F.lit(True).alias("full"), seen.alias("headers")), F.struct((2 * later + 1).alias("ts"), F.lit(False).alias("full"), again.alias("headers")))
-    return pages.select("url", F.col("page_id"), F.explode(both).alias("c")).select((2 * F.col("page_id") + F.when(F.col("c.full"), 0).otherwise(1)).alias("record_id"), "url", "c.ts", "c.full", "c.headers")
+
+    def headers(date: Column, etag: Column, modified: Column | None, full: bool) -> Column:
+        first = F.struct(F.lit("Content-Type" if full else "Content-Length").alias("k"), F.lit("text/html" if full else "0").alias("v"))
+        more = [("Date", day(date)), ("ETag", etag), ("Last-Modified", F.lit(None).cast("string") if modified is None else day(modified))]
+        return F.map_from_entries(F.filter(F.array(first, *[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in more]), lambda x: x["v"].isNotNull()))
+
+    tags = F.when(digest < "3", F.lit('"changed"')).when(digest < "6", F.lit(None).cast("string")).when(digest >= "c", F.lit('"second"')).otherwise(F.concat(F.lit("W/"), tag))
+    none, second = F.lit(None).cast("string"), F.lit('"second"')
+    captures = [
+        (2 * page, False, headers(page, none, page - 1, False)), (2 * page + 1, True, headers(page, tag, page - 1, True)), (F.when(digest >= "8", 2 * page + 3), True, headers(page + 1, second, page, True)),
+        (2 * later + 1, False, headers(later, tags, page - 1, False)), (2 * later + 2, False, headers(later + 1, none, None, False)),
+    ]
+    rows = F.array(*[F.struct((5 * page + i).alias("record_id"), ts.alias("ts"), F.lit(full).alias("full"), h.alias("headers")) for i, (ts, full, h) in enumerate(captures)])
+    return pages.select("url", F.explode(F.filter(rows, lambda c: c["ts"].isNotNull())).alias("c")).select("c.record_id", "url", "c.ts", "c.full", "c.headers")
