@@ -77,3 +77,17 @@ def apply_changes(history: DataFrame, changes: DataFrame, keys: list[str], value
     fresh = ~F.coalesce(same & ~F.lag("closed").over(in_time), F.lit(False)) | F.col("closed")
     versions = last.withColumn("_fresh", fresh).filter("_fresh").withColumn("valid_to", F.when(F.col("closed"), F.col("_end")).otherwise(F.lead("_at").over(in_time)))
     return versions.select(*keys, *[F.col(f"_v_{c}.v").alias(c) for c in values], F.col("_at").alias("valid_from"), "valid_to", "closed"), refused
+
+
+def close_snapshots(snapshots: DataFrame, wanted: DataFrame, staff: DataFrame, expenses: DataFrame, key: str) -> DataFrame:
+    """``snapshots`` (key, closed, hr_total, expense_total, total) after closing those of ``wanted`` (key): the sums of their eligible rows (key, amount, eligible), nulls as nought, and ``result``:
+    CLOSED, REFUSED (it was closed before and stays as it is), UNKNOWN (there is no such snapshot) or null for the others. Children are summed by key before they meet."""
+    money = "decimal(18,2)"
+    eligible = lambda df, name: df.filter("eligible").groupBy(key).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(money).alias(name))
+    asked = wanted.select(key).distinct().withColumn("_asked", F.lit(True))
+    both = snapshots.withColumn("_there", F.lit(True)).join(asked, key, "full").join(eligible(staff, "_h"), key, "left").join(eligible(expenses, "_e"), key, "left")
+    closes = F.coalesce(F.col("_asked") & F.col("_there") & ~F.col("closed"), F.lit(False))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(money))
+    sums = {"hr_total": zero("_h"), "expense_total": zero("_e"), "total": zero("_h") + zero("_e")}
+    result = F.when(closes, "CLOSED").when(F.col("_asked") & F.col("_there"), "REFUSED").when(F.col("_asked"), "UNKNOWN")
+    return both.select(key, (F.coalesce(F.col("closed"), F.lit(False)) | closes).alias("closed"), *[F.when(closes, v).otherwise(F.col(n)).cast(money).alias(n) for n, v in sums.items()], result.alias("result"))

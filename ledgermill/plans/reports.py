@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermill.functions import columns as C
+from ledgermill.operators import links as K
 from ledgermill.operators import quality as Q
 from ledgermill.operators import relational as R
 from ledgermill.operators import traces as T
 from ledgermill.operators import versions as V
-from ledgermill.sources import templates
+from ledgermill.sources import remote, templates
+from ledgermill.sources.committed import CommittedTables
 from ledgermill.sources.tables import scratch
 
-from .registry import query
+from .registry import money, query
 
 LISTS = """e AS (SELECT user_id AS k, count(*) AS n, string_agg(event_type || event_id, ',' ORDER BY ts, event_id) FILTER (r <= 20) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) GROUP BY 1),
   a AS (SELECT l_orderkey AS k, count(*) AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (r <= 20) AS t FROM
@@ -118,3 +120,83 @@ def job_upsert(orders, events):
     queued = asked.withColumns({"status": F.lit("QUEUED"), "attempt": F.lit(1).cast("long")})
     # a job of the same file and type is queued anew, from its first attempt
     return V.merge_by_rules(known, queued, ["file", "type"], {"status": V.new, "attempt": V.new, "idempotency_key": V.new})
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS closed, CASE WHEN c_custkey % 3 = 0 THEN 1.5 END AS t FROM customer WHERE c_custkey % 7 > 0), w AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0),
+  h AS (SELECT o_custkey AS k, sum(o_totalprice::DECIMAL(18,2)) AS h FROM orders WHERE o_orderpriority < '3' GROUP BY 1), e AS (SELECT user_id AS k, sum(value::DECIMAL(18,2)) AS e FROM events WHERE event_type = 'purchase' GROUP BY 1),
+  j AS (SELECT coalesce(s.k, w.k) AS k, s.k IS NOT NULL AS there, w.k IS NOT NULL AS asked, coalesce(closed, FALSE) AS closed, t FROM s FULL JOIN w ON s.k = w.k)
+  SELECT j.k, closed OR (asked AND there) AS closed, CASE WHEN asked AND there AND NOT closed THEN coalesce(h, 0) ELSE t END::DOUBLE AS hr_total, CASE WHEN asked AND there AND NOT closed THEN coalesce(e, 0) ELSE t END::DOUBLE AS expense_total,
+  CASE WHEN asked AND there AND NOT closed THEN coalesce(h, 0) + coalesce(e, 0) ELSE t END::DOUBLE AS total, CASE WHEN asked AND there AND NOT closed THEN 'CLOSED' WHEN asked AND there THEN 'REFUSED' WHEN asked THEN 'UNKNOWN' END AS result
+  FROM j LEFT JOIN h ON h.k = j.k LEFT JOIN e ON e.k = j.k""")
+def snapshot_close(customer, orders, events):
+    closed = F.col("c_custkey") % 3 == 0
+    old = F.when(closed, F.lit(1.5)).cast("decimal(18,2)")
+    snapshots = customer.filter("c_custkey % 7 > 0").select(F.col("c_custkey").alias("k"), closed.alias("closed"), *[old.alias(n) for n in ("hr_total", "expense_total", "total")])
+    wanted = orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).unionByName(customer.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("k")))
+    staff = orders.select(F.col("o_custkey").alias("k"), money("o_totalprice").alias("amount"), (F.col("o_orderpriority") < "3").alias("eligible"))
+    spent = events.select(F.col("user_id").alias("k"), money("value").alias("amount"), (F.col("event_type") == "purchase").alias("eligible"))
+    found = V.close_snapshots(snapshots, wanted, staff, spent, "k")
+    return found.select("k", "closed", *[F.col(n).cast("double").alias(n) for n in ("hr_total", "expense_total", "total")], "result")
+
+
+@query("""SELECT coalesce(c_custkey, s_suppkey + 100000) AS owner, coalesce(CASE WHEN o.k IS NOT NULL THEN 'changed' ELSE c_name END, s_name) AS name, CASE WHEN s_suppkey IS NOT NULL THEN s_acctbal ELSE coalesce(o.p, c_acctbal) END AS amount
+  FROM customer FULL JOIN supplier ON FALSE LEFT JOIN (SELECT o_custkey AS k, max(o_totalprice) AS p FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) o ON o.k = c_custkey""")
+def upsert_sink(spark, customer, supplier, orders):
+    tables = CommittedTables(spark, scratch(spark, "sink"))
+    row = lambda df, key, name, amount: df.select(F.lit("accounts").alias("kind"), key.cast("long").alias("owner"), name.alias("name"), amount.alias("amount"))
+    write = lambda run, rows: tables.replace(run, rows, rows.select("owner"))
+    write("first", row(customer, F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal")))
+    changed = orders.filter("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_totalprice").alias("p"))
+    new = row(changed, F.col("o_custkey"), F.lit("changed"), F.col("p")).unionByName(row(supplier, F.col("s_suppkey") + 100_000, F.col("s_name"), F.col("s_acctbal")))
+    write("second", new)
+    return tables.table("accounts", "owner long, name string, amount double")
+
+
+@query("""SELECT user_id AS file, 'FILE_REGISTERED' AS event_type, min(event_id) AS first_event, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1 UNION ALL SELECT user_id, 'FILE_REUSED', min(event_id), count(*) FROM events WHERE event_type = 'click' GROUP BY 1""")
+def event_log(spark, events):
+    """Events are appended to a log by runs, a folder a day, and read again."""
+    at = scratch(spark, "log")
+    for kind, label in (("view", "FILE_REGISTERED"), ("click", "FILE_REUSED")):
+        rows = events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("file"), F.lit(label).alias("event_type"), F.col("event_id"), F.to_json(F.struct("value")).alias("payload"), C.date_folder(F.col("ts")).alias("day"))
+        rows.write.mode("append").partitionBy("day").parquet(at)
+    return spark.read.parquet(at).groupBy("file", "event_type").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') AND o_orderkey % 4 > 0")
+def filter_not_in_not_null(orders):
+    notes = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority"))
+    return orders.filter(R.differs(notes, "1-URGENT", "2-HIGH", "5-LOW")).select("o_orderkey")
+
+
+@query("""SELECT user_id AS batch, 'waiting' AS state, count(*) AS jobs FROM events WHERE event_type = 'signup' GROUP BY 1 UNION ALL SELECT user_id, 'active', count(*) FROM events WHERE event_type = 'view' GROUP BY 1""")
+def waiting_and_active(events):
+    queue = lambda kind, state: events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("batch"), F.lit(state).alias("state"))
+    return queue("signup", "waiting").unionByName(queue("view", "active")).groupBy("batch", "state").agg(F.count("*").alias("jobs"))
+
+
+@query("""WITH b AS (SELECT DISTINCT o_custkey AS n, 'said ' || o_custkey AS said FROM orders WHERE o_orderkey % 2 = 0)
+  SELECT lpad(n::VARCHAR, 14, '0') AS cnpj, CASE WHEN s_suppkey IS NOT NULL THEN s_name WHEN c_custkey % 4 > 0 THEN c_name WHEN n % 3 > 0 THEN said ELSE 'Empresa ' || lpad(n::VARCHAR, 14, '0') END AS legal_name, s_suppkey IS NULL AS created, 'PENDING_REVIEW' AS status
+  FROM b LEFT JOIN supplier ON s_suppkey = n LEFT JOIN customer ON c_custkey = n""")
+def company_registration(spark, sf_dir, orders, supplier):
+    """Companies of batches by their id: a known one, else what the registry says, else the name in the form, else one made of the id."""
+    path = f"{sf_dir}/customer.parquet"
+
+    def registry(keys: list) -> dict:
+        import pyarrow.dataset as ds
+
+        found = ds.dataset(path).to_table(columns=["c_custkey", "c_name"], filter=ds.field("c_custkey").isin([int(k) for k in keys])).to_pylist()
+        return {f"{r['c_custkey']:014}": {"nome": r["c_name"]} for r in found if r["c_custkey"] % 4 > 0}
+
+    asked = orders.filter("o_orderkey % 2 = 0").select(C.company_id(F.col("o_custkey").cast("string")).alias("cnpj"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("said "), F.col("o_custkey").cast("string"))).alias("said")).distinct()
+    known = supplier.select(C.company_id(F.col("s_suppkey").cast("string")).alias("cnpj"), F.col("s_name").alias("known"))
+    rows = asked.join(known, "cnpj", "left")
+    told = remote.looked_up(rows.filter("known is null"), "cnpj", registry, "answer", scratch(spark, "registry"), batch=1000)
+    new = told.select("cnpj", F.coalesce(F.get_json_object("answer", "$.nome"), "said", F.concat(F.lit("Empresa "), F.col("cnpj"))).alias("legal_name"), F.lit(True).alias("created"))
+    return rows.filter("known is not null").select("cnpj", F.col("known").alias("legal_name"), F.lit(False).alias("created")).unionByName(new).withColumn("status", F.lit("PENDING_REVIEW"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%m%Y') AS raw, strftime(o_orderdate, '%Y-%m') || '-01' AS mmyyyy, strftime(o_orderdate, '%Y-%m') || '-01' AS yyyy_mm, o_orderpriority AS trimmed, ' ' || o_orderpriority || ' ' AS none FROM orders""")
+def date_transforms(orders):
+    at, padded = F.col("o_orderdate"), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))
+    raw = F.date_format(at, "MMyyyy")
+    return orders.select("o_orderkey", raw.alias("raw"), K.transformed(raw, "DATE_MMYYYY").alias("mmyyyy"), K.transformed(F.date_format(at, "yyyy-MM"), "DATE_YYYY_MM").alias("yyyy_mm"), K.transformed(padded, "TRIM").alias("trimmed"), K.transformed(padded, "NONE").alias("none"))
