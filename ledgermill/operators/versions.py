@@ -91,3 +91,18 @@ def close_snapshots(snapshots: DataFrame, wanted: DataFrame, staff: DataFrame, e
     sums = {"hr_total": zero("_h"), "expense_total": zero("_e"), "total": zero("_h") + zero("_e")}
     result = F.when(closes, "CLOSED").when(F.col("_asked") & F.col("_there"), "REFUSED").when(F.col("_asked"), "UNKNOWN")
     return both.select(key, (F.coalesce(F.col("closed"), F.lit(False)) | closes).alias("closed"), *[F.when(closes, v).otherwise(F.col(n)).cast(money).alias(n) for n, v in sums.items()], result.alias("result"))
+
+
+def apply_operations(base: DataFrame, operations: DataFrame, key: str, values: list[str], order: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """``base`` (key, values) after creates, updates and deletes of its rows: ``operations`` has key, op (CREATE, UPDATE, DELETE), values (a null one changes nothing) and their order.
+
+    A create starts a row anew, with the defaults where it gives nothing; an update changes the values that it gives, and nothing where there is no row; a deleted row is gone until it is
+    created again. Every key is known by its last create or delete, a partial aggregate, and the values by the last ones given since."""
+    first = base.select(key, F.lit("CREATE").alias("op"), *values, F.lit(-(1 << 62)).cast("long").alias("_at"), F.lit(True).alias("_old"))
+    rows = first.unionByName(operations.select(key, "op", *values, F.col(order).cast("long").alias("_at"), F.lit(False).alias("_old")))
+    born = rows.filter("op <> 'UPDATE'").groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct("op", F.col("_at").alias("at"), "_old"), "_at").alias("b"))
+    alive = rows.join(born.filter("b.op = 'CREATE'"), F.col(key).eqNullSafe(F.col("_k"))).filter("_at >= b.at")
+    last = alive.groupBy(key).agg(F.first("b._old").alias("_old"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in values])
+    defaults = defaults or {}
+    # what the base leaves empty stays so
+    return last.select(key, *[F.when(F.col("_old"), F.col(c)).otherwise(F.coalesce(F.col(c), defaults[c])).alias(c) if c in defaults else F.col(c) for c in values])

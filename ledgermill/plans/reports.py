@@ -200,3 +200,15 @@ def date_transforms(orders):
     at, padded = F.col("o_orderdate"), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))
     raw = F.date_format(at, "MMyyyy")
     return orders.select("o_orderkey", raw.alias("raw"), K.transformed(raw, "DATE_MMYYYY").alias("mmyyyy"), K.transformed(F.date_format(at, "yyyy-MM"), "DATE_YYYY_MM").alias("yyyy_mm"), K.transformed(padded, "TRIM").alias("trimmed"), K.transformed(padded, "NONE").alias("none"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS at_, CASE o_orderkey % 5 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'CREATE' ELSE 'UPDATE' END AS op, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS amount FROM orders),
+  r AS (SELECT c_custkey AS k, -1 AS at_, 'CREATE' AS op, c_name AS title, c_acctbal AS amount, TRUE AS old FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT *, FALSE FROM (SELECT k, at_, op, title, amount FROM o)),
+  b AS (SELECT k, arg_max(op, at_) AS op, max(at_) AS born, arg_max(old, at_) AS old FROM r WHERE op <> 'UPDATE' GROUP BY 1)
+  SELECT r.k, CASE WHEN b.old THEN arg_max(title, at_) ELSE coalesce(arg_max(title, at_), 'Sem titulo') END AS title, arg_max(amount, at_) AS amount FROM r JOIN b ON b.k = r.k AND b.op = 'CREATE' AND at_ >= born GROUP BY r.k, b.old""")
+def project_changes(customer, orders):
+    base = customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("amount"))
+    key = F.col("o_orderkey")
+    op = F.when(key % 5 == 0, "DELETE").when(key % 5 == 1, "CREATE").otherwise("UPDATE")
+    operations = orders.select(F.col("o_custkey").alias("k"), op.alias("op"), F.when(key % 3 > 0, F.col("o_orderpriority")).alias("title"), F.when(key % 2 == 0, F.col("o_totalprice")).alias("amount"), key.alias("at"))
+    return V.apply_operations(base, operations, "k", ["title", "amount"], "at", {"title": F.lit("Sem titulo")})

@@ -126,3 +126,19 @@ def test_migration(spark):
     links = spark.createDataFrame([(1, 10), (1, 10), (2, 20)], "contact int, company int")
     there = spark.createDataFrame([(2, 20), (3, 30)], "contact int, company int")
     assert {tuple(r) for r in K.migrated(links, there, ["contact", "company"]).collect()} == {(1, 10, "MIGRATED"), (2, 20, "KEPT"), (3, 30, "KEPT")}
+
+
+def test_operations_in_order(spark):
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "k int, t string, n int")
+    ops = [(1, "UPDATE", None, 5, 1), (1, "DELETE", None, None, 2), (1, "UPDATE", "lost", 9, 3), (1, "CREATE", None, 7, 4), (1, "UPDATE", "z", None, 5), (2, "DELETE", None, None, 1), (3, "UPDATE", "nobody", 1, 1), (4, "CREATE", None, None, 1)]
+    table = spark.createDataFrame(ops, "k int, op string, t string, n int, at int")
+    run = lambda o: {r.k: (r.t, r.n) for r in V.apply_operations(base, o, "k", ["t", "n"], "at", {"t": F.lit("new"), "n": F.lit(0)}).collect()}
+    assert run(table) == {1: ("z", 7), 4: ("new", 0)} and run(table.limit(0)) == {1: ("a", 1), 2: ("b", None)}
+
+
+def test_closing_snapshots(spark):
+    old = spark.createDataFrame([(1, False), (2, True), (3, False)], "k int, closed boolean").selectExpr("k", "closed", *[f"cast(if(closed, 9, null) as decimal(18,2)) {n}" for n in ("hr_total", "expense_total", "total")])
+    rows = spark.createDataFrame([(1, 5, True), (1, 7, False), (2, 8, True)], "k int, amount int, eligible boolean").selectExpr("k", "cast(amount as decimal(18,2)) amount", "eligible")
+    got = V.close_snapshots(old, spark.createDataFrame([(1,), (2,), (4,), (1,)], "k int"), rows, rows.limit(0), "k").collect()
+    plain = {r.k: (r.closed, *[None if r[n] is None else float(r[n]) for n in ("hr_total", "expense_total", "total")], r.result) for r in got}
+    assert plain == {1: (True, 5.0, 0.0, 5.0, "CLOSED"), 2: (True, 9.0, 9.0, 9.0, "REFUSED"), 3: (False, None, None, None, None), 4: (False, None, None, None, "UNKNOWN")}
