@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Pivots, rings of each, vectors sampled for pivots and first bounds, and vectors and queries in a block.
+#: The least pivots, rings of each, the least vectors sampled for pivots and first bounds, and vectors and queries in a block.
 PIVOTS, RINGS, SAMPLE, BLOCK = 32, 16, 2048, 4096
+#: The most pivots. Between the least and the most there are as many as make rings of about a block.
+MOST_PIVOTS = 1024
 
 
 def pivots_of(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
@@ -137,16 +139,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors = work.save(tidy(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v"))), "vectors")
     queries = work.save(tidy(queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v"))), "queries")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    facts = vectors.agg(F.coalesce(F.max(square), F.lit(0.0)).alias("square"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
+    facts = vectors.agg(F.coalesce(F.max(square), F.lit(0.0)).alias("square"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width"), F.count("*").alias("n")).first()
     n_queries, wide = queries.count(), queries.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
     width = max(facts.width, wide)
     # no sum of products is larger than the product of the lengths
     longest = float(np.sqrt(facts.square * queries.agg(F.coalesce(F.max(square), F.lit(0.0))).first()[0]))
     kind = np.float64 if longest < 2**52 else np.int64
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    n_pivots = max(PIVOTS, min(facts.n // (BLOCK * RINGS), MOST_PIVOTS))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, 8 * n_pivots)).collect()
     ids, x = np.array([r.vec_id for r in sample], np.int64), _matrix([r.v for r in sample], width)
     longer = _longer(x, facts.square)
-    pivots = pivots_of(longer, PIVOTS)
+    pivots = pivots_of(longer, n_pivots)
     r = _distances(longer, pivots).min(1) if len(sample) else np.zeros(1)
     model = spark.sparkContext.broadcast({"pivots": pivots, "square": facts.square, "width": width, "low": float(r.min()), "step": max(float(np.ptp(r)) / RINGS, 1e-9), "ids": ids, "x": x})
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -368,3 +368,32 @@ def test_top_k_with_very_long_vectors(spark):
         cut = lambda x: max(-(2**63), min(2**63 - 1, x))
         scores = sorted((-cut(sum(a * b for a, b in zip(vectors[q], v, strict=True))), i) for i, v in vectors.items() if i != q)[:4]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_top_k_cuts_rings_of_clustered_vectors(spark, monkeypatch):
+    """With as many pivots as the vectors ask for, most rings hold no vector that could be among the best, and aren't visited."""
+    from ledgermill.llm import common, topk
+
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-2000, 2000, (60, 12))
+    x = np.concatenate([c + rng.integers(-25, 26, (50, 12)) for c in centres])
+    table = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(x)], "vec_id long, v array<long>")
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    seen, save = {}, common.Work.save
+    monkeypatch.setattr(common.Work, "save", lambda self, df, name: seen.setdefault(name, save(self, df, name)) if name == "result" else _counted(seen, name, save(self, df, name)))
+    got = {}
+    for r in topk.top_k(table, table.filter("vec_id % 50 = 0"), k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, len(x), 50):
+        scores = sorted((-int(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    cells = seen["cells"]
+    assert cells > 50 and seen["visits1"] + seen["visits2"] < 0.5 * 60 * cells, (seen["visits1"], seen["visits2"], cells)
+
+
+def _counted(seen, name, df):
+    if name in ("visits1", "visits2"):
+        seen[name] = df.select("query_id", "cell").distinct().count()
+    if name == "keyed":
+        seen["cells"] = df.select("cell").distinct().count()
+    return df
