@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +55,11 @@ def lower_text(c: Column) -> Column:
     return clean(strip_accents(F.lower(F.coalesce(c, F.lit("")))))
 
 
+def let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """The result for a value that is computed once, however often the result names it."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -162,8 +168,8 @@ def money_or_last_number(c: Column) -> Column:
 
 def loose_money(c: Column) -> Column:
     """With a comma, points mark thousands; else a point marks decimals."""
-    x = F.regexp_replace(c, r"[^0-9,.\-]", "")
-    return F.when(x.contains(","), F.translate(x, ",.", ".")).otherwise(x).try_cast(MONEY)
+    plain = lambda x: F.when(x.contains(","), F.translate(x, ",.", ".")).otherwise(x).try_cast(MONEY)
+    return let(F.regexp_replace(c, r"[^0-9,.\-]", ""), plain)
 
 
 def loose_int(c: Column) -> Column:
@@ -234,8 +240,7 @@ def keywords(c: Column, most: int = 5) -> Column:
 
 def expense_class(c: Column) -> Column:
     """Ordered keywords, without accents; another text is an operational expense, a blank one null."""
-    x = lower_text(c)
-    return (
+    found = lambda x: (
         F.when(x == "", None)
         .when(x.contains("material"), "MATERIAL_CONSUMO")
         .when(x.contains("tecnologia industrial") | x.contains("tib"), "TIB")
@@ -243,6 +248,7 @@ def expense_class(c: Column) -> Column:
         .when(x.contains("apoio tecnico") | x.contains("servico de apoio"), "SERVICO_APOIO_PF")
         .otherwise("DESPESA_OPERACIONAL")
     )
+    return let(lower_text(c), found)
 
 
 #: Research categories, their codes and their numbers.

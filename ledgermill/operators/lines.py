@@ -14,11 +14,7 @@ from ledgermill.functions import columns as C
 #: What ends a line.
 BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 Test = Callable[[Column], Column]
-
-
-def let(value: Column, result: Callable[[Column], Column]) -> Column:
-    """The result for a value that is computed once, however often the result names it."""
-    return F.get(F.transform(F.array(value), result), F.lit(0))
+let = C.let
 
 
 def lines(text: Column, blank: bool = True) -> Column:

@@ -57,8 +57,14 @@ class CommittedTables:
 
     def table(self, kind: str, schema: str) -> DataFrame:
         """The visible rows of a table. ``schema``: its columns with types, ``owner`` among them. Owners are few against their rows; each one's newest run decides."""
+        names = self.runs()
+        rows = self._rows(schema, kind)
+        if len(names) < 2:
+            return rows.drop("run")
+        # nothing follows the newest run, so its rows are all visible and meet no owners
         newest = self._rows("owner long", "_owners").groupBy("owner").agg(F.max("run").alias("run"))
-        return self._rows(schema, kind).join(newest, ["owner", "run"], "left_semi").drop("run")
+        older = rows.filter(F.col("run") < len(names)).join(newest, ["owner", "run"], "left_semi")
+        return rows.filter(F.col("run") == len(names)).unionByName(older).drop("run")
 
     def compact(self, run: str, schemas: dict[str, str]) -> None:
         """Writes the visible rows of all tables as one new run, so that readers needn't look past replaced ones."""
