@@ -143,13 +143,14 @@ def snapshot_close(customer, orders, events):
   FROM customer FULL JOIN supplier ON FALSE LEFT JOIN (SELECT o_custkey AS k, max(o_totalprice) AS p FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) o ON o.k = c_custkey""")
 def upsert_sink(spark, customer, supplier, orders):
     tables = CommittedTables(spark, scratch(spark, "sink"))
-    row = lambda df, key, name, amount: df.select(F.lit("accounts").alias("kind"), key.cast("long").alias("owner"), name.alias("name"), amount.alias("amount"))
+    # customers have the even owners, suppliers the odd ones, as their keys may be equal
+    row = lambda df, key, name, amount, odd=0: df.select(F.lit("accounts").alias("kind"), (key.cast("long") * 2 + odd).alias("owner"), name.alias("name"), amount.alias("amount"))
     write = lambda run, rows: tables.replace(run, rows, rows.select("owner"))
     write("first", row(customer, F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal")))
     changed = orders.filter("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_totalprice").alias("p"))
-    new = row(changed, F.col("o_custkey"), F.lit("changed"), F.col("p")).unionByName(row(supplier, F.col("s_suppkey") + 100_000, F.col("s_name"), F.col("s_acctbal")))
+    new = row(changed, F.col("o_custkey"), F.lit("changed"), F.col("p")).unionByName(row(supplier, F.col("s_suppkey") + 100_000, F.col("s_name"), F.col("s_acctbal"), odd=1))
     write("second", new)
-    return tables.table("accounts", "owner long, name string, amount double")
+    return tables.table("accounts", "owner long, name string, amount double").withColumn("owner", F.shiftright("owner", 1))
 
 
 @query("""SELECT user_id AS file, 'FILE_REGISTERED' AS event_type, min(event_id) AS first_event, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1 UNION ALL SELECT user_id, 'FILE_REUSED', min(event_id), count(*) FROM events WHERE event_type = 'click' GROUP BY 1""")
