@@ -41,7 +41,9 @@ def cases(rows: list[tuple[str | None, dict[str, str | None]]], base: str = "cus
             texts = F.array(*[F.lit(t) for t, _ in rows])
             k = F.col(key).cast("string")
             text = F.replace(F.element_at(texts, (F.col(key) % len(rows) + 1).cast("int")), F.lit("{k}"), k)
-            found = f(table(spark, sf_dir, base).select(F.col(key).cast("long").alias("doc_id"), text.alias("text")))
+            # a small file is one part or few, but its rows are long work: all cores share them
+            keys = table(spark, sf_dir, base).select(key).repartition(max(64, 4 * spark.sparkContext.defaultParallelism), key)
+            found = f(keys.select(F.col(key).cast("long").alias("doc_id"), text.alias("text")))
             return found.select("doc_id", *[F.col(n).cast("string").alias(n) for n in names])
 
         QUERIES[f.__name__] = run
