@@ -214,10 +214,11 @@ def loose_date(c: Column) -> Column:
     return F.coalesce(F.try_to_date(F.when(dmy[0].isNotNull(), parts), "y-M-d"), iso, F.when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1))))
 
 
-def fiscal_year(text: Column, as_of_year: int) -> Column:
-    """The labelled year, else the greatest year from 2005 to the one after ``as_of_year`` in the text."""
+def fiscal_year(text: Column, as_of_year: int, name: Column | None = None) -> Column:
+    """The labelled year, else the greatest year from 2005 to the one after ``as_of_year`` in the text; a year in the company's ``name`` is none."""
     said = F.regexp_extract(text, r"(?i)(?:ANO\s*BASE|ANO-?CALENDARIO)\s*[:\-]?\s*(20\d{2})", 1).try_cast("int")
-    return F.coalesce(said, greatest_year(text, 2005, as_of_year + 1))
+    rest = text if name is None else F.replace(text, F.coalesce(name, F.lit("")), F.lit(" "))
+    return F.coalesce(said, greatest_year(rest, 2005, as_of_year + 1))
 
 
 def year_or_last(year: Column, as_of: Column) -> Column:

@@ -58,7 +58,7 @@ _c = _told("company_id", "legal_name", "year")
 ])
 def form_company(docs):
     found = X.company_of(F.col("text"), F.col("lines"))
-    return _with(docs, company_id=found["company_id"], legal_name=found["legal_name"], year=C.fiscal_year(F.col("text"), YEAR))
+    return _with(docs, company_id=found["company_id"], legal_name=found["legal_name"], year=C.fiscal_year(F.col("text"), YEAR, found["legal_name"]))
 
 
 @cases([
