@@ -209,7 +209,7 @@ _q = _told("profile", "band", "review", "missing", "checks", "valid", "said", "o
     (V3_FORM, _q("v3_late", "HIGH", "false", "", "true,true,true,true,true,true,true,true,true", "true", "HIGH", "0.9400", None, None)),
     (V2_FORM, _q("v2_late", "LOW", "true", "projects.human_resources,projects.expenses,projects.economic_result_obtained", "false,true,true,false,null,null,true,false,true", "true", "MEDIUM", "0.5686", "projects.economic_result_obtained", "3")),
     (V2_FORM.replace("[Item 1] ", ""), _q("v2_early", "MEDIUM", "true", "projects.innovative_element,projects.human_resources", "false,true,true,null,null,null,true,false,true", "true", "MEDIUM", "0.6283", "projects.human_resources", None)),
-    ("nada {k}", _q("v2_early", "LOW", "true", "cnpj,fiscal_year,submission_receipt.sender_name,submission_receipt.sender_cpf,submission_receipt.authenticity_code,projects.title,projects.category,projects.innovative_element,projects.human_resources", "false,false,false,null,null,null,false,false,false", "false", "LOW", "0.0000", "cnpj", "9")),
+    ("nada n{k}", _q("v2_early", "LOW", "true", "cnpj,fiscal_year,submission_receipt.sender_name,submission_receipt.sender_cpf,submission_receipt.authenticity_code,projects.title,projects.category,projects.innovative_element,projects.human_resources", "false,false,false,null,null,null,false,false,false", "false", "LOW", "0.0000", "cnpj", "9")),
     ("Dados Pessoa Jurídica\n11.222.333/0001-81 ano base 2018", _q("v1_2018", "LOW", "true", "projects.title,projects.category,projects.innovative_element", "true,true,null,null,null,null,null,null,false", "false", "MEDIUM", "0.4062", "projects.category", "3")),
 ])
 def form_quality(docs):
