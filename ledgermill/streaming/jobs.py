@@ -121,57 +121,62 @@ class Job:
 
 
 class JobStates(StatefulProcessor):
-    """State of a key: the settled job, and the events that the watermark hasn't passed, one entry each. Timers stand at the earliest of them and at the end of a wait."""
+    """State of a key: the settled job with its one timer, and the events that the watermark hasn't passed, read and written at once. The timer stands at the earliest of them or at the end of a wait."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", STATE + ", told long")
-        self.pending = handle.getMapState("pending", "event_id long", "at long, kind string, current long")
+        self.settled = handle.getValueState("settled", STATE + ", told long, timer long")
+        self.pending = handle.getListState("pending", "at long, event_id long, kind string, current long")
 
-    def _job(self) -> tuple[Job, int]:
-        found = self.settled.get() if self.settled.exists() else None
-        return (Job(tuple(found[:-1])), found[-1]) if found else (Job(), 0)
+    def _job(self) -> tuple[Job, int, int | None]:
+        found = self.settled.get()
+        return (Job(tuple(found[:-2])), found[-2], found[-1]) if found else (Job(), 0, None)
 
     def _events(self) -> list[tuple]:
-        return sorted((v[0], k[0], v[1], v[2]) for k, v in self.pending.iterator()) if self.pending.exists() else []
-
-    def _tell(self, key, job: Job, events: list[tuple], told: int) -> pd.DataFrame:
+        return sorted((tuple(v) for v in self.pending.get()), key=lambda e: e[:2])
+
+    def _tell(self, key, job: Job, events: list[tuple], told: int, timer: int | None) -> pd.DataFrame:
+        """What the job is after its events; it is called again at the earliest time that settles something, if no timer stands there."""
+        ends = [at for at in (events[0][0] if events else None, job.retry_at) if at is not None]
+        if ends and (timer is None or -(-min(ends) // 1000) < timer):
+            timer = -(-min(ends) // 1000)
+            self.handle.registerTimer(timer)
         now = Job(job.values())
         for e in events:
             now.apply(e)
-        self.settled.update((*job.values(), told + 1))
+        self.settled.update((*job.values(), told + 1, timer))
         return pd.DataFrame([(key[0], *now.values(), told + 1)], columns=["job", *NAMES, "told"])
 
-    def _timer(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        job, told = self._job()
+        job, told, timer = self._job()
         known = self._events()
-        ids = {e[1] for e in known}
+        ids, new = {e[1] for e in known}, []
         for part in rows:
             for event_id, at, kind, current in zip(part["event_id"], part["at"], part["kind"], part["current"], strict=True):
                 if event_id not in ids:
                     ids.add(event_id)
-                    event = (int(at), kind, None if pd.isna(current) else int(current))
-                    self.pending.updateValue((int(event_id),), event)
-                    known.append((event[0], int(event_id), *event[1:]))
-                    self._timer(event[0])
-        yield self._tell(key, job, sorted(known), told)
+                    new.append((int(at), int(event_id), kind, None if pd.isna(current) else int(current)))
+        if new:
+            self.pending.appendList(new)
+        yield self._tell(key, job, sorted(known + new, key=lambda e: e[:2]), told, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = timerValues.getCurrentWatermarkInMs() * 1000
-        job, told = self._job()
+        job, told, timer = self._job()
+        if timer is not None and timer <= at // 1000:
+            timer = None
         events = self._events()
         if job.retry_at is None and not events:
             return
-        while events and events[0][0] <= at:
-            job.apply(events[0])
-            self.pending.removeKey((events.pop(0)[1],))
+        passed = sum(e[0] <= at for e in events)
+        for e in events[:passed]:
+            job.apply(e)
+        if passed == len(events):
+            self.pending.clear()
+        elif passed:
+            self.pending.put(events[passed:])
         job.due(at)
-        if job.retry_at is not None:
-            self._timer(job.retry_at)
-        yield self._tell(key, job, events, told)
+        yield self._tell(key, job, events[passed:], told, timer)
 
     def close(self) -> None:
         pass
