@@ -47,10 +47,16 @@ def include(parent: DataFrame, child: DataFrame, key: str, foreign: str, columns
     return parent.join(arrays, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
-def linked(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Rows of both sides that a link table (left_key, right_key) joins; a pair that it names twice is one. Spark broadcasts a side by its size, or shuffles."""
-    pairs = links.select(left_key, right_key).filter(F.col(left_key).isNotNull() & F.col(right_key).isNotNull()).distinct()
-    return left.join(pairs, left_key).join(right, right_key)
+def linked(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, right_key: str, block: int = 500_000) -> DataFrame:
+    """Rows of both sides that a link table (left_key, right_key) joins; a pair that it names twice is one.
+
+    The links are counted and lie in parts of about ``block``, whatever the session's number of partitions: by their right key while pairs become distinct and meet the right side, then by
+    their left key, so that more links are more parts, and grouping by the left key shuffles nothing more. A key's pairs lie in one part; they are no more than the other side's keys."""
+    parts = links.count() // block + 1
+    given = links.select(left_key, right_key).filter(F.col(left_key).isNotNull() & F.col(right_key).isNotNull())
+    # few links are named twice, so they aren't gathered before the shuffle
+    found = given.repartition(parts, right_key).distinct().join(right, right_key)
+    return left.join(found.repartition(parts, left_key), left_key)
 
 
 def relation_counts(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:

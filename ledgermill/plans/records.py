@@ -132,7 +132,7 @@ def artifact_upsert(events):
   SELECT s_suppkey, s_name, count(*) AS parts, count(DISTINCT p_brand) AS brands, min(p_name) AS first_part FROM k JOIN supplier ON s_suppkey = supplier JOIN part ON p_partkey = part WHERE s_acctbal > 0 GROUP BY ALL""")
 def link_table_join(supplier, lineitem, part):
     # the table of lines names a pair as often as it was delivered
-    links = lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    links = lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
     rows = R.linked(supplier.filter("s_acctbal > 0"), links, part, "s_suppkey", "p_partkey")
     return rows.groupBy("s_suppkey", "s_name").agg(F.count("*").alias("parts"), F.count_distinct("p_brand").alias("brands"), F.min("p_name").alias("first_part"))
 
