@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ _PLAIN = "".join(unicodedata.normalize("NFD", x)[0] for x in _ACCENTED)
 
 def only_digits(c: Column) -> Column:
     """Null becomes empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]+", "")
 
 
 def company_id(c: Column) -> Column:
@@ -169,11 +170,13 @@ def money_or_last_number(c: Column) -> Column:
 def loose_money(c: Column) -> Column:
     """With a comma, points mark thousands; else a point marks decimals."""
     plain = lambda x: F.when(x.contains(","), F.translate(x, ",.", ".")).otherwise(x).try_cast(MONEY)
-    return let(F.regexp_replace(c, r"[^0-9,.\-]", ""), plain)
+    # what is cut at the ends goes anyway; most texts then need no pattern, which costs the most here
+    bare = lambda x: F.when(F.ltrim(x, F.lit("0123456789.,-")) == "", x).otherwise(F.regexp_replace(x, r"[^0-9,.\-]+", ""))
+    return let(let(F.btrim(c, F.lit("R$ ")), bare), plain)
 
 
 def loose_int(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9]", "").try_cast("bigint")
+    return F.regexp_replace(c, "[^0-9]+", "").try_cast("bigint")
 
 
 def first_int(c: Column) -> Column:
@@ -207,11 +210,13 @@ def yes_no(c: Column) -> Column:
 def loose_date(c: Column) -> Column:
     """Day, month and year at the beginning (slashes or dashes, whatever follows), else an ISO date, else 1 January of a year 20yy in the text."""
     x = F.trim(c)
-    dmy = [F.regexp_extract(x, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})", i).try_cast("int") for i in (3, 2, 1)]
-    parts = F.concat_ws("-", *dmy)
-    iso = F.try_to_date(F.regexp_extract(x, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    # casts read such dates faster than formats do, which raise errors within
+    dmy = F.translate(F.regexp_extract(x, r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}", 0), "/", "-")
+    month = F.substring_index(F.substring_index(dmy, "-", 2), "-", -1)
+    parts = F.concat_ws("-", F.substring_index(dmy, "-", -1), month, F.substring_index(dmy, "-", 1))
+    iso = F.regexp_extract(x, r"^\d{4}-\d{2}-\d{2}", 0)
     year = F.regexp_extract(c, r"\b(20\d{2})\b", 1).try_cast("int")
-    return F.coalesce(F.try_to_date(F.when(dmy[0].isNotNull(), parts), "y-M-d"), iso, F.when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1))))
+    return F.coalesce(F.when(dmy != "", parts).try_cast("date"), iso.try_cast("date"), F.when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1))))
 
 
 def fiscal_year(text: Column, as_of_year: int, name: Column | None = None) -> Column:
@@ -249,7 +254,11 @@ def expense_class(c: Column) -> Column:
         .when(x.contains("apoio tecnico") | x.contains("servico de apoio"), "SERVICO_APOIO_PF")
         .otherwise("DESPESA_OPERACIONAL")
     )
-    return let(lower_text(c), found)
+    # as ``lower_text``, without its patterns where there is nothing for them
+    lower = lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(strip_accents(x))
+    odd = lambda x: functools.reduce(Column.__or__, [x.contains(s) for s in ("  ", "\t", "\n", "\x0b", "\f", "\r")])
+    single = lambda x: F.when(odd(x), clean(x)).otherwise(F.trim(x))
+    return let(let(let(F.lower(F.coalesce(c, F.lit(""))), lower), single), found)
 
 
 #: Research categories, their codes and their numbers.

@@ -27,8 +27,15 @@ class CommittedTables:
         return [n.partition("-")[2] for n in names if not n.startswith("_")]
 
     def stage(self, run: str, rows: DataFrame) -> None:
-        """Writes the rows of all tables (``kind`` and ``owner``, and columns of any table) in one pass; nothing of it is visible yet."""
-        rows.write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/runs/run={run}")
+        """Writes the rows of all tables (``kind`` and ``owner``, and columns of any table) in one pass; nothing of it is visible yet. Tables are few: a task holds a file of each open,
+        else Spark sorts all rows by them first (as it does where there are more)."""
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        old = self.spark.conf.get(name)
+        self.spark.conf.set(name, "16")
+        try:
+            rows.write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/runs/run={run}")
+        finally:
+            self.spark.conf.set(name, old)
 
     def commit(self, run: str) -> None:
         """The only step that changes what readers see: a file moves to its place. One writer at a time."""
