@@ -132,17 +132,18 @@ def _told(tables):
 @query(f"WITH {RESOLVED}, g AS (SELECT * FROM w), " + ROWS.format(again="TRUE"))
 def form_backfill(spark, orders, lineitem):
     tables = CommittedTables(spark, scratch(spark, "forms"))
-    resolved = S.resolve_forms(batches_of(orders), items_of(orders, lineitem), forms_of(orders))
-    S.backfill(tables, resolved, "old", batch_id=1)
-    S.backfill(tables, resolved, "all")
-    S.backfill(tables, resolved.filter("batch_id < 0"), "all")
+    items = items_of(orders, lineitem)
+    placed = S.place_forms(batches_of(orders), items, forms_of(orders))
+    S.backfill(tables, placed, "old", batch_id=1, items=items)
+    S.backfill(tables, placed, "all", items=items)
+    S.backfill(tables, placed.filter("batch_id < 0"), "all", items=items)
     return _told(tables)
 
 
 @query(f"WITH {RESOLVED} SELECT r.batch_id, r.form_id, skipped, CASE WHEN none THEN 0 ELSE (SELECT count(*) FROM lineitem WHERE l_orderkey = r.batch_id) END::INT AS projects, skipped IS NULL AND r.batch_id = w.batch_id AS applies FROM r LEFT JOIN w ON w.form_id = r.form_id")
 def form_backfill_plan(spark, orders, lineitem):
-    resolved = S.resolve_forms(batches_of(orders), items_of(orders, lineitem), forms_of(orders))
-    return S.backfill(CommittedTables(spark, scratch(spark, "forms")), resolved, "dry", apply=False)
+    placed = S.place_forms(batches_of(orders), items_of(orders, lineitem), forms_of(orders))
+    return S.backfill(CommittedTables(spark, scratch(spark, "forms")), placed, "dry", apply=False)
 
 
 #: What an approval leaves: forms by company and year, new ones without their ids.
